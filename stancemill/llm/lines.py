@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         line = F.split("text", "\n", -1)[F.col("line")]
         return staged(held.select("id", line.alias("text")).dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, "<u4")
+    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "<u4")
     near = items.select("id", "k1", "k2").join(found.withColumnRenamed("node", "id"), "id").join(firsts.drop("n"), ["k1", "k2"])
     keepers = near.groupBy("root").agg(F.min("first").alias("keep"))
     near = near.join(keepers, "root").select("k1", "k2", "keep")

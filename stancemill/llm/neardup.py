@@ -16,7 +16,7 @@ REGISTERS = 64
 ROWS = 4
 WIDTH = 5
 #: Members of a block of a large bucket.
-BLOCK = 512
+BLOCK = 256
 
 
 def weighted_shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,79 +103,97 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, measure: Cal
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def _alike(registers: int, dtype: str, least: int):
-    """Pairs of different components in a block of a bucket that agree in least registers or more."""
+def _linked(prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str):
+    """Links that join components within blocks of buckets: in each block at most one fewer than it has members."""
+    least = int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
 
-    def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def links_of(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
         ids, comp, block = (batch.column(c).to_numpy() for c in ("id", "comp", "block"))
-        one, two = batch.column("one")[0].as_py(), batch.column("two")[0].as_py()
+        one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype).reshape(len(ids), registers)
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        a, b = [], []
+        found = []
         for i in left:
             j = right[(comp[right] != comp[i]) & (right > i if one == two else True)]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            a.append(np.full(len(j), ids[i]))
-            b.append(ids[j])
-        return np.concatenate(a or [ids[:0]]), np.concatenate(b or [ids[:0]])
+            same = sig[j] == sig[i]
+            agree = same.sum(axis=1)
+            # A pair is looked at in the first band that it shares, and in no other.
+            first = same.reshape(len(j), registers // rows, rows).all(axis=2).argmax(axis=1)
+            keep = (agree >= least) & (first == band)
+            found += zip((-agree[keep]).tolist(), [int(i)] * int(keep.sum()), j[keep].tolist())
+        root, held, a, b = {int(c): int(c) for c in comp}, {}, [], []
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for _, i, j in sorted(found):
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in held:
+                    held[k] = prepare(batch.column("text")[k].as_py())
+            if measure(held[i], held[j]) >= threshold:
+                root[max(x, y)] = min(x, y)
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+        return a, b
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            a, b = pairs_of(rows.combine_chunks().to_batches()[0])
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            a, b = links_of(table.combine_chunks().to_batches()[0])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
+            table = pa.Table.from_batches([batch])
             if held is not None:
-                rows = pa.concat_tables([held, rows])
-            key, one, two = (rows[c].to_numpy() for c in ("key", "one", "two"))
+                table = pa.concat_tables([held, table])
+            key, one, two = (table[c].to_numpy() for c in ("key", "one", "two"))
             cut = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
             for x, y in zip([0, *cut[:-1]], cut):
-                yield flush(rows.slice(x, y - x))
-            held = rows.slice(cut[-1]) if len(cut) else rows
+                yield flush(table.slice(x, y - x))
+            held = table.slice(cut[-1]) if len(cut) else table
         if held is not None:
             yield flush(held)
 
     return work
 
 
-def near_components(items: DataFrame, texts: DataFrame, prepare: Callable, measure: Callable, threshold: float, registers: int, dtype: str) -> DataFrame:
+def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
-    items: id, bands (array of band keys), sig (registers as bytes of dtype); texts: id, text.
+    items: id, bands (array of band keys), sig (registers as bytes of dtype). texts gives (id, text) for ids.
 
     In each bucket of a band key the member that shares most with others is the hub, and every member is
     verified against it. That joins groups of copies in one round. What is left are buckets that hold
     several components: there each pair of members of different components is compared by signature, in
-    blocks of bounded size, and verified unless its signatures are four standard deviations below the threshold.
+    blocks of bounded size, and verified on the spot unless its signatures are four standard deviations
+    below the threshold. No pairs leave a block but those that join two components.
     """
-    members = items.select("id", F.explode("bands").alias("key"))
+    members = items.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(members.join(sizes, "key"), "buckets")
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     hubs = members.join(score, "id").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "id"))["id"].alias("hub"))
     pairs = staged(members.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    links = staged(verified(pairs, texts(needed), prepare, measure, threshold), "links")
+    held = texts(needed)
+    links = staged(verified(pairs, held, prepare, measure, threshold), "links")
     found = components(links)
 
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.join(items.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "sig")
-    least = int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
-    more = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_alike(registers, dtype, least), "a long, b long").distinct()
-    tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = staged(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return found
-    needed = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-    late = staged(verified(more, texts(needed), prepare, measure, threshold), "links")
+    rest = rest.join(items.select("id", "sig"), "id").join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "sig", "text")
+    late = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_linked(prepare, measure, threshold, registers, rows, dtype), "a long, b long")
+    late = staged(late, "links")
     return found if late.isEmpty() else components(links.unionByName(late))
 
 
@@ -217,7 +235,7 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         keys = items.select("id", "h1", "h2").join(needed, "id", "left_semi")
         return staged(d.select("h1", "h2", "text").join(keys, ["h1", "h2"]).select("id", "text").dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, "<u4")
+    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
     named = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "least", "copies", F.coalesce("root", "id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return named.join(names, "root").select("h1", "h2", "root", "class_id", "copies")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from stancemill.llm import queries
 
-QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op")}
-ORACLE: dict[str, str] = {}
+QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
