@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stancemill.llm import decontam, embeddings, lines, neardup, packing, quality, sharding, tokencount, warc
+from stancemill.llm import decontam, embeddings, html, lines, neardup, packing, quality, sharding, tokencount, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h1", "h2")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
