@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancemill.llm.common import GOLDEN, MASK64, chunks, mix, shingles, small_batches, staged, word_hashes
+from stancemill.llm.common import GOLDEN, MASK64, chunks, dropped, mix, shingles, small_batches, staged, word_hashes
 from stancemill.llm.components import components
 
 REGISTERS = 64
@@ -103,14 +103,14 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, measure: Cal
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def _linked(prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str):
+def _linked(prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, signature: Callable | None):
     """Links that join components within blocks of buckets: in each block at most one fewer than it has members."""
     least = int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
 
     def links_of(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
         ids, comp, block = (batch.column(c).to_numpy() for c in ("id", "comp", "block"))
         one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype).reshape(len(ids), registers)
+        sig = signature(batch.column("text").to_pylist()) if signature else np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(len(ids), registers)
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         found = []
         for i in left:
@@ -164,10 +164,11 @@ def _linked(prepare: Callable, measure: Callable, threshold: float, registers: i
     return work
 
 
-def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str) -> DataFrame:
+def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, signature: Callable | None = None) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
-    items: id, bands (array of band keys), sig (registers as bytes of dtype). texts gives (id, text) for ids.
+    items: id, bands (array of band keys) and, unless signature computes the registers of texts, sig (registers
+    as 32-bit numbers in bytes). texts gives (id, text) for ids, staged.
 
     In each bucket of a band key the member that shares most with others is the hub, and every member is
     verified against it. That joins groups of copies in one round. What is left are buckets that hold
@@ -175,7 +176,8 @@ def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     blocks of bounded size, and verified on the spot unless its signatures are four standard deviations
     below the threshold. No pairs leave a block but those that join two components.
     """
-    members = items.select("id", F.posexplode("bands").alias("band", "key"))
+    # One exchange by key serves the count and the join.
+    members = items.select("id", F.posexplode("bands").alias("band", "key")).repartition("key")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(members.join(sizes, "key"), "buckets")
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
@@ -190,11 +192,13 @@ def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.join(items.select("id", "sig"), "id").join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "sig", "text")
-    late = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_linked(prepare, measure, threshold, registers, rows, dtype), "a long, b long")
+    rest = (rest if signature else rest.join(items.select("id", "sig"), "id")).join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", *([] if signature else ["sig"]), "text")
+    late = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_linked(prepare, measure, threshold, registers, rows, signature), "a long, b long")
     late = staged(late, "links")
-    return found if late.isEmpty() else components(links.unionByName(late))
+    found = found if late.isEmpty() else components(links.unionByName(late))
+    dropped(members, pairs, held, links, late)
+    return found
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +236,10 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     items = staged(groups.withColumn("id", F.monotonically_increasing_id()), "texts")
 
     def texts(needed: DataFrame) -> DataFrame:
-        keys = items.select("id", "h1", "h2").join(needed, "id", "left_semi")
+        keys = staged(items.select("id", "h1", "h2").join(needed, "id", "left_semi"), "keys").filter("id >= 0")
         return staged(d.select("h1", "h2", "text").join(keys, ["h1", "h2"]).select("id", "text").dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
+    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS)
     named = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "least", "copies", F.coalesce("root", "id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return named.join(names, "root").select("h1", "h2", "root", "class_id", "copies")
