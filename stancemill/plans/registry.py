@@ -1,4 +1,384 @@
-"""Queries and oracle SQL of the library's own operators."""
+"""Queries of the library's own operators over the driver's tables, and their oracle SQL for DuckDB.
+
+documents stand for pages (source: the query), labels for stances, conversations for answers, benchmark for
+queries, pages for fetched pages, embeddings for encodings and events for search hits. Every query runs over
+the whole of its tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stancemill.functions import text as T
+from stancemill.functions.stem import quote_shared_words, stem_word
+from stancemill.operators import boilerplate, features
+from stancemill.operators import relational as R
+from stancemill.plans import pipeline
+from stancemill.sources import connectors, io
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c) -> F.Column:
+    return c.cast("long")
+
+
+@query("SELECT doc_id FROM documents WHERE len(string_split(text, ' ')) >= 200")
+def basic_filtering(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(T.long_enough(F.col("text"))).select("doc_id")
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS num_tokens FROM documents")
+def num_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.num_tokens(F.col("text")).alias("num_tokens"))
+
+
+@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS BIGINT) AS num_unique_tokens_raw FROM documents")
+def num_unique_tokens_raw(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.num_unique_tokens(F.col("text")).alias("num_unique_tokens_raw"))
+
+
+@query("SELECT d.doc_id, CAST(count(DISTINCT CASE WHEN t LIKE '%s' THEN left(t, length(t) - 1) ELSE t END) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) d GROUP BY d.doc_id")
+def num_unique_lemmas(spark, sf_dir):
+    """With a lemma table that maps each token in s to the token without it."""
+    d = table(spark, sf_dir, "documents")
+    tokens = d.select(F.explode(T.space_tokens(F.col("text"))).alias("token")).distinct().filter(F.col("token").endswith("s"))
+    return features.unique_lemmas(d, tokens.withColumn("lemma", F.expr("left(token, length(token) - 1)")), "doc_id", "text")
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, 'href\\s*=')) AS BIGINT) AS href_count FROM pages")
+def href_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.count_pattern(F.col("html"), T.HREF).alias("href_count"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '" + T.EMAIL.replace("'", "''") + "')) AS BIGINT) AS email_count FROM documents")
+def email_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.count_pattern(F.col("text"), T.EMAIL).alias("email_count"))
+
+
+@query()
+def url_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.count_pattern(F.col("html"), T.url_pattern()).alias("url_count"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'not') THEN 'not' WHEN contains(lower(text), 'yes') THEN 'yes' WHEN contains(lower(text), 'no') THEN 'no' END AS answer FROM conversations")
+def classify_answer(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.classify(F.col("text"), T.FULL_CLASSES).alias("answer"))
+
+
+@query("SELECT conv_id, turn, string_split(text, chr(10))[-1] AS last_line FROM conversations")
+def last_line(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.last_line(F.col("text")).alias("last_line"))
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    """documents with a stance: answer_id, search_query, stance."""
+    s = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("answer_id"), F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no").alias("stance"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("source").alias("search_query")).join(s, "answer_id")
+
+
+STANCE = "SELECT d.doc_id AS answer_id, d.source AS search_query, CASE l.quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS stance FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+THRESH = "q AS (SELECT search_query FROM b WHERE search_query IS NOT NULL GROUP BY search_query HAVING count(*) FILTER (stance = 'yes') >= {k} OR count(*) FILTER (stance = 'no') >= {k}), good AS (SELECT DISTINCT b.answer_id FROM b JOIN q USING (search_query) WHERE stance IN ('yes', 'no'))"
+
+
+@query(f"WITH b AS ({STANCE}), {THRESH.format(k=18)} SELECT answer_id, search_query, stance FROM b WHERE answer_id IN (SELECT answer_id FROM good)")
+def filter_pair_thresh(spark, sf_dir):
+    return R.filter_pair_thresh(labelled(spark, sf_dir), 18, "stance")[0].select("answer_id", "search_query", "stance")
+
+
+ANSWER_A = "CASE WHEN quality = 1 THEN 'Yes.' WHEN quality = 0 THEN 'It is not so: No' END"
+ANSWER_B = "CASE WHEN toxic = 1 THEN 'Hm' || chr(10) || 'not clear' WHEN quality = 1 THEN 'not sure' || chr(10) || 'YES' ELSE 'yes or' || chr(10) || 'No.' END"
+#: Labels of both sides as parsed: a looks for yes, then no, anywhere; b for not, yes, no in the last line.
+AGREED = "SELECT doc_id AS answer_id, CASE quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS stance FROM labels WHERE toxic <> 1 AND quality IN (0, 1)"
+
+
+def answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, sf_dir, "labels")
+    return tuple(labels.select(F.col("doc_id").alias("answer_id"), F.expr(sql.replace("chr(10)", "char(10)")).alias("answer")) for sql in (ANSWER_A, ANSWER_B))
+
+
+@query(f"SELECT answer_id FROM ({AGREED})")
+def ensemble_match(spark, sf_dir):
+    a, b = answers(spark, sf_dir)
+    a = a.select("answer_id", T.classify(F.col("answer"), T.SHORT_CLASSES).alias("label_a"))
+    b = b.select("answer_id", T.classify(T.last_line(F.col("answer")), T.FULL_CLASSES).alias("label_b"))
+    return R.agreed_ids(a, b)
+
+
+ENSEMBLE = f"WITH b AS (SELECT s.answer_id, d.source AS search_query, s.stance FROM ({AGREED}) s JOIN documents d ON d.doc_id = s.answer_id), {THRESH.format(k=5)}"
+
+
+@query(f"{ENSEMBLE} SELECT answer_id, search_query, stance FROM b WHERE answer_id IN (SELECT answer_id FROM good)")
+def ensemble_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("source").alias("search_query"))
+    return pipeline.ensemble_filter(pages, *answers(spark, sf_dir)).select("answer_id", "search_query", "stance")
+
+
+@query(f"{ENSEMBLE.replace('b AS', 'c AS').replace(' FROM b', ' FROM b') .replace('q AS (', 'b AS (SELECT * FROM c WHERE search_query NOT IN (' + chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src7' + chr(39) + ')), q AS (')} SELECT answer_id, search_query, stance FROM b WHERE answer_id IN (SELECT answer_id FROM good)")
+def dedup_filter(spark, sf_dir):
+    pages = ensemble_filter(spark, sf_dir)
+    return pipeline.dedup_filter(pages, spark.createDataFrame([("src1",), ("src7",)], "search_query string"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src7') OR source IS NULL")
+def dedup_queries(spark, sf_dir):
+    bad = spark.createDataFrame([("src1",), ("src7",)], "search_query string")
+    return R.drop_ids(table(spark, sf_dir, "documents").select("doc_id", "source"), bad, "source", "search_query")
+
+
+def neighbours(spark, sf_dir) -> DataFrame:
+    """Pairs of labelled documents with consecutive ids: answer_id, tokens and quality of both sides."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", T.num_tokens(F.col("text")).cast("double").alias("f"), F.col("quality").cast("double").alias("p"))
+    a, b = (d.select(*(F.col(c).alias(f"{n}_{i}") for c, n in (("doc_id", "answer_id"), ("f", "f")))  , F.col("p").alias(f"eval_{i}_prob")) for i in (1, 2))
+    return a.join(b, F.col("answer_id_1") + 1 == F.col("answer_id_2"))
+
+
+PAIRS = "WITH d AS (SELECT doc_id, CAST(len(string_split(text, ' ')) AS DOUBLE) AS f, CAST(quality AS DOUBLE) AS p FROM documents JOIN labels USING (doc_id)), pairs AS (SELECT a.doc_id AS answer_id_1, b.doc_id AS answer_id_2, a.f AS f_1, b.f AS f_2, a.p AS p1, b.p AS p2 FROM d a JOIN d b ON a.doc_id + 1 = b.doc_id)"
+TOXIC = "(SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+def toxic_ids(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("answer_id"))
+
+
+@query(f"{PAIRS} SELECT answer_id_1, answer_id_2 FROM pairs WHERE answer_id_1 NOT IN {TOXIC} AND answer_id_2 NOT IN {TOXIC}")
+def filter_by_id_blacklist(spark, sf_dir):
+    pages = labelled(spark, sf_dir)
+    return R.filter_by_id(pages, neighbours(spark, sf_dir), toxic_ids(spark, sf_dir))[1].select("answer_id_1", "answer_id_2")
+
+
+@query(f"SELECT doc_id AS answer_id FROM documents JOIN labels USING (doc_id) WHERE doc_id IN {TOXIC}")
+def filter_by_id_whitelist(spark, sf_dir):
+    return R.filter_by_id(labelled(spark, sf_dir), neighbours(spark, sf_dir), toxic_ids(spark, sf_dir), True)[0].select("answer_id")
+
+
+@query(f"{PAIRS} SELECT f_1 - f_2 AS x, p1 - p2 AS y FROM pairs")
+def paired_data(spark, sf_dir):
+    return R.paired(neighbours(spark, sf_dir), "f")
+
+
+@query(f"{PAIRS} SELECT f_1 AS x, p1 AS y FROM pairs UNION ALL SELECT f_2, p2 FROM pairs")
+def singular_data(spark, sf_dir):
+    return R.singular(neighbours(spark, sf_dir), "f")
+
+
+@query("SELECT lang AS category, source AS search_query, 'yes_statement' AS search_type, text AS search_engine_input FROM documents UNION ALL SELECT lang, source, 'no_statement', CASE WHEN doc_id % 2 = 0 THEN lower(text) END FROM documents")
+def unpivot_statements(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return R.unpivot_statements(d.select(F.col("lang").alias("category"), F.col("source").alias("search_query"), F.col("text").alias("yes_statement"), F.expr("if(doc_id % 2 = 0, lower(text), null)").alias("no_statement")))
+
+
+WINDOWS = "SELECT doc_id, i, list_slice(t, CAST(i * 256 + 1 AS BIGINT), CAST(i * 256 + 508 AS BIGINT)) AS w FROM (SELECT doc_id, t, unnest(range(0, greatest(0, CAST(floor((len(t) - 508) / 256.0) AS BIGINT)) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents))"
+
+
+@query(f"SELECT doc_id, CAST(i AS BIGINT) AS at, CAST(len(w) AS BIGINT) AS size, md5(array_to_string(w, ' ')) AS digest FROM ({WINDOWS})")
+def token_windows(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.windows(T.space_tokens(F.col("text")))).alias("at", "w"))
+    return w.select("doc_id", long(F.col("at")).alias("at"), long(F.size("w")).alias("size"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST(arg_max(i, s * 100000 - i) AS BIGINT) AS at, max(s) AS score FROM (SELECT doc_id, i, CAST(length(array_to_string(w, ' ')) AS DOUBLE) AS s FROM ({WINDOWS})) GROUP BY doc_id")
+def best_text_window(spark, sf_dir):
+    """The longest window by characters, the first on ties."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = d.select("doc_id", F.transform(T.windows(T.space_tokens(F.col("text"))), lambda w: F.struct(F.length(F.array_join(w, " ")).cast("double").alias("score"), w.alias("window"))).alias("scored"))
+    b = T.best_window(F.col("scored"))
+    return scored.select("doc_id", long(-b["at"]).alias("at"), b["score"].alias("score"))
+
+
+@query(
+    "WITH q AS (SELECT label, min(vec_id) AS query_id FROM embeddings WHERE label IS NOT NULL GROUP BY label), s AS (SELECT e.label, e.vec_id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) AS score FROM embeddings e JOIN q USING (label) JOIN embeddings f ON f.vec_id = q.query_id) "
+    "SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM s) WHERE r = 1"
+)
+def best_window_by_dot(spark, sf_dir):
+    """For each label, the encoding that is closest to that of its first vector."""
+    e = table(spark, sf_dir, "embeddings")
+    first = e.filter("label is not null").groupBy("label").agg(F.min(F.struct("vec_id", F.col("embedding").alias("query"))).alias("q")).select("label", "q.query")
+    s = e.join(first, "label").select("label", "vec_id", F.round(T.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+    return s.groupBy("label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("b")).select("label", (-F.col("b.v")).alias("vec_id"), F.col("b.score").alias("score"))
+
+
+NORMAL = "list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """documents, each with one benchmark item as its query."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("search_query"))
+    n = items.count()
+    return table(spark, sf_dir, "documents").join(items, F.col("doc_id") % n == F.col("item_id"))
+
+
+@query(
+    f"WITH b AS (SELECT d.doc_id, ' ' || array_to_string({NORMAL.format('d.text')}, ' ') || ' ' AS t, {NORMAL.format('i.text')} AS q FROM documents d JOIN benchmark i ON d.doc_id % (SELECT count(*) FROM benchmark) = i.item_id) "
+    "SELECT doc_id, CAST(coalesce(list_max(list_transform(range(1, len(q) + 1), lambda s: coalesce(list_max(list_transform(range(s, len(q) + 1), lambda e: CASE WHEN contains(t, ' ' || array_to_string(q[s:e], ' ') || ' ') THEN e - s + 1 ELSE 0 END)), 0))), 0) AS BIGINT) AS n FROM b"
+)
+def max_ngram_overlap(spark, sf_dir):
+    d = asked(spark, sf_dir)
+    return d.select("doc_id", long(F.size(T.longest_common_ngram(T.normal_words(F.col("text")), T.normal_words(F.col("search_query"))))).alias("n"))
+
+
+ANSWERS = "Yes 1: Red wine is good\nYes 2: Wine: helps\nNo 1: Red wine is bad\nNote: skip me\nno colon\nNo 2:"
+LINES = "string_split(a, chr(10))"
+AFTER = "list_filter(list_transform(list_filter({0}, lambda x: {1}), lambda x: CASE WHEN contains(x, ':') THEN trim(substr(x, instr(x, ':') + 1)) ELSE '' END), lambda x: x <> '')"
+
+
+@query(
+    "WITH c AS (SELECT conv_id, turn, text || chr(10) || '" + ANSWERS.replace("\n", "' || chr(10) || '") + "' AS a FROM conversations) SELECT conv_id, turn, array_to_string("
+    + AFTER.format(LINES, "starts_with(lower(x), 'yes')") + ", '. ') AS yes_statement, array_to_string(" + AFTER.format(LINES, "starts_with(lower(x), 'no')") + ", '. ') AS no_statement FROM c"
+)
+def statement_parse(spark, sf_dir):
+    a = F.concat(F.col("text"), F.lit("\n" + ANSWERS))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.statements(a, "yes").alias("yes_statement"), T.statements(a, "no").alias("no_statement"))
+
+
+@query("SELECT conv_id, turn, l AS search_query FROM (SELECT conv_id, turn, unnest(string_split(replace(text, '.', '?'), chr(10))) AS l FROM conversations) WHERE trim(l) <> '' AND NOT contains(l, '\"\"\"') AND NOT contains(l, '```') AND contains(l, '?')")
+def question_filter(spark, sf_dir):
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split(F.replace("text", F.lit("."), F.lit("?")), "\n", -1)).alias("search_query"))
+    return lines.filter(T.is_question(F.col("search_query")))
+
+
+SENTENCES = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, {SENTENCES} AS p FROM documents), k AS (SELECT doc_id, p, list_filter(p, lambda x: trim(x) <> '') AS k FROM s), f AS (SELECT doc_id, p, k, CASE WHEN len(k) > 0 AND regexp_matches(trim(k[1]), '^[\\p{{Ll}}.,;:!?]') THEN k[2:] ELSE k END AS r FROM k) "
+    "SELECT doc_id, CASE WHEN len(p) < 2 THEN array_to_string(p, ' ') WHEN len(r) > 0 AND regexp_matches(trim(r[-1]), '[\\p{L}\\p{N}]$') THEN coalesce(array_to_string(r[1:len(r)-1], ' '), '') ELSE coalesce(array_to_string(r, ' '), '') END AS text FROM f"
+)
+def sentence_trim(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.trim_sentences(T.sentences(F.col("text")))["text"].alias("text"))
+
+
+@query("SELECT event_id, CAST(s AS BIGINT) AS start FROM (SELECT event_id, unnest(range(1, greatest(least(CAST(value AS INTEGER), 100), 1), 10)) AS s FROM (SELECT event_id, round(value) AS value FROM events))")
+def search_pages(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.expr("cast(round(value) as int)").alias("n"))
+    return e.select("event_id", F.explode(T.page_starts(F.col("n")).cast("array<bigint>")).alias("start"))
+
+
+@query("SELECT url, CAST(row_number() OVER (ORDER BY url, page_id) - 1 AS BIGINT) AS doc_id FROM pages")
+def assign_doc_id(spark, sf_dir):
+    return R.dense_ids(table(spark, sf_dir, "pages").select("url", "page_id"), ["url", "page_id"]).select("url", "doc_id")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.link') AS link FROM events")
+def json_field(spark, sf_dir):
+    p = F.from_json("props", "struct<k:bigint,link:string>")
+    return table(spark, sf_dir, "events").select("event_id", p["k"].alias("k"), p["link"].alias("link"))
+
+
+@query("SELECT event_id, event_type AS title FROM events WHERE event_type IS NOT NULL")
+def parse_hits(spark, sf_dir):
+    """Responses with one item, made from events; those without items give no rows."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").isNotNull(), F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("title"))).alias("items")))).otherwise("{}").alias("response"))
+    return connectors.parse_hits(e).select("event_id", "title")
+
+
+@query("SELECT doc_id, round(ln(greatest(quality, 0.001)), 6) AS positive, round(ln(greatest(1 - quality, 0.001)), 6) AS negative FROM labels")
+def label_map(spark, sf_dir):
+    p = F.greatest(F.col("quality").cast("double"), F.lit(0.001))
+    n = F.greatest(1 - F.col("quality").cast("double"), F.lit(0.001))
+    m = table(spark, sf_dir, "labels").select("doc_id", F.map_from_arrays(F.array(F.lit("Positive"), F.lit("Negative")), F.array(F.ln(p), F.ln(n))).alias("m"))
+    return m.select("doc_id", F.round(F.col("m")["Positive"], 6).alias("positive"), F.round(F.col("m")["Negative"], 6).alias("negative"))
+
+
+@query("WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS h FROM pages) SELECT page_id, string_split(h, '.')[-1] AS tld, string_split(h, '.')[-2] AS domain FROM h")
+def domain_suffix(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.suffix(F.col("url")).alias("tld"), T.domain(F.col("url")).alias("domain"))
+
+
+@query("SELECT l_orderkey, o_orderpriority, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def merge_1m(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    return R.one_to_many(orders, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"]).select("l_orderkey", "o_orderpriority", "l_linenumber", "l_quantity")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_antijoin(spark, sf_dir):
+    return R.unseen(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT page_id, html FROM pages WHERE NOT ends_with(url, '.html') UNION ALL SELECT page_id, html FROM pages WHERE ends_with(url, '.html')")
+def fetch_offline(spark, sf_dir):
+    """Every page's url looked up in a store that holds each url once."""
+    p = table(spark, sf_dir, "pages")
+    return connectors.fetch_offline(p.select("page_id", "url"), p.select("url", "html")).select("page_id", "html")
+
+
+@query("SELECT '[' || doc_id || ']' AS json FROM labels")
+def id_list(spark, sf_dir):
+    return io.id_list(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("answer_id")))
+
+
+@query()
+def stem_vocab(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.normal_words(F.col("text"))).alias("word"))
+    return R.inverted_index(words, stem_word(F.col("word")), "word")
+
+
+@query()
+def quote_shared(spark, sf_dir):
+    d = asked(spark, sf_dir)
+    pair = quote_shared_words(F.col("search_query"), F.col("text"))
+    return d.select("doc_id", pair["one"].alias("search_query"))
+
+
+SYLLABLES = "CAST(list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')), 1))) AS DOUBLE)"
+
+
+@query(f"SELECT doc_id, round(CASE WHEN len(w) < 100 THEN 0.0 ELSE 0.39 * len(w) / greatest(len(regexp_extract_all(text, '[.!?]+(\\s|$)')), 1) + 11.8 * {SYLLABLES} / len(w) - 15.59 END, 6) AS grade FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")
+def readability(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.readability(F.col("text")), 6).alias("grade"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", boilerplate.main_text(F.col("html")).alias("text"))
+
+
+@query()
+def st_similarity(spark, sf_dir):
+    return asked(spark, sf_dir).select("doc_id", F.round(features.similarity(F.col("text"), F.col("search_query"), F.lit(None)), 9).alias("score"))
+
+
+def _hits(words: list[str]) -> str:
+    return f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)})))"
+
+
+@query(f"SELECT doc_id, round(ln(p / (p + n)) + ln(2.0 / 3), 6) AS positive, round(ln(n / (p + n)) + ln(2.0 / 3), 6) AS negative FROM (SELECT doc_id, {_hits(features.POSITIVE)} + 1.0 AS p, {_hits(features.NEGATIVE)} + 1.0 AS n FROM (SELECT doc_id, {NORMAL.format('text')} AS w FROM documents))")
+def sentiment(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select("doc_id", features.sentiment(F.col("text"), None, None).alias("m"))
+    return m.select("doc_id", F.round(F.col("m")["Positive"], 6).alias("positive"), F.round(F.col("m")["Negative"], 6).alias("negative"))
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({NORMAL.format('text')}) AS w FROM documents) GROUP BY doc_id, w), m AS (SELECT w, sum(n) AS c FROM w GROUP BY w), t AS (SELECT sum(c) AS t, count(*) AS v FROM m) "
+    "SELECT doc_id, round(exp(-sum(n * ln((c + 1.0) / (t + v))) / sum(n)), 4) AS perplexity FROM w JOIN m USING (w), t GROUP BY doc_id"
+)
+def perplexity(spark, sf_dir):
+    return features.token_perplexity(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.round("perplexity", 4).alias("perplexity"))
+
+
+@query()
+def add_features(spark, sf_dir):
+    d = asked(spark, sf_dir).select("doc_id", "text", "search_query")
+    return features.add_features(d, features.DRIVER).drop("text", "search_query")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
+def row_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
