@@ -125,7 +125,9 @@ class WarcReader(DataSourceReader):
             out += [Range(f.path, k, min(f.size, k + step)) for k in range(0, f.size, max(1, step))]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files
+            return
         store, _ = located(self.path)
         rows, size = [], 0
         with store.open_input_file(partition.file) as f:
