@@ -64,13 +64,14 @@ def signature(lines: list[str]) -> np.ndarray:
     return minhash([normal(x) for x in lines])
 
 
-def shingle_set(line: str) -> np.ndarray:
-    return np.unique(char_shingles([normal(line)])[0])
+def shingle_set(line: str) -> set[str]:
+    line = normal(line)
+    return {line[k : k + WIDTH] for k in range(max(1, len(line) - WIDTH + 1))}
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(1, len(a) + len(b) - common)
+def jaccard(a: set[str], b: set[str]) -> float:
+    common = len(a & b)
+    return common / (len(a) + len(b) - common)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +140,13 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     h1, h2 = text_hashes(text_col)
-    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(id_col).cast("long").alias("_id"), h1, h2, F.col(text_col).cast("string").alias("_text"))
+    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(id_col).cast("long").alias("_id"), h1, h2)
     per = per.withColumnRenamed("doc_id", "_key")
     mine = mine.join(per, mine["_id"].eqNullSafe(per["_key"]) & (mine["h1"] == per["h1"]) & (mine["h2"] == per["h2"]), "left")
-    parts = F.split("_text", "\n", -1)
+    kept_text = F.col("row")[text_col].cast("string")
+    parts = F.split(kept_text, "\n", -1)
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), kept_text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
     full = F.size(F.filter(parts, lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]")))
-    return mine.select(*columns, F.coalesce(F.when(F.col("_text").isNotNull(), full), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
+    return mine.select(*columns, F.coalesce(F.when(kept_text.isNotNull(), full), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))

@@ -107,10 +107,9 @@ def _linked(prepare: Callable, measure: Callable, threshold: float, registers: i
     """Links that join components within blocks of buckets: in each block at most one fewer than it has members."""
     least = int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
 
-    def links_of(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
+    def links_of(batch: pa.RecordBatch, sig: np.ndarray) -> tuple[list[int], list[int]]:
         ids, comp, block = (batch.column(c).to_numpy() for c in ("id", "comp", "block"))
         one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
-        sig = signature(batch.column("text").to_pylist()) if signature else np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(len(ids), registers)
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         found = []
         for i in left:
@@ -142,24 +141,26 @@ def _linked(prepare: Callable, measure: Callable, threshold: float, registers: i
         return a, b
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            a, b = links_of(table.combine_chunks().to_batches()[0])
+        def flush(table: pa.Table, sig: np.ndarray) -> pa.RecordBatch:
+            a, b = links_of(table.combine_chunks().to_batches()[0], sig)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        held = None
+        held, sig = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
+            # Signatures of a whole batch are made at once: most blocks are small.
+            more = signature(batch.column("text").to_pylist()) if signature else np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, registers)
             if held is not None:
-                table = pa.concat_tables([held, table])
+                table, more = pa.concat_tables([held, table]), np.concatenate((sig, more))
             key, one, two = (table[c].to_numpy() for c in ("key", "one", "two"))
             cut = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
             for x, y in zip([0, *cut[:-1]], cut):
-                yield flush(table.slice(x, y - x))
-            held = table.slice(cut[-1]) if len(cut) else table
+                yield flush(table.slice(x, y - x), more[x:y])
+            held, sig = (table.slice(cut[-1]), more[cut[-1] :]) if len(cut) else (table, more)
         if held is not None:
-            yield flush(held)
+            yield flush(held, sig)
 
     return work
 
