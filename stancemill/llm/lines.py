@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.llm.common import chunks, mix, small_batches, staged
@@ -60,10 +60,6 @@ def minhash(lines: list[str]) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def signature(lines: list[str]) -> np.ndarray:
-    return minhash([normal(x) for x in lines])
-
-
 def shingle_set(line: str) -> set[str]:
     line = normal(line)
     return {line[k : k + WIDTH] for k in range(max(1, len(line) - WIDTH + 1))}
@@ -94,6 +90,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = minhash([x for x, f in zip(line, first) if f])
             bands = band_keys(sig, ROWS)
             ends = np.concatenate(([0], np.cumsum(np.array(first) * bands.shape[1])))
+            low = iter(sig.astype(np.uint8))
             halves = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in key), "<i8").reshape(-1, 2)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -103,8 +100,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(halves[:, 0]),
                     pa.array(halves[:, 1]),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel()), mask=pa.array([not f for f in first])),
+                    pa.array([next(low).tobytes() if f else None for f in first], pa.binary()),
                 ],
-                names=["doc_id", "h1", "h2", "line", "k1", "k2", "bands"],
+                names=["doc_id", "h1", "h2", "line", "k1", "k2", "bands", "sig"],
             )
 
 
@@ -118,11 +116,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_hashes(text_col), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, h1 long, h2 long, line int, k1 long, k2 long, bands array<long>"
+    schema = "doc_id long, h1 long, h2 long, line int, k1 long, k2 long, bands array<long>, sig binary"
     lines = staged(d.mapInArrow(_lines, schema), "lines")
     where = F.struct("doc_id", "line", "h1", "h2")
     # Each step's first of equal lines has the bands; equal lines have equal ones.
-    items = lines.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("bands", True).alias("bands"))
+    items = lines.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig"))
     items = staged(items.withColumn("id", F.monotonically_increasing_id()), "items")
 
     def texts(needed: DataFrame) -> DataFrame:
@@ -130,7 +128,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         held = d.select("h1", "h2", "text").join(at, ["h1", "h2"])
         return staged(held.select("id", F.split("text", "\n", -1)[F.col("line")].alias("text")).dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "bands"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, signature)
+    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "u1")
     near = items.select("id", "first").join(found.withColumnRenamed("node", "id"), "id")
     keepers = near.groupBy("root").agg(F.min("first").alias("keep"))
     near = near.join(keepers, "root").select("id", "keep")
@@ -144,9 +142,16 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     per = per.withColumnRenamed("doc_id", "_key")
     mine = mine.join(per, mine["_id"].eqNullSafe(per["_key"]) & (mine["h1"] == per["h1"]) & (mine["h2"] == per["h2"]), "left")
     kept_text = F.col("row")[text_col].cast("string")
-    parts = F.split(kept_text, "\n", -1)
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), kept_text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
-    full = F.size(F.filter(parts, lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]")))
-    return mine.select(*columns, F.coalesce(F.when(kept_text.isNotNull(), full), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
+
+    def rest_of(v: Column) -> Column:
+        parts, gone = v["parts"], v["gone"]
+        stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
+        left = F.when(gone.isNull(), v["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+        return F.struct(left.alias("text"), F.size(F.filter(parts, lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))).cast("long").alias("n"))
+
+    # Bound as a lambda's variable, the lines are split once, not for each line.
+    bound = F.array(F.struct(kept_text.alias("text"), F.split(kept_text, "\n", -1).alias("parts"), F.col("gone").alias("gone")))
+    mine = mine.withColumn("_new", F.transform(bound, rest_of)[0])
+    columns = [F.col("_new.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest]
+    n_lines = F.when(kept_text.isNotNull(), F.col("_new.n")).otherwise(F.lit(0)).cast("long")
+    return mine.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))

@@ -103,102 +103,145 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, measure: Cal
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def _linked(prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, signature: Callable | None):
-    """Links that join components within blocks of buckets: in each block at most one fewer than it has members."""
-    least = int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
-
-    def links_of(batch: pa.RecordBatch, sig: np.ndarray) -> tuple[list[int], list[int]]:
-        ids, comp, block = (batch.column(c).to_numpy() for c in ("id", "comp", "block"))
-        one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        found = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (right > i if one == two else True)]
-            same = sig[j] == sig[i]
-            agree = same.sum(axis=1)
-            # A pair is looked at in the first band that it shares, and in no other.
-            first = same.reshape(len(j), registers // rows, rows).all(axis=2).argmax(axis=1)
-            keep = (agree >= least) & (first == band)
-            found += zip((-agree[keep]).tolist(), [int(i)] * int(keep.sum()), j[keep].tolist())
-        root, held, a, b = {int(c): int(c) for c in comp}, {}, [], []
+def least_agreement(registers: int, threshold: float) -> int:
+    """Registers that a pair at the threshold agrees in, less four standard deviations."""
+    return int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
 
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
 
-        for _, i, j in sorted(found):
-            x, y = top(int(comp[i])), top(int(comp[j]))
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in held:
-                    held[k] = prepare(batch.column("text")[k].as_py())
-            if measure(held[i], held[j]) >= threshold:
-                root[max(x, y)] = min(x, y)
-                a.append(int(ids[i]))
-                b.append(int(ids[j]))
-        return a, b
+def signatures_of(column: pa.Array, registers: int, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, registers)
+
+
+def _promising(registers: int, dtype: str, threshold: float):
+    """Pairs whose signatures agree enough to be worth reading their texts."""
+    least = least_agreement(registers, threshold)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(table: pa.Table, sig: np.ndarray) -> pa.RecordBatch:
-            a, b = links_of(table.combine_chunks().to_batches()[0], sig)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for batch in batches:
+            keep = (signatures_of(batch.column("sa"), registers, dtype) == signatures_of(batch.column("sb"), registers, dtype)).sum(axis=1) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return work
+
+
+def block_pairs(batch: pa.RecordBatch, sig: np.ndarray, rows: int, least: int) -> list[tuple[int, int, int]]:
+    """(less the registers that agree, i, j) of the block's promising pairs of members of different components. A pair is taken in the first band that it shares, and in no other."""
+    comp, block = (batch.column(c).to_numpy() for c in ("comp", "block"))
+    one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
+    right, found = np.flatnonzero(block == two), []
+    for i in np.flatnonzero(block == one):
+        j = right[(comp[right] != comp[i]) & (right > i if one == two else True)]
+        same = sig[j] == sig[i]
+        agree = same.sum(axis=1)
+        keep = agree >= least
+        if keep.any():
+            keep[keep] = same[keep].reshape(int(keep.sum()), sig.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band
+            found += zip((-agree[keep]).tolist(), [int(i)] * int(keep.sum()), j[keep].tolist())
+    return found
+
+
+def _by_block(registers: int, dtype: str, visit: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]):
+    """visit() of each block (rows of equal key, one and two, which come together) and its signatures."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sig = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            # Signatures of a whole batch are made at once: most blocks are small.
-            more = signature(batch.column("text").to_pylist()) if signature else np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, registers)
+            table, more = pa.Table.from_batches([batch]), signatures_of(batch.column("sig"), registers, dtype)
             if held is not None:
-                table, more = pa.concat_tables([held, table]), np.concatenate((sig, more))
+                table, more = pa.concat_tables([held, table]).combine_chunks(), np.concatenate((sig, more))
             key, one, two = (table[c].to_numpy() for c in ("key", "one", "two"))
             cut = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+            whole = table.to_batches()[0]
             for x, y in zip([0, *cut[:-1]], cut):
-                yield flush(table.slice(x, y - x), more[x:y])
+                yield visit(whole.slice(x, y - x), more[x:y])
             held, sig = (table.slice(cut[-1]), more[cut[-1] :]) if len(cut) else (table, more)
         if held is not None:
-            yield flush(held, sig)
+            yield visit(held.combine_chunks().to_batches()[0], sig)
 
     return work
 
 
-def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, signature: Callable | None = None) -> DataFrame:
+def _hopeful(rows: int, least: int):
+    """Ids of the members of promising pairs."""
+
+    def visit(batch: pa.RecordBatch, sig: np.ndarray) -> pa.RecordBatch:
+        some = sorted({k for _, i, j in block_pairs(batch, sig, rows, least) for k in (i, j)})
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some, pa.int64()))], names=["id"])
+
+    return visit
+
+
+def _linked(prepare: Callable, measure: Callable, threshold: float, rows: int, least: int):
+    """Links that join components within a block: at most one fewer than it has members."""
+
+    def visit(batch: pa.RecordBatch, sig: np.ndarray) -> pa.RecordBatch:
+        ids, comp = batch.column("id").to_pylist(), batch.column("comp").to_pylist()
+        root, held, a, b = {c: c for c in comp}, {}, [], []
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for _, i, j in sorted(block_pairs(batch, sig, rows, least)):
+            x, y = top(comp[i]), top(comp[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in held:
+                    held[k] = prepare(batch.column("text")[k].as_py())
+            if measure(held[i], held[j]) >= threshold:
+                root[max(x, y)] = min(x, y)
+                a.append(ids[i])
+                b.append(ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return visit
+
+
+def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
-    items: id, bands (array of band keys) and, unless signature computes the registers of texts, sig (registers
-    as 32-bit numbers in bytes). texts gives (id, text) for ids, staged.
+    items: id, bands (array of band keys) and sig (registers, or their low bits, as bytes of dtype). texts gives
+    (id, text) for ids, staged.
 
     In each bucket of a band key the member that shares most with others is the hub, and every member is
-    verified against it. That joins groups of copies in one round. What is left are buckets that hold
+    verified against it, unless their signatures lie four standard deviations below the threshold. That joins groups of copies in one round. What is left are buckets that hold
     several components: there each pair of members of different components is compared by signature, in
-    blocks of bounded size, and verified on the spot unless its signatures are four standard deviations
-    below the threshold. No pairs leave a block but those that join two components.
+    blocks of bounded size, and verified on the spot under the same condition. No pairs leave a block but those that join two components.
     """
     # One exchange by key serves the count and the join.
     members = items.select("id", F.posexplode("bands").alias("band", "key")).repartition("key")
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = staged(members.join(sizes, "key"), "buckets")
+    members = staged(members.join(sizes.hint("shuffle_hash"), "key"), "buckets")
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     hubs = members.join(score, "id").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "id"))["id"].alias("hub"))
     pairs = staged(members.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    side = lambda c: items.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_promising(registers, dtype, threshold), "a long, b long")
+    close = staged(close, "close")
+    needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
     held = texts(needed)
-    links = staged(verified(pairs, held, prepare, measure, threshold), "links")
+    links = staged(verified(close, held, prepare, measure, threshold), "links")
     found = components(links)
 
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = (rest if signature else rest.join(items.select("id", "sig"), "id")).join(held, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", *([] if signature else ["sig"]), "text")
-    late = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_linked(prepare, measure, threshold, registers, rows, signature), "a long, b long")
+    rest = rest.join(items.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "sig")
+    rest = staged(rest, "rest")
+    together = lambda df: df.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    least = least_agreement(registers, threshold)
+    hopeful = staged(together(rest).mapInArrow(_by_block(registers, dtype, _hopeful(rows, least)), "id long").distinct(), "hopeful")
+    rest_texts = texts(hopeful)
+    late = together(rest.join(rest_texts, "id")).mapInArrow(_by_block(registers, dtype, _linked(prepare, measure, threshold, rows, least)), "a long, b long")
     late = staged(late, "links")
     found = found if late.isEmpty() else components(links.unionByName(late))
-    dropped(members, pairs, held, links, late)
+    dropped(members, pairs, close, held, links, rest, hopeful, rest_texts, late)
     return found
 
 
@@ -240,7 +283,7 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         keys = staged(items.select("id", "h1", "h2").join(needed, "id", "left_semi"), "keys").filter("id >= 0")
         return staged(d.select("h1", "h2", "text").join(keys, ["h1", "h2"]).select("id", "text").dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS)
+    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
     named = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "least", "copies", F.coalesce("root", "id").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return named.join(names, "root").select("h1", "h2", "root", "class_id", "copies")
