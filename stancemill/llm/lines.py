@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancemill.llm.common import chunks, mix, small_batches, staged
+from stancemill.llm.common import chunks, dropped, mix, small_batches, staged
 from stancemill.llm.neardup import band_keys, near_components, text_hashes
 
 WIDTH = 5
@@ -122,6 +122,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     # Each step's first of equal lines has the bands; equal lines have equal ones.
     items = lines.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig"))
     items = staged(items.withColumn("id", F.monotonically_increasing_id()), "items")
+    full, lines = lines, staged(lines.select("doc_id", "h1", "h2", "line", "k1", "k2"), "lines")
+    dropped(full)
 
     def texts(needed: DataFrame) -> DataFrame:
         at = staged(items.select("id", "first.h1", "first.h2", "first.line").join(needed, "id", "left_semi"), "keys").filter("id >= 0")
