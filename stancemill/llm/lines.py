@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.llm.common import chunks, dropped, mix, small_batches, staged
-from stancemill.llm.neardup import band_keys, near_components, text_hashes
+from stancemill.llm.neardup import near_components, text_hashes
 
 WIDTH = 5
 ROWS = 5
@@ -25,60 +25,86 @@ REGISTERS = 60
 #: Characters of a step: its arrays stay in a processor's cache.
 STEP = 1 << 17
 FACTORS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-SHIFTS = mix(np.arange(101, REGISTERS + 101, dtype=np.uint64)).astype(np.uint32)
+#: What str.split() takes as white space, but for the space and the line feed.
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACES = [c for c in SPACES if c.isascii()]
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """normal() of each line; a text without white space to change is lowered as a whole."""
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in ("  ", " \n", "\n ")) or any(c in text for c in (ASCII_SPACES if text.isascii() else SPACES)):
+        return [normal(x) for x in text.split("\n")]
+    return text.lower().split("\n")
+
+
 def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of WIDTH characters of each line, with bounds; a shorter line is filled up to one run."""
     lines = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in lines]
     at = np.cumsum([0, *map(len, lines)])
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     n = len(chars) - WIDTH + 1
     h = chars[:n].copy()
     for k in range(1, WIDTH):
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h *= np.uint32(0x9E3779B1)
         h += chars[k : k + n]
     inside = np.ones(len(chars), bool)
     for k in range(1, WIDTH):
         inside[at[1:] - k] = False
-    return mix(h[inside[:n]]), at - np.arange(len(at)) * (WIDTH - 1)
+    h = h[inside[:n]]
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    return h ^ (h >> np.uint32(16)), at - np.arange(len(at)) * (WIDTH - 1)
 
 
 def minhash(lines: list[str]) -> np.ndarray:
-    """MinHash registers of lines."""
+    """The low 16 bits of the MinHash registers of lines, each the least product of a shingle's hash and an odd factor."""
     h, bounds = char_shingles(lines)
-    h, out = h.astype(np.uint32), np.empty((REGISTERS, len(lines)), np.uint32)
+    out = np.empty((REGISTERS, len(lines)), np.uint32)
     row = np.empty_like(h)
     for k in range(REGISTERS):
         np.multiply(h, FACTORS[k], out=row)
-        np.add(row, SHIFTS[k], out=row)
         np.minimum.reduceat(row, bounds[:-1], out=out[k])
-    return np.ascontiguousarray(out.T)
+    return np.ascontiguousarray(out.T.astype("<u2"))
 
 
-def shingle_set(line: str) -> set[str]:
-    line = normal(line)
-    return {line[k : k + WIDTH] for k in range(max(1, len(line) - WIDTH + 1))}
+def shingle_set(line: str) -> np.ndarray:
+    """The distinct shingles of a line in rising order: the characters themselves, 12 bits each; with others a 64-bit hash."""
+    chars = np.frombuffer(normal(line).ljust(WIDTH, "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(chars) - WIDTH + 1
+    h = chars[:n]
+    for k in range(1, WIDTH):
+        h = (h << np.uint64(12)) | chars[k : k + n]
+    if chars.max() >= 4096:
+        most, other = chars[:n], chars[:n]
+        for k in range(1, WIDTH):
+            most = np.maximum(most, chars[k : k + n])
+            other = other * np.uint64(0xD6E8FEB86659FD93) + chars[k : k + n]
+        h = np.where(most < 4096, h, mix(other) | np.uint64(1 << 63))
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def jaccard(a: set[str], b: set[str]) -> float:
-    common = len(a & b)
-    return common / (len(a) + len(b) - common)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.concatenate((a, b))
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common / (len(both) - common)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that is not blank; bands only at the first of equal lines of a run."""
+    """A row for each line that is not blank; a signature only at the first of equal lines of a run."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for start, run in chunks(texts, STEP):
             row, number, line = [], [], []
             for k, text in enumerate(run):
-                for n, x in enumerate(text.split("\n")):
-                    if x := normal(x):
+                for n, x in enumerate(normal_lines(text)):
+                    if x:
                         row.append(start + k)
                         number.append(n)
                         line.append(x)
@@ -87,10 +113,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in line]
             seen: dict[int, int] = {}
             first = [seen.setdefault(x, k) == k for k, x in enumerate(key)]
-            sig = minhash([x for x, f in zip(line, first) if f])
-            bands = band_keys(sig, ROWS)
-            ends = np.concatenate(([0], np.cumsum(np.array(first) * bands.shape[1])))
-            low = iter(sig.astype(np.uint8))
+            sig = iter(minhash([x for x, f in zip(line, first) if f]))
             halves = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in key), "<i8").reshape(-1, 2)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -99,10 +122,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(number, pa.int32()),
                     pa.array(halves[:, 0]),
                     pa.array(halves[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel()), mask=pa.array([not f for f in first])),
-                    pa.array([next(low).tobytes() if f else None for f in first], pa.binary()),
+                    pa.array([next(sig).tobytes() if f else None for f in first], pa.binary()),
                 ],
-                names=["doc_id", "h1", "h2", "line", "k1", "k2", "bands", "sig"],
+                names=["doc_id", "h1", "h2", "line", "k1", "k2", "sig"],
             )
 
 
@@ -116,21 +138,24 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_hashes(text_col), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, h1 long, h2 long, line int, k1 long, k2 long, bands array<long>, sig binary"
+    schema = "doc_id long, h1 long, h2 long, line int, k1 long, k2 long, sig binary"
     lines = staged(d.mapInArrow(_lines, schema), "lines")
     where = F.struct("doc_id", "line", "h1", "h2")
-    # Each step's first of equal lines has the bands; equal lines have equal ones.
-    items = lines.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("bands", True).alias("bands"), F.first("sig", True).alias("sig"))
+    # Each step's first of equal lines has the signature; equal lines have equal ones.
+    items = lines.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("sig", True).alias("sig"))
     items = staged(items.withColumn("id", F.monotonically_increasing_id()), "items")
     full, lines = lines, staged(lines.select("doc_id", "h1", "h2", "line", "k1", "k2"), "lines")
     dropped(full)
 
     def texts(needed: DataFrame) -> DataFrame:
-        at = staged(items.select("id", "first.h1", "first.h2", "first.line").join(needed, "id", "left_semi"), "keys").filter("id >= 0")
+        # No list is longer than its text has lines; each text is split once.
+        at = items.select("id", "first.h1", "first.h2", "first.line").join(needed, "id", "left_semi")
+        at = staged(at.groupBy("h1", "h2").agg(F.collect_list(F.struct("id", "line")).alias("want")), "keys").filter("size(want) > 0")
         held = d.select("h1", "h2", "text").join(at, ["h1", "h2"])
-        return staged(held.select("id", F.split("text", "\n", -1)[F.col("line")].alias("text")).dropDuplicates(["id"]), "needed")
+        parts = r"transform(array(split(text, '\n', -1)), p -> transform(want, w -> named_struct('id', w.id, 'text', p[w.line])))[0]"
+        return staged(held.select(F.inline(F.expr(parts))).dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "u1")
+    found = near_components(items.select("id", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "<u2")
     near = items.select("id", "first").join(found.withColumnRenamed("node", "id"), "id")
     keepers = near.groupBy("root").agg(F.min("first").alias("keep"))
     near = near.join(keepers, "root").select("id", "keep")

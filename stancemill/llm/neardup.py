@@ -17,6 +17,8 @@ ROWS = 4
 WIDTH = 5
 #: Members of a block of a large bucket.
 BLOCK = 256
+#: Band keys of a slot, about: a task holds a slot's different keys.
+SLOT_KEYS = 1 << 20
 
 
 def weighted_shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,16 +130,17 @@ def block_pairs(batch: pa.RecordBatch, sig: np.ndarray, rows: int, least: int) -
     """(less the registers that agree, i, j) of the block's promising pairs of members of different components. A pair is taken in the first band that it shares, and in no other."""
     comp, block = (batch.column(c).to_numpy() for c in ("comp", "block"))
     one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
-    right, found = np.flatnonzero(block == two), []
-    for i in np.flatnonzero(block == one):
-        j = right[(comp[right] != comp[i]) & (right > i if one == two else True)]
-        same = sig[j] == sig[i]
-        agree = same.sum(axis=1)
-        keep = agree >= least
-        if keep.any():
-            keep[keep] = same[keep].reshape(int(keep.sum()), sig.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band
-            found += zip((-agree[keep]).tolist(), [int(i)] * int(keep.sum()), j[keep].tolist())
-    return found
+    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    i, j = np.triu_indices(len(left), 1) if one == two else (np.repeat(np.arange(len(left)), len(right)), np.tile(np.arange(len(right)), len(left)))
+    i, j = left[i], right[j]
+    apart = comp[i] != comp[j]
+    i, j = i[apart], j[apart]
+    same = sig[i] == sig[j]
+    agree = same.sum(axis=1)
+    close = agree >= least
+    i, j, agree, same = i[close], j[close], agree[close], same[close]
+    here = same.reshape(len(i), sig.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band
+    return list(zip((-agree[here]).tolist(), i[here].tolist(), j[here].tolist()))
 
 
 def _by_block(registers: int, dtype: str, visit: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]):
@@ -201,10 +204,73 @@ def _linked(prepare: Callable, measure: Callable, threshold: float, rows: int, l
     return visit
 
 
+def _scattered(registers: int, rows: int, dtype: str, slots: int):
+    """The items' band keys, ids and bands, packed by slot of the key: few rows to shuffle. Items without bands of their own have those of their signatures."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if "bands" in batch.schema.names:
+                lists = batch.column("bands")
+                count, key = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+            else:
+                keys = band_keys(signatures_of(batch.column("sig"), registers, dtype), rows)
+                count, key = np.full(len(keys), keys.shape[1]), keys.ravel()
+            if not len(key):
+                continue
+            band = (np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint8)
+            slot = (key & (slots - 1)).astype(np.int32)
+            order = np.argsort(slot, kind="stable")
+            slot, key, band, owner = slot[order], key[order], band[order], np.repeat(batch.column("id").to_numpy(), count)[order]
+            cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
+            parts = [pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in (key, owner, band)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]]), *parts], names=["slot", "key", "id", "band"])
+
+    return work
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows in order of slot, the members whose key another one has, and n, how many were seen with it at once (it only ranks the hubs).
+
+    Of each key its first member is held until the slot ends, so that a bucket of any size takes the room of one member.
+    """
+    names, kinds = ("key", "id", "band"), (np.int64, np.int64, np.uint8)
+    none = [np.zeros(0, t) for t in kinds]
+    firsts, told, fresh, waiting, now = none, np.zeros(0, bool), [], 0, None
+
+    def merged() -> pa.RecordBatch:
+        nonlocal firsts, told, fresh, waiting
+        seen = len(told)
+        key, ids, band = (np.concatenate((old, *(f[i] for f in fresh))) for i, old in enumerate(firsts))
+        out = np.concatenate((told, np.zeros(len(key) - seen, bool)))
+        order = np.argsort(key, kind="stable")
+        key, ids, band, out = key[order], ids[order], band[order], out[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        n = np.repeat(size, size)
+        some = (n > 1) & ~out
+        firsts, told, fresh = [x[first] for x in (key, ids, band)], out[first] | (size > 1), []
+        waiting = 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(band[some].astype(np.int32)), pa.array(key[some]), pa.array(n[some])], names=["id", "band", "key", "n"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in names]
+        for slot, *parts in zip(batch.column("slot").to_pylist(), *columns):
+            if slot != now:
+                if fresh:
+                    yield merged()
+                firsts, told, now = none, np.zeros(0, bool), slot
+            fresh.append([np.frombuffer(x, t) for x, t in zip(parts, kinds)])
+            waiting += len(fresh[-1][0])
+            if waiting >= max(SLOT_KEYS, len(told)):
+                yield merged()
+    if fresh:
+        yield merged()
+
+
 def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
-    items: id, bands (array of band keys) and sig (registers, or their low bits, as bytes of dtype). texts gives
+    items: id, sig (registers, or their low bits, as bytes of dtype) and bands (array of band keys; without the column, those of sig). texts gives
     (id, text) for ids, staged.
 
     In each bucket of a band key the member that shares most with others is the hub, and every member is
@@ -212,10 +278,11 @@ def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], p
     several components: there each pair of members of different components is compared by signature, in
     blocks of bounded size, and verified on the spot under the same condition. No pairs leave a block but those that join two components.
     """
-    # One exchange by key serves the count and the join.
-    members = items.select("id", F.posexplode("bands").alias("band", "key")).repartition("key")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = staged(members.join(sizes.hint("shuffle_hash"), "key"), "buckets")
+    # Most keys occur once: their rows go before anything is joined.
+    slots = 1 << max(0, (items.count() * (registers // rows) // SLOT_KEYS)).bit_length()
+    packed = items.mapInArrow(_scattered(registers, rows, dtype, slots), "slot int, key binary, id binary, band binary")
+    packed = packed.repartition("slot").sortWithinPartitions("slot")
+    members = staged(packed.mapInArrow(_shared, "id long, band int, key long, n long"), "buckets")
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     hubs = members.join(score, "id").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "id"))["id"].alias("hub"))
     pairs = staged(members.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -123,6 +124,32 @@ def test_near_documents_without_original(spark):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("room", [1, 40, 10_000])
+def test_shared_keys(monkeypatch, room):
+    monkeypatch.setattr(neardup, "SLOT_KEYS", room)
+    rng = np.random.default_rng(room)
+    bands = rng.integers(0, 400, (120, 3))
+    bands[:50, 1] = 7
+    bands[9] = bands[8]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 20)), pa.array(bands[i : i + 20].tolist(), pa.list_(pa.int64()))], names=["id", "bands"]) for i in range(0, 120, 20)]
+    packed = sorted((r for b in neardup._scattered(3, 1, "<u4", 4)(iter(batches)) for r in b.to_pylist()), key=lambda r: r["slot"])
+    found = [r for b in neardup._shared(iter(pa.RecordBatch.from_pylist(packed[k : k + 3]) for k in range(0, len(packed), 3))) for r in b.to_pylist()]
+    count = Counter(bands.ravel().tolist())
+    wanted = sorted((i, b, int(k)) for i, row in enumerate(bands) for b, k in enumerate(row) if count[int(k)] > 1)
+    assert sorted((r["id"], r["band"], r["key"]) for r in found) == wanted
+    assert all(2 <= r["n"] <= count[r["key"]] for r in found)
+
+
+@given(st.text(st.sampled_from("ab \n\t\u00a0\u0130\u03a3\u4e2d\U0001f600"), max_size=30), st.text(st.sampled_from("ab \u4e2d"), max_size=30))
+def test_line_shingles(a, b):
+    assert lines.normal_lines(a) == [lines.normal(x) for x in a.split("\n")]
+    sets = []
+    for x in (a, b):
+        x = lines.normal(x)
+        sets.append({x[k : k + 5] for k in range(max(1, len(x) - 4))})
+    assert lines.jaccard(lines.shingle_set(a), lines.shingle_set(b)) == len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
 def test_lines(spark):
     rng = random.Random(4)
     base = [words(rng, 20) for _ in range(25)]
