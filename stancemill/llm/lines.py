@@ -167,14 +167,19 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     h1, h2 = text_hashes(text_col)
     mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(id_col).cast("long").alias("_id"), h1, h2)
     per = per.withColumnRenamed("doc_id", "_key")
-    mine = mine.join(per, mine["_id"].eqNullSafe(per["_key"]) & (mine["h1"] == per["h1"]) & (mine["h2"] == per["h2"]), "left")
+    # Of the two sides only the short lists are built into tables: no task sorts its texts.
+    mine = mine.join(per.hint("shuffle_hash"), mine["_id"].eqNullSafe(per["_key"]) & (mine["h1"] == per["h1"]) & (mine["h2"] == per["h2"]), "left")
     kept_text = F.col("row")[text_col].cast("string")
 
+    def not_blank(x: Column) -> Column:
+        # A line that begins with a visible ASCII character needs no pattern.
+        return ((x >= "!") & (x < "\x7f")) | x.rlike(r"(?U)[^\s\x1c-\x1f]")
+
     def rest_of(v: Column) -> Column:
         parts, gone = v["parts"], v["gone"]
-        stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
+        stay = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone))
         left = F.when(gone.isNull(), v["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-        return F.struct(left.alias("text"), F.size(F.filter(parts, lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))).cast("long").alias("n"))
+        return F.struct(left.alias("text"), F.size(F.filter(parts, not_blank)).cast("long").alias("n"))
 
     # Bound as a lambda's variable, the lines are split once, not for each line.
     bound = F.array(F.struct(kept_text.alias("text"), F.split(kept_text, "\n", -1).alias("parts"), F.col("gone").alias("gone")))
