@@ -62,14 +62,17 @@ def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhash(lines: list[str]) -> np.ndarray:
-    """The low 16 bits of the MinHash registers of lines, each the least product of a shingle's hash and an odd factor."""
+    """The low 8 bits of the MinHash registers of lines, each the least product of a shingle's hash and an odd factor.
+
+    Lines without a common shingle agree in a band by chance with probability 2 ** -40, which only adds candidates for verification.
+    """
     h, bounds = char_shingles(lines)
     out = np.empty((REGISTERS, len(lines)), np.uint32)
     row = np.empty_like(h)
     for k in range(REGISTERS):
         np.multiply(h, FACTORS[k], out=row)
         np.minimum.reduceat(row, bounds[:-1], out=out[k])
-    return np.ascontiguousarray(out.T.astype("<u2"))
+    return np.ascontiguousarray(out.T.astype("u1"))
 
 
 def shingle_set(line: str) -> np.ndarray:
@@ -155,7 +158,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         parts = r"transform(array(split(text, '\n', -1)), p -> transform(want, w -> named_struct('id', w.id, 'text', p[w.line])))[0]"
         return staged(held.select(F.inline(F.expr(parts))).dropDuplicates(["id"]), "needed")
 
-    found = near_components(items.select("id", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "<u2")
+    found = near_components(items.select("id", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "u1")
     near = items.select("id", "first").join(found.withColumnRenamed("node", "id"), "id")
     keepers = near.groupBy("root").agg(F.min("first").alias("keep"))
     near = near.join(keepers, "root").select("id", "keep")
