@@ -160,7 +160,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
     found = near_components(items.select("id", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, "u1")
     near = items.select("id", "first").join(found.withColumnRenamed("node", "id"), "id")
-    keepers = near.groupBy("root").agg(F.min("first").alias("keep"))
+    # Written, so that the join's own exchange can split a component that holds many of the lines.
+    keepers = staged(near.groupBy("root").agg(F.min("first").alias("keep")), "keepers")
     near = near.join(keepers, "root").select("id", "keep")
     repeated = items.select("id", "k1", "k2", "first", "n").join(near, "id", "left").filter("n > 1 or keep is not null").select("k1", "k2", F.coalesce("keep", "first").alias("keep"))
     marks = lines.select("doc_id", "h1", "h2", "line", "k1", "k2").join(repeated, ["k1", "k2"]).filter(~where.eqNullSafe(F.col("keep")))

@@ -352,7 +352,8 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
 
     found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
     named = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "least", "copies", F.coalesce("root", "id").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("class_id"))
+    # Written, so that the join's own exchange can split a class that holds many of the texts.
+    names = staged(named.groupBy("root").agg(F.min("least").alias("class_id")), "names")
     return named.join(names, "root").select("h1", "h2", "root", "class_id", "copies")
 
 
