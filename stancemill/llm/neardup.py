@@ -19,6 +19,8 @@ WIDTH = 5
 BLOCK = 256
 #: Band keys of a slot, about: a task holds a slot's different keys.
 SLOT_KEYS = 1 << 20
+#: The dtype of packed_ten().
+TEN_BITS = "u10"
 
 
 def weighted_shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +112,17 @@ def least_agreement(registers: int, threshold: float) -> int:
     return int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
 
 
+def packed_ten(signatures: np.ndarray) -> np.ndarray:
+    """Registers of 10 bits as bytes: of each four the low bytes, then a byte of their high bits."""
+    four = signatures.reshape(len(signatures), -1, 4)
+    high = ((four >> 8) << np.array([0, 2, 4, 6], np.uint16)).sum(axis=2, keepdims=True)
+    return np.concatenate((four & 255, high), axis=2).astype("u1").reshape(len(signatures), -1)
+
+
 def signatures_of(column: pa.Array, registers: int, dtype: str) -> np.ndarray:
+    if dtype == TEN_BITS:
+        raw = np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, registers // 4, 5).astype(np.uint16)
+        return (raw[:, :, :4] | ((raw[:, :, 4:] >> np.array([0, 2, 4, 6], np.uint16)) & 3) << 8).reshape(-1, registers)
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, registers)
 
 
@@ -270,7 +282,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
-    items: id, sig (registers, or their low bits, as bytes of dtype) and bands (array of band keys; without the column, those of sig). texts gives
+    items: id, sig (registers, or their low bits, as bytes of dtype, or by packed_ten()) and bands (array of band keys; without the column, those of sig). texts gives
     (id, text) for ids, staged.
 
     In each bucket of a band key the member that shares most with others is the hub, and every member is

@@ -182,6 +182,17 @@ def test_lines(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_lines_at_the_threshold(spark):
+    """Isolated pairs of lines whose similarity is exactly 0.8: 40 of 50 shingles are common."""
+    rng = random.Random(10)
+    draw = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    pairs = [(c + draw(5), c + draw(5)) for c in (draw(44) for _ in range(3000))]
+    sig = lines.minhash([x for p in pairs for x in p])
+    assert (neardup.signatures_of(pa.array([x.tobytes() for x in neardup.packed_ten(sig)]), lines.REGISTERS, neardup.TEN_BITS) == sig).all()
+    got = lines.dedup_lines(table(spark, [(k, "\n".join(p), "s") for k, p in enumerate(pairs)])).agg(F.sum("n_removed")).first()[0]
+    assert 0.998 * len(pairs) <= got <= len(pairs)
+
+
 def test_sharding(spark, corpus, tmp_path):
     got = sharding.shard(table(spark, corpus), map_path=f"{tmp_path}/m").collect()
     want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in corpus)
