@@ -265,6 +265,32 @@ def test_packing(spark, corpus, shares):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("most", "shares"), [(1024, None), (1024, {"7": 0.25, None: 0.125}), (9, None)])
+def test_packing_of_many_sources(spark, monkeypatch, most, shares):
+    """More sources than a round-robin has queues; shares go by source, also by one whose name is a number."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", most)
+    rng = random.Random(11)
+    rows = [(k, words(rng, 60), str(k)) for k in range(1100)] + [(2000 + k, words(rng, 900), ("big", "7", None)[k % 3]) for k in range(90)]
+    rng.shuffle(rows)
+    got = packing.pack(table(spark, rows), shares=shares).collect()
+    total = sum(r["length"] for r in got)
+    assert sorted(r["sequence_id"] * 1024 + r["offset"] for r in got) == sorted({r["sequence_id"] * 1024 + r["offset"] for r in got})
+    at = 0
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["sequence_id"] * 1024 + r["offset"] == at
+        at += r["length"]
+    enc = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*enc(t), 0], "<u4") for i, t, _ in rows}
+    assert total == sum(map(len, ids.values()))
+    assert all(zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in got)
+    share = {s: sum(r["length"] for r in got if r["source"] == s) / total for s in ("big", "7", None)}
+    if shares:
+        share = {**shares, "big": (1 - sum(shares.values())) * share["big"] / (1 - share["7"] - share[None])}
+    for s in share:
+        for w in range(40):
+            assert abs(sum(r["length"] for r in got if r["sequence_id"] == w and r["source"] == s) - 1024 * share[s]) <= 4 * packing.PACKET
+
+
 def test_token_counts(spark, corpus, tmp_path):
     got = tokencount.document_tokens(table(spark, corpus)).collect()
     enc = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
