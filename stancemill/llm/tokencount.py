@@ -17,20 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from stancemill.llm.common import shared_path, small_batches, staged
 from stancemill.llm.tokens import encoder
 from stancemill.llm.warc import located
 
-END = 50256
+#: The default vocabulary's ids end at 50256, that of <|endoftext|>, which a text can hold.
+END = 50257
 BLOCK_TOKENS = 1 << 22
 
 
+def end_of(tokenizer: str) -> tuple[int, int]:
+    """An id that the tokenizer never emits, and the bytes that its ids and this one take."""
+    end = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
+    return end, 2 if end < 1 << 16 else 4
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, width: int = 2) -> DataFrame:
     """Writes a token file for each task; (doc_id, file, ordinal, bytes) says which document is where. bytes is the file's size so far.
 
-    Only files named there count: those of failed or repeated tasks have other names. A text that holds the
-    end id's string must not split, so its ids equal to end are left out; a null text has no ids.
+    Only files named there count: those of failed or repeated tasks have other names. A text with an id that
+    is end or does not fit is an error, so that all ids of a text count; a null text has no ids.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,7 +53,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
             sizes = []
             for text in batch.column("text"):
                 ids = np.asarray(encode(text.as_py() or ""), dtype=np.int64)
-                raw = np.append(ids[ids != end], end).astype(f"<u{width}").tobytes()
+                if len(ids) and ((ids == end).any() or ids.max() >= 1 << 8 * width):
+                    raise ValueError(f"a text has the end id {end} or an id of more than {width} bytes")
+                raw = np.append(ids, end).astype(f"<u{width}").tobytes()
                 out.write(raw)
                 size += len(raw)
                 sizes.append(size)
@@ -107,13 +117,15 @@ def count_tokens(files: DataFrame, path: str, end: int = END, width: int = 2, bl
 def document_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """doc_id and n_tokens of each row of docs (doc_id, text, ...), counted in token files written from them.
 
-    A null or empty text has 0 tokens; rows that repeat an id are counted one by one; no rows give no rows;
+    Every id of a text counts, those of special tokens' strings too. A null or empty text has 0 tokens; rows that repeat an id are counted one by one; no rows give no rows;
     other columns are ignored.
     """
     path = path or shared_path(docs.sparkSession, "tokens")
-    index = write_tokens(docs, path, tokenizer)
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    end, width = end_of(tokenizer)
+    index = write_tokens(docs, path, tokenizer, end, width)
     files = index.groupBy("file").agg(F.max("bytes").alias("bytes"))
-    return index.join(count_tokens(files, path), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return index.join(count_tokens(files, path, end, width), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -308,6 +308,16 @@ def test_token_counts(spark, corpus, tmp_path):
     assert tokencount.document_tokens(table(spark, [])).count() == 0
 
 
+def test_token_counts_of_special_strings(spark):
+    """Texts with the string of the end-of-text token, whose id counts like any other."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>c", "plain", None]
+    got = tokencount.document_tokens(table(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(slow.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    with pytest.raises(Exception, match="end id"):
+        tokencount.write_tokens(table(spark, [(0, texts[0], "s")]), tokencount.shared_path(spark, "tokens"), end=50256)
+
+
 def test_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.resampled(docs, labels).cache()
