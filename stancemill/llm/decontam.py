@@ -3,7 +3,8 @@
 Fixed masks ignore some positions of a run of eight words. A document and a benchmark item that share a
 masked hash are aligned there, and the overlap around the hit is verified word by word: they overlap if
 some WINDOW consecutive words of the alignment agree in all but SUBSTITUTIONS. The two masks together
-fit into every such window whatever words are substituted, so no such overlap is missed.
+fit into every such window whatever words are substituted, so no such overlap is missed. Items of SPAN to
+WINDOW - 1 words are windows of their own length with one substitution, for which more masks make it so.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ SUBSTITUTIONS = 2
 SPAN = 8
 #: Positions that count; for every choice of 2 of 13 words, one of the masks fits beside them.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
+#: Those of items of SPAN to WINDOW - 1 words; whichever of SPAN words is substituted, one of the masks leaves it out.
+SHORT_MASKS = (*MASKS, (2, 3, 4, 5, 6, 7), (0, 1, 2, 4, 5, 7), (0, 1, 2, 3, 4, 5))
+SHORT_SUBSTITUTIONS = 1
 #: Seeds of the benchmark are broadcast up to this many rows (24 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_SEEDS = 2_000_000
 
@@ -28,14 +32,14 @@ def word_array(text: str) -> str:
     return f"transform(filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w))"
 
 
-def seed_array(words: str) -> str:
-    """SQL for the masked hashes of an array of word hashes: those of the first mask at each position, then those of the second."""
-    each = [f"transform(sequence(0, size({words}) - {SPAN}), i -> xxhash64({k}, {', '.join(f'{words}[i + {o}]' for o in m)}))" for k, m in enumerate(MASKS)]
+def seed_array(words: str, masks: tuple = MASKS) -> str:
+    """SQL for the masked hashes of an array of word hashes: those of the first mask at each position, then those of the next."""
+    each = [f"transform(sequence(0, size({words}) - {SPAN}), i -> xxhash64({k}, {', '.join(f'{words}[i + {o}]' for o in m)}))" for k, m in enumerate(masks)]
     return f"if(size({words}) < {SPAN}, cast(array() as array<bigint>), concat({', '.join(each)}))"
 
 
 def run_array(words: str, lengths: list[int]) -> str:
-    """SQL for (hash, start) of all runs of these numbers of words, for items too short for a window."""
+    """SQL for (hash, start) of all runs of these numbers of words, for items too short for a mask."""
     each = [f"if(size({words}) < {n}, cast(array() as array<struct<seed:bigint,at:int>>), transform(sequence(0, size({words}) - {n}), i -> named_struct('seed', xxhash64(-{n}, slice({words}, i + 1, {n})), 'at', i)))" for n in lengths]
     return f"concat({', '.join(each)})"
 
@@ -45,9 +49,9 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def seeds(df: DataFrame, key: list[str], least: int) -> DataFrame:
+def seeds(df: DataFrame, key: list[str], least: int, masks: tuple = MASKS) -> DataFrame:
     """(key..., seed, at) of the rows of df (key..., words) that have least words or more."""
-    body = f"named_struct('places', size(h) - {SPAN - 1}, 'seeds', if(size(h) < {least}, cast(array() as array<bigint>), {seed_array('h')}))"
+    body = f"named_struct('places', size(h) - {SPAN - 1}, 'seeds', if(size(h) < {least}, cast(array() as array<bigint>), {seed_array('h', masks)}))"
     many = df.select(*key, F.expr(let("words", "h", body)).alias("s"))
     return many.select(*key, "s.places", F.posexplode("s.seeds").alias("at", "seed")).select(*key, "seed", (F.col("at") % F.col("places")).alias("at"))
 
@@ -57,8 +61,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> D
 
     overlap_words is the number of words from the first to the last window that passes on the longest such
     alignment, doc_start and item_start (from 0) where that begins; ties go to the smallest start. Items of
-    fewer than WINDOW words must occur whole and unchanged; items and documents without words overlap with
-    nothing. Rows that repeat a doc_id are told apart by text (h1, h2: its hashes), equal rows count once.
+    fewer than WINDOW words must occur whole, with SHORT_SUBSTITUTIONS from SPAN words on and unchanged below;
+    items and documents without words overlap with nothing. Rows that repeat a doc_id are told apart by text (h1, h2: its hashes), equal rows count once.
     Items with the same id are items of their own, of which the longest overlap counts. Null ids are kept.
     No documents or no items give no rows; other columns are ignored.
     """
@@ -66,10 +70,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> D
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = staged(items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.expr(word_array("text")).alias("words")).filter("size(words) > 0"), "items")
     lengths = [r[0] for r in items.select(F.size("words")).filter(f"size(words) < {WINDOW}").distinct().collect()]  # WINDOW - 1 values at most
+    masks = SHORT_MASKS if any(n >= SPAN for n in lengths) else MASKS
+    lengths = [n for n in lengths if n < SPAN]
     probes = staged(item_seeds(items, lengths), "seeds")
     small = probes.count() <= BROADCAST_SEEDS
     key = ["doc_id", "h1", "h2"]
-    mine = seeds(d, key, SPAN)
+    mine = seeds(d, key, SPAN, masks)
     if lengths:
         mine = mine.unionByName(d.select(*key, F.inline(F.expr(let("words", "h", run_array("h", lengths))))))
     hits = mine.join(F.broadcast(probes) if small else probes, "seed")
@@ -81,7 +87,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> D
     # The stretch of the item that lies in the document, and in it the windows that pass.
     pairs = pairs.withColumn("low", F.greatest(F.lit(0), -F.col("shift"))).withColumn("high", F.least(F.size("iw"), F.size("dw") - F.col("shift")))
     pairs = pairs.withColumn("width", F.least(F.lit(WINDOW), F.size("iw"))).filter("high - low >= width")
-    wanted = f"width - if(width < {WINDOW}, 0, {SUBSTITUTIONS})"
+    wanted = f"width - case when width < {SPAN} then 0 when width < {WINDOW} then {SHORT_SUBSTITUTIONS} else {SUBSTITUTIONS} end"
     same = "transform(sequence(low, high - 1), i -> if(iw[i] = dw[i + shift], 1, 0))"
     passing = F.expr(let(same, "same", f"filter(sequence(0, high - low - width), s -> aggregate(slice(same, s + 1, width), 0, (n, x) -> n + x) >= {wanted})"))
     found = pairs.withColumn("windows", passing).filter("size(windows) > 0")
@@ -95,8 +101,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> D
 
 
 def item_seeds(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """(item, seed, item_at) of benchmark items: seeds of those that have a window, the one whole run of the others."""
-    out = seeds(items, ["item"], WINDOW)
+    """(item, seed, item_at) of benchmark items: seeds of those that have SPAN words or more, the one whole run of the others."""
+    out = seeds(items, ["item"], WINDOW).unionByName(seeds(items.filter(F.size("words") < WINDOW), ["item"], SPAN, SHORT_MASKS))
     for n in lengths:
         whole = items.filter(F.size("words") == n).select("item", F.expr(f"xxhash64(-{n}, words)").alias("seed"), F.lit(0).alias("at"))
         out = out.unionByName(whole)

@@ -390,6 +390,21 @@ def test_decontamination(spark):
     assert decontam.overlaps(table(spark, []), bench).count() == 0 and decontam.overlaps(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of 8 to 12 words with each single word substituted overlap; with two, or of 7 words with one, they do not."""
+    for lost in range(decontam.SPAN):
+        assert any(lost not in m for m in decontam.SHORT_MASKS)
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n))) for n in range(7, 13)]
+    rows, want = [], set()
+    for n, q in items:
+        for lost in [(), *combinations(range(n), 1), *combinations(range(n), 2)]:
+            rows.append((len(rows), " ".join(["a", "b", *("changed" if k in lost else w for k, w in enumerate(q.split())), "c"]), "s"))
+            if len(lost) <= (n >= 8):
+                want.add((rows[-1][0], n, n, 2))
+    got = decontam.overlaps(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["overlap_words"], r["doc_start"]) for r in got) == sorted(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 16))
