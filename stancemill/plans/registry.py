@@ -218,10 +218,11 @@ NORMAL = "list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-zA-Z0
 
 
 def asked(spark, sf_dir) -> DataFrame:
-    """documents, each with one benchmark item as its query."""
+    """documents, each with one benchmark item as its query, whatever the ids are; a null query if there are no items."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("search_query"))
-    n = items.count()
-    return table(spark, sf_dir, "documents").join(items, F.col("doc_id") % n == F.col("item_id"))
+    items = R.dense_ids(items, ["item_id", "search_query"], "_number")
+    n = F.lit(items.count() or None).cast("long")
+    return table(spark, sf_dir, "documents").join(items, F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), n) == F.col("_number"), "left").drop("_number")
 
 
 @query(

@@ -140,3 +140,12 @@ def test_query(spark, sf_dir, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_document_is_asked(spark, tmp_path):
+    """Item ids with gaps and repeats, null and negative ids of documents."""
+    spark.createDataFrame([(3, "red wine"), (3, "white wine"), (9, "tea")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, "red wine"), (-1, "tea"), (0, "red wine"), (1, "white wine"), (5, "tea"), (5, "tea")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert all(r["text"] == r["search_query"] for r in registry.asked(spark, str(tmp_path)).collect())
+    for name in ("max_ngram_overlap", "st_similarity", "quote_shared", "add_features"):
+        assert sorted(r["doc_id"] or 0 for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == [-1, 0, 0, 1, 5, 5], name
