@@ -18,19 +18,21 @@ def _stars(e: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest node of its component.
 
-    Each round pre-aggregates the smallest neighbour of a node before it is joined back, so no task
-    gathers a node's neighbours, and writes its edges to the shared folder. Null ends and loops are
+    Each round aggregates the smallest neighbour of a node and writes it before it is joined back, so that
+    Spark can split a node with many neighbours; its edges go to the shared folder. Null ends and loops are
     ignored; no edges give no rows.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "a", "b").filter("a <> b").select("u", "v").distinct(), "edges")
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "edges")
-        dropped(e)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        dropped(e, least)
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        dropped(large)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        dropped(large, least)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._staged = e._staged
+    return out

@@ -14,16 +14,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stancemill.llm.common import chunks, dropped, mix, small_batches, staged
-from stancemill.llm.neardup import TEN_BITS, near_components, packed_ten, text_hashes
+from stancemill.llm.common import dropped, mix, small_batches, staged
+from stancemill.llm.neardup import TEN_BITS, band_keys, near_components, packed_ten, scattered, text_hashes
 
 WIDTH = 5
-ROWS = 4
-#: At a similarity of 0.8, fifteen bands of four find 99.96 % of the pairs themselves; components need only a path.
-REGISTERS = 60
-#: Characters of a step: its arrays stay in a processor's cache.
-STEP = 1 << 17
+ROWS = 6
+#: At a similarity of 0.8, 26 bands of six find 99.96 % of the pairs themselves; components need only a path.
+REGISTERS = 156
+#: Characters of a step: its arrays of four bytes a character are read once for each register.
+STEP = 1 << 18
+#: Rows of a batch of lines.
+ROWS_OUT = 1 << 14
+#: Members of a block of a large bucket.
+BLOCK = 2048
 FACTORS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: What str.split() takes as white space, but for the space and the line feed.
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -64,7 +69,7 @@ def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def minhash(lines: list[str]) -> np.ndarray:
     """The low 10 bits of the MinHash registers of lines, each the least product of a shingle's hash and an odd factor.
 
-    Lines without a common shingle agree in a band by chance with probability 2 ** -40, which only adds candidates for verification.
+    Lines without a common shingle agree in a band by chance with probability 2 ** -60, which only adds candidates for verification.
     """
     h, bounds = char_shingles(lines)
     out = np.empty((REGISTERS, len(lines)), np.uint32)
@@ -75,9 +80,11 @@ def minhash(lines: list[str]) -> np.ndarray:
     return np.ascontiguousarray(out.T.astype(np.uint16) & np.uint16(1023))
 
 
-def shingle_set(line: str) -> np.ndarray:
-    """The distinct shingles of a line in rising order: the characters themselves, 12 bits each; with others a 64-bit hash."""
-    chars = np.frombuffer(normal(line).ljust(WIDTH, "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line in rising order: the characters themselves, 12 bits each; with others a 64-bit hash."""
+    lines = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in lines]
+    at = np.cumsum([0, *map(len, lines)])
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(chars) - WIDTH + 1
     h = chars[:n]
     for k in range(1, WIDTH):
@@ -88,8 +95,12 @@ def shingle_set(line: str) -> np.ndarray:
             most = np.maximum(most, chars[k : k + n])
             other = other * np.uint64(0xD6E8FEB86659FD93) + chars[k : k + n]
         h = np.where(most < 4096, h, mix(other) | np.uint64(1 << 63))
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        one = np.sort(h[i : j - WIDTH + 1])
+        new = one[1:] != one[:-1]
+        out.append(one if new.all() else one[np.concatenate(([True], new))])
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -100,72 +111,106 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that is not blank; a signature only at the first of equal lines of a run."""
+    """A row for each line that is not blank. Of equal lines of a batch the first has its text and is keyed by its hash; the others are gone, with a key of their own, so that they do not meet."""
     for batch in batches:
+        ids, ones, twos = (batch.column(c).to_pylist() for c in ("doc_id", "h1", "h2"))
+        row, number, line, best = [], [], [], {}
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0))
         texts = batch.column("text").to_pylist()
-        for start, run in chunks(texts, STEP):
-            row, number, line = [], [], []
-            for k, text in enumerate(run):
-                for n, x in enumerate(normal_lines(text)):
-                    if x:
-                        row.append(start + k)
-                        number.append(n)
-                        line.append(x)
-            if not line:
-                continue
-            key = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in line]
-            seen: dict[int, int] = {}
-            first = [seen.setdefault(x, k) == k for k, x in enumerate(key)]
-            sig = iter(packed_ten(minhash([x for x, f in zip(line, first) if f])))
-            halves = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in key), "<i8").reshape(-1, 2)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c).take(take) for c in ("doc_id", "h1", "h2")),
-                    pa.array(number, pa.int32()),
-                    pa.array(halves[:, 0]),
-                    pa.array(halves[:, 1]),
-                    pa.array([next(sig).tobytes() if f else None for f in first], pa.binary()),
-                ],
-                names=["doc_id", "h1", "h2", "line", "k1", "k2", "sig"],
+        for k in order:
+            for n, x in enumerate(normal_lines(texts[k] or "")):
+                if x:
+                    at = len(row)
+                    row.append(k)
+                    number.append(n)
+                    line.append(x)
+                    other = best.setdefault(x, at)
+                    # Rows come by id, so an earlier one loses only to a row with the same id.
+                    if other != at and ids[row[other]] == ids[k] and (n, ones[k], twos[k]) < (number[other], ones[row[other]], twos[row[other]]):
+                        best[x] = at
+        if not line:
+            continue
+        holder = np.array([best[x] for x in line])
+        first = holder == np.arange(len(line))
+        place = lambda k: (ids[row[k]], number[k], ones[row[k]], twos[row[k]])
+        # Rows equal in id and text have one place.
+        again = [k for k in np.flatnonzero(~first).tolist() if place(k) == place(holder[k])]
+        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace") if f else b"%d %d %d" % (ones[r], twos[r], n)) for x, f, r, n in zip(line, first.tolist(), row, number)), "<i8").reshape(-1, 2)
+        stay = np.ones(len(line), bool)
+        stay[again] = False
+        take = pa.array(row)
+        for k in range(0, len(line), ROWS_OUT):
+            part = slice(k, k + ROWS_OUT)
+            out = pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(take[part]) for c in ("doc_id", "h1", "h2")), pa.array(number[part], pa.int32()), pa.array(keys[part, 0]), pa.array(keys[part, 1]), pa.array(~first[part]), pa.array([x if f else None for x, f in zip(line[part], first[part].tolist())], pa.string())],
+                names=["doc_id", "h1", "h2", "line", "k1", "k2", "gone", "text"],
             )
+            yield out if not again else out.filter(pa.array(stay[part]))
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """minhash() of lines in steps of STEP characters."""
+    out, run, size = [np.zeros((0, REGISTERS), np.uint16)], [], 0
+    for x in lines:
+        run.append(x)
+        size += len(x)
+        if size >= STEP:
+            out.append(minhash(run))
+            run, size = [], 0
+    if run:
+        out.append(minhash(run))
+    return np.concatenate(out)
+
+
+def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and band keys of lines."""
+    return batch.column("id").to_numpy(), band_keys(signatures(batch.column("text").to_pylist()), ROWS).view(np.uint64)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = packed_ten(signatures(batch.column("text").to_pylist()))
+        yield batch.append_column("sig", pa.array([x.tobytes() for x in packed], pa.binary()))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its own columns, the text without repeated lines, and n_lines and n_removed (long).
 
     Blank lines stay and are not counted. Of equal or similar lines the first by (doc_id, line number,
-    text hashes) stays, null ids first. Rows equal in doc_id and text share one fate. A null text stays
+    text hashes) stays, null ids first. Rows equal in doc_id and text share one fate, as one row. A null text stays
     null with no lines; a text all of whose lines go becomes what blank lines it had, at least empty.
-    Columns named n_lines or n_removed are replaced; no rows give no rows.
+    A text or line of any length is taken whole. Columns named n_lines or n_removed are replaced; no rows give no rows.
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_hashes(text_col), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, h1 long, h2 long, line int, k1 long, k2 long, sig binary"
-    lines = staged(d.mapInArrow(_lines, schema), "lines")
-    where = F.struct("doc_id", "line", "h1", "h2")
-    # Each step's first of equal lines has the signature; equal lines have equal ones.
-    items = lines.groupBy("k1", "k2").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("sig", True).alias("sig"))
-    items = staged(items.withColumn("id", F.monotonically_increasing_id()), "items")
-    full, lines = lines, staged(lines.select("doc_id", "h1", "h2", "line", "k1", "k2"), "lines")
-    dropped(full)
+    lines = d.mapInArrow(_lines, "doc_id long, h1 long, h2 long, line int, k1 long, k2 long, gone boolean, text string")
+    # Of equal lines of all batches the first is an item, with its text; the others are gone, but for those of equal rows.
+    equal = Window.partitionBy("k1", "k2").orderBy("doc_id", "line", "h1", "h2")
+    lines = lines.withColumns({"number": F.row_number().over(equal), "rank": F.rank().over(equal)}).filter("gone or number = 1 or rank > 1")
+    lines = lines.withColumn("gone", F.col("gone") | (F.col("rank") > 1))
+    lines = staged(lines.select(F.monotonically_increasing_id().alias("id"), "doc_id", "h1", "h2", "line", "gone", F.when(~F.col("gone"), F.col("text")).alias("text")), "lines")
+    items = lines.filter("not gone")
+    known: list[DataFrame] = []
+
+    def sigs(needed: DataFrame) -> DataFrame:
+        some = items.select("id", "text").join(needed, "id", "left_semi")
+        known.append(staged(some.mapInArrow(_signed, "id long, text string, sig binary"), "needed"))
+        return known[-1]
 
     def texts(needed: DataFrame) -> DataFrame:
-        # No list is longer than its text has lines; each text is split once.
-        at = items.select("id", "first.h1", "first.h2", "first.line").join(needed, "id", "left_semi")
-        at = staged(at.groupBy("h1", "h2").agg(F.collect_list(F.struct("id", "line")).alias("want")), "keys").filter("size(want) > 0")
-        held = d.select("h1", "h2", "text").join(at, ["h1", "h2"])
-        parts = r"transform(array(split(text, '\n', -1)), p -> transform(want, w -> named_struct('id', w.id, 'text', p[w.line])))[0]"
-        return staged(held.select(F.inline(F.expr(parts))).dropDuplicates(["id"]), "needed")
-
-    found = near_components(items.select("id", "sig"), texts, shingle_set, jaccard, threshold, REGISTERS, ROWS, TEN_BITS)
-    near = items.select("id", "first").join(found.withColumnRenamed("node", "id"), "id")
+        return known[0].select("id", "text").join(needed, "id", "left_semi")
+
+    packed = scattered(items.select("id", "text"), _bands, REGISTERS // ROWS)
+    found = near_components(packed, sigs, texts, shingle_sets, jaccard, threshold, REGISTERS, ROWS, TEN_BITS, BLOCK)
+    dropped(*known)
+    where = F.struct("doc_id", "line", "h1", "h2")
+    near = staged(items.select("id", where.alias("first")).join(found.withColumnRenamed("node", "id"), "id").select("root", "first"), "near")
     # Written, so that the join's own exchange can split a component that holds many of the lines.
     keepers = staged(near.groupBy("root").agg(F.min("first").alias("keep")), "keepers")
-    near = near.join(keepers, "root").select("id", "keep")
-    repeated = items.select("id", "k1", "k2", "first", "n").join(near, "id", "left").filter("n > 1 or keep is not null").select("k1", "k2", F.coalesce("keep", "first").alias("keep"))
-    marks = lines.select("doc_id", "h1", "h2", "line", "k1", "k2").join(repeated, ["k1", "k2"]).filter(~where.eqNullSafe(F.col("keep")))
+    similar = near.join(keepers, "root").filter(~F.col("first").eqNullSafe(F.col("keep"))).select("first.doc_id", "first.h1", "first.h2", "first.line")
+    marks = lines.filter("gone").select("doc_id", "h1", "h2", "line").unionByName(similar)
     per = staged(marks.groupBy("doc_id", "h1", "h2").agg(F.collect_set("line").alias("gone")), "gone")
+    dropped(found, near, keepers, lines)
 
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     h1, h2 = text_hashes(text_col)

@@ -6,19 +6,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancemill.llm.common import GOLDEN, MASK64, chunks, dropped, mix, shingles, small_batches, staged, word_hashes
+from stancemill.llm.common import CHUNK_BYTES, GOLDEN, MASK64, chunks, dropped, mix, shingles, small_batches, staged, word_hashes
 from stancemill.llm.components import components
 
 REGISTERS = 64
 ROWS = 4
 WIDTH = 5
-#: Members of a block of a large bucket.
-BLOCK = 256
-#: Band keys of a slot, about: a task holds a slot's different keys.
-SLOT_KEYS = 1 << 20
+#: Members of a block of a large bucket, whose texts a task holds.
+BLOCK = 512
+#: Registers that a strip of comparisons within a block takes.
+STRIP = 1 << 22
+#: Keys of a slot, about: a task holds a slot's different keys.
+SLOT_KEYS = 1 << 19
+#: Keys that a task gathers before it packs them.
+HELD_KEYS = 1 << 21
 #: The dtype of packed_ten().
 TEN_BITS = "u10"
 
@@ -84,23 +89,36 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return float((1 / (from_x / x + from_y / y)).sum())
 
 
-def shingle_set(text: str) -> tuple[np.ndarray, np.ndarray]:
-    h, w, _ = weighted_shingles([text])
-    return h, w
+def shingle_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    h, w, bounds = weighted_shingles(texts)
+    return [(h[i:j], w[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+
+
+def prepared(texts: dict, prepare: Callable) -> dict:
+    """prepare() of the texts by their keys, a run of texts at a time."""
+    keys, out = list(texts), {}
+    for start, run in chunks(list(texts.values())):
+        out.update(zip(keys[start : start + len(run)], prepare(run)))
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, measure: Callable, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) measure threshold or more."""
+    """The pairs (a, b) whose texts (id, text) measure threshold or more; prepare(list of texts) gives what is measured."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, object] = {}
         for batch in batches:
-            keep = []
-            sides = [(batch.column(i).to_pylist(), batch.column(t)) for i, t in (("a", "ta"), ("b", "tb"))]
-            for k, (a, b) in enumerate(zip(sides[0][0], sides[1][0])):
-                if b not in held:
-                    held = {b: prepare(sides[1][1][k].as_py())}
-                keep.append(measure(prepare(sides[0][1][k].as_py()), held[b]) >= threshold)
+            keep, run, held, size = [], [], {}, 0
+            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            for k, pair in enumerate(zip(a, b)):
+                run.append(pair)
+                for i, text in zip(pair, (ta[k], tb[k])):
+                    if i not in held:
+                        held[i] = text
+                        size += len(text)
+                if size >= CHUNK_BYTES or k == len(a) - 1:
+                    sets = dict(zip(held, prepare(list(held.values()))))
+                    keep += [measure(sets[i], sets[j]) >= threshold for i, j in run]
+                    run, held, size = [], {}, 0
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
@@ -138,42 +156,54 @@ def _promising(registers: int, dtype: str, threshold: float):
     return work
 
 
-def block_pairs(batch: pa.RecordBatch, sig: np.ndarray, rows: int, least: int) -> list[tuple[int, int, int]]:
-    """(less the registers that agree, i, j) of the block's promising pairs of members of different components. A pair is taken in the first band that it shares, and in no other."""
-    comp, block = (batch.column(c).to_numpy() for c in ("comp", "block"))
-    one, two, band = (batch.column(c)[0].as_py() for c in ("one", "two", "band"))
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    i, j = np.triu_indices(len(left), 1) if one == two else (np.repeat(np.arange(len(left)), len(right)), np.tile(np.arange(len(right)), len(left)))
-    i, j = left[i], right[j]
-    apart = comp[i] != comp[j]
-    i, j = i[apart], j[apart]
-    same = sig[i] == sig[j]
-    agree = same.sum(axis=1)
-    close = agree >= least
-    i, j, agree, same = i[close], j[close], agree[close], same[close]
-    here = same.reshape(len(i), sig.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band
-    return list(zip((-agree[here]).tolist(), i[here].tolist(), j[here].tolist()))
+def block_pairs(batch: pa.RecordBatch, sig: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(registers that agree, i, j) of the promising pairs of members of different components in each of the batch's blocks (runs of equal key, one and two).
+
+    Where one and two differ, members of the one are paired with those of the other. A pair is taken in the first band that
+    it shares, and in no other. Pairs are made in strips, so that memory does not grow with the square of a block.
+    """
+    key, one, two, block, comp, band = (batch.column(c).to_numpy() for c in ("key", "one", "two", "block", "comp", "band"))
+    n, found = len(key), []
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+    size = np.diff(np.append(first, n))
+    later = np.repeat(first + size, size) - np.arange(n) - 1
+    total = np.cumsum(later)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STRIP // sig.shape[1], "right")))
+        i = np.repeat(np.arange(at, to), later[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+        at = to
+        apart = (comp[i] != comp[j]) & ((one[i] == two[i]) | (block[i] != block[j]))
+        i, j = i[apart], j[apart]
+        same = sig[i] == sig[j]
+        agree = np.count_nonzero(same, axis=1)
+        close = agree >= least
+        i, j, agree, same = i[close], j[close], agree[close], same[close]
+        here = same.reshape(len(i), sig.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == band[i]
+        found.append((agree[here], i[here], j[here]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _by_block(registers: int, dtype: str, visit: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]):
-    """visit() of each block (rows of equal key, one and two, which come together) and its signatures."""
+    """visit() of whole blocks (rows of equal key, one and two, which come together), as many as a batch holds, and their signatures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sig = None, None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table, more = pa.Table.from_batches([batch]), signatures_of(batch.column("sig"), registers, dtype)
             if held is not None:
-                table, more = pa.concat_tables([held, table]).combine_chunks(), np.concatenate((sig, more))
-            key, one, two = (table[c].to_numpy() for c in ("key", "one", "two"))
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
-            whole = table.to_batches()[0]
-            for x, y in zip([0, *cut[:-1]], cut):
-                yield visit(whole.slice(x, y - x), more[x:y])
-            held, sig = (table.slice(cut[-1]), more[cut[-1] :]) if len(cut) else (table, more)
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key, one, two = (batch.column(c).to_numpy() for c in ("key", "one", "two"))
+            last = np.flatnonzero((key != key[-1]) | (one != one[-1]) | (two != two[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                done = batch.slice(0, cut)
+                yield visit(done, signatures_of(done.column("sig"), registers, dtype))
+            held = batch.slice(cut)
         if held is not None:
-            yield visit(held.combine_chunks().to_batches()[0], sig)
+            yield visit(held, signatures_of(held.column("sig"), registers, dtype))
 
     return work
 
@@ -182,145 +212,161 @@ def _hopeful(rows: int, least: int):
     """Ids of the members of promising pairs."""
 
     def visit(batch: pa.RecordBatch, sig: np.ndarray) -> pa.RecordBatch:
-        some = sorted({k for _, i, j in block_pairs(batch, sig, rows, least) for k in (i, j)})
-        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(some, pa.int64()))], names=["id"])
+        _, i, j = block_pairs(batch, sig, rows, least)
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.unique(np.concatenate((i, j)))))], names=["id"])
 
     return visit
 
 
 def _linked(prepare: Callable, measure: Callable, threshold: float, rows: int, least: int):
-    """Links that join components within a block: at most one fewer than it has members."""
+    """Links that join components within the blocks: at most one fewer than they have members."""
 
     def visit(batch: pa.RecordBatch, sig: np.ndarray) -> pa.RecordBatch:
         ids, comp = batch.column("id").to_pylist(), batch.column("comp").to_pylist()
-        root, held, a, b = {c: c for c in comp}, {}, [], []
+        root, a, b = {c: c for c in comp}, [], []
 
         def top(c: int) -> int:
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        for _, i, j in sorted(block_pairs(batch, sig, rows, least)):
-            x, y = top(comp[i]), top(comp[j])
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in held:
-                    held[k] = prepare(batch.column("text")[k].as_py())
-            if measure(held[i], held[j]) >= threshold:
+        agree, i, j = block_pairs(batch, sig, rows, least)
+        some = np.unique(np.concatenate((i, j)))
+        sets = prepared(dict(zip(some.tolist(), batch.column("text").take(pa.array(some)).to_pylist())), prepare)
+        for k in np.lexsort((j, i, -agree)):
+            m, n = int(i[k]), int(j[k])
+            x, y = top(comp[m]), top(comp[n])
+            if x != y and measure(sets[m], sets[n]) >= threshold:
                 root[max(x, y)] = min(x, y)
-                a.append(ids[i])
-                b.append(ids[j])
+                a.append(ids[m])
+                b.append(ids[n])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return visit
 
 
-def _scattered(registers: int, rows: int, dtype: str, slots: int):
-    """The items' band keys, ids and bands, packed by slot of the key: few rows to shuffle. Items without bands of their own have those of their signatures."""
+def scattered(items: DataFrame, keys: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], bands: int) -> DataFrame:
+    """The items' band keys, packed by slot: few rows to shuffle, eight bytes a key. keys(batch) gives ids and their band keys (a column for each band).
+
+    A slot is a band and some low bits of its keys; a row has 32 further bits of each key and the ids, as distances from base where these fit into 32 bits.
+    """
+    parts = 1 << max(0, items.count() // SLOT_KEYS).bit_length()
+
+    def packed(ids: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        slots, out = [], []
+        for band in range(bands):
+            part = (key[:, band] & np.uint64(parts - 1)).astype(np.uint16 if parts <= 1 << 16 else np.uint64)
+            order = np.argsort(part, kind="stable") if parts > 1 else np.arange(len(ids))
+            part, mine = part[order], ids[order]
+            some = (key[order, band] >> np.uint64(32)).astype(np.uint32)
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                base = int(mine[i:j].min())
+                far = int(mine[i:j].max()) - base >= 1 << 32
+                slots.append(band * parts + int(part[i]))
+                out.append((base, some[i:j].tobytes(), (mine[i:j] - base).astype(np.int64 if far else np.uint32).tobytes()))
+        base, some, ids = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(base, pa.int64()), pa.array(some, pa.binary()), pa.array(ids, pa.binary())], names=["slot", "base", "keys", "ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            if "bands" in batch.schema.names:
-                lists = batch.column("bands")
-                count, key = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
-            else:
-                keys = band_keys(signatures_of(batch.column("sig"), registers, dtype), rows)
-                count, key = np.full(len(keys), keys.shape[1]), keys.ravel()
-            if not len(key):
-                continue
-            band = (np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint8)
-            slot = (key & (slots - 1)).astype(np.int32)
-            order = np.argsort(slot, kind="stable")
-            slot, key, band, owner = slot[order], key[order], band[order], np.repeat(batch.column("id").to_numpy(), count)[order]
-            cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
-            parts = [pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in (key, owner, band)]
-            yield pa.RecordBatch.from_arrays([pa.array(slot[cut[:-1]]), *parts], names=["slot", "key", "id", "band"])
+            if batch.num_rows:
+                held.append(keys(batch))
+                n += held[-1][1].size
+            if n >= HELD_KEYS:
+                yield packed(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*held)))
 
-    return work
+    rows = items.mapInArrow(work, "slot long, base long, keys binary, ids binary")
+    return rows.repartition("slot").sortWithinPartitions("slot", "base").withColumn("band", (F.col("slot") / parts).cast("int"))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packed rows in order of slot, the members whose key another one has, and n, how many were seen with it at once (it only ranks the hubs).
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows in order of slot: (key, band, id, hub) of every item whose key an earlier one, the hub, has.
 
-    Of each key its first member is held until the slot ends, so that a bucket of any size takes the room of one member.
+    Of each key only the hub is held until the slot ends, so that a bucket of any size takes the room of one member.
     """
-    names, kinds = ("key", "id", "band"), (np.int64, np.int64, np.uint8)
-    none = [np.zeros(0, t) for t in kinds]
-    firsts, told, fresh, waiting, now = none, np.zeros(0, bool), [], 0, None
+    key, hub = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    fresh, waiting, now, of_band = [], 0, None, 0
 
     def merged() -> pa.RecordBatch:
-        nonlocal firsts, told, fresh, waiting
-        seen = len(told)
-        key, ids, band = (np.concatenate((old, *(f[i] for f in fresh))) for i, old in enumerate(firsts))
-        out = np.concatenate((told, np.zeros(len(key) - seen, bool)))
-        order = np.argsort(key, kind="stable")
-        key, ids, band, out = key[order], ids[order], band[order], out[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(first, len(key)))
-        n = np.repeat(size, size)
-        some = (n > 1) & ~out
-        firsts, told, fresh = [x[first] for x in (key, ids, band)], out[first] | (size > 1), []
-        waiting = 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(band[some].astype(np.int32)), pa.array(key[some]), pa.array(n[some])], names=["id", "band", "key", "n"])
+        nonlocal key, hub, fresh, waiting
+        some = np.concatenate([key, *(k for k, _ in fresh)])
+        ids = np.concatenate([hub, *(i for _, i in fresh)])
+        # Sorted with their places, equal keys stay in order of arrival.
+        order = (np.sort(some.astype(np.uint64) << np.uint64(32) | np.arange(len(some), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        some, ids = some[order], ids[order]
+        new = np.concatenate(([True], some[1:] != some[:-1]))
+        first = np.flatnonzero(new)
+        owner = ids[first][np.cumsum(new) - 1]
+        member = ~new & (ids != owner)
+        key, hub, fresh, waiting = some[first], ids[first], [], 0
+        full = (np.int64(now) << np.int64(32)) | some[member].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), of_band, np.int32)), pa.array(ids[member]), pa.array(owner[member])], names=["key", "band", "id", "hub"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in names]
-        for slot, *parts in zip(batch.column("slot").to_pylist(), *columns):
+        slots, bases, bands = (batch.column(c).to_pylist() for c in ("slot", "base", "band"))
+        for k, slot in enumerate(slots):
             if slot != now:
                 if fresh:
                     yield merged()
-                firsts, told, now = none, np.zeros(0, bool), slot
-            fresh.append([np.frombuffer(x, t) for x, t in zip(parts, kinds)])
-            waiting += len(fresh[-1][0])
-            if waiting >= max(SLOT_KEYS, len(told)):
+                key, hub, now, of_band = key[:0], hub[:0], slot, bands[k]
+            some = np.frombuffer(batch.column("keys")[k].as_buffer(), np.uint32)
+            raw = batch.column("ids")[k].as_buffer()
+            fresh.append((some, np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(some) else np.int64).astype(np.int64) + bases[k]))
+            waiting += len(some)
+            if waiting >= max(SLOT_KEYS, len(key)):
                 yield merged()
     if fresh:
         yield merged()
 
 
-def near_components(items: DataFrame, texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str) -> DataFrame:
+def near_components(packed: DataFrame, sigs: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str, block: int = BLOCK) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
-    items: id, sig (registers, or their low bits, as bytes of dtype, or by packed_ten()) and bands (array of band keys; without the column, those of sig). texts gives
-    (id, text) for ids, staged.
+    packed: scattered() items. sigs gives (id, sig) for ids (registers, or their low bits, as bytes of dtype, or by packed_ten()) and texts (id, text), both staged.
 
-    In each bucket of a band key the member that shares most with others is the hub, and every member is
-    verified against it, unless their signatures lie four standard deviations below the threshold. That joins groups of copies in one round. What is left are buckets that hold
-    several components: there each pair of members of different components is compared by signature, in
-    blocks of bounded size, and verified on the spot under the same condition. No pairs leave a block but those that join two components.
+    In each bucket of a band key one member, the hub, is compared with every other, and verified unless their
+    signatures lie four standard deviations below the threshold. That joins groups of copies in one round. What is
+    left are buckets whose other members belong to several components: there each pair of members of different
+    components is compared by signature, in blocks of bounded size, and verified on the spot under the same
+    condition. No pairs leave a block but those that join two components.
     """
-    # Most keys occur once: their rows go before anything is joined.
-    slots = 1 << max(0, (items.count() * (registers // rows) // SLOT_KEYS)).bit_length()
-    packed = items.mapInArrow(_scattered(registers, rows, dtype, slots), "slot int, key binary, id binary, band binary")
-    packed = packed.repartition("slot").sortWithinPartitions("slot")
-    members = staged(packed.mapInArrow(_shared, "id long, band int, key long, n long"), "buckets")
-    score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    hubs = members.join(score, "id").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "id"))["id"].alias("hub"))
-    pairs = staged(members.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    side = lambda c: items.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
+    least = least_agreement(registers, threshold)
+    stars = staged(packed.mapInArrow(_stars, "key long, band int, id long, hub long"), "stars")
+    pairs = staged(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    needed = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    known = sigs(needed)
+    side = lambda c: known.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_promising(registers, dtype, threshold), "a long, b long")
     close = staged(close, "close")
-    needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    held = texts(needed)
+    dropped(pairs, needed)
+    held = texts(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct())
     links = staged(verified(close, held, prepare, measure, threshold), "links")
     found = components(links)
+    dropped(close, links)
 
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = stars.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    # Written, so that the join's own exchanges can split a large bucket.
+    mixed = staged(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed")
     rest = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.join(items.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.join(known.select("id", "sig"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp", "sig")
     rest = staged(rest, "rest")
     together = lambda df: df.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    least = least_agreement(registers, threshold)
     hopeful = staged(together(rest).mapInArrow(_by_block(registers, dtype, _hopeful(rows, least)), "id long").distinct(), "hopeful")
     rest_texts = texts(hopeful)
     late = together(rest.join(rest_texts, "id")).mapInArrow(_by_block(registers, dtype, _linked(prepare, measure, threshold, rows, least)), "a long, b long")
     late = staged(late, "links")
-    found = found if late.isEmpty() else components(links.unionByName(late))
-    dropped(members, pairs, close, held, links, rest, hopeful, rest_texts, late)
+    dropped(stars, mixed, rest, hopeful)
+    if not late.isEmpty():
+        before, found = found, components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+        dropped(before)
+    dropped(late)
     return found
 
 
@@ -340,6 +386,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array([low[k].tobytes() for k in range(len(run))], pa.binary())], names=["doc_id", "h1", "h2", "bands", "sig"])
 
 
+def _own_bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and band keys of the items that have any."""
+    some = pa.compute.greater(pa.compute.fill_null(batch.column("bands").value_lengths(), 0), 0)
+    return batch.column("id").filter(some).to_numpy(), batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(-1, REGISTERS // ROWS)
+
+
 def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h1, h2, root, class_id, copies): for each distinct text, its class (root) and how many rows have it. h1, h2 are the text's hashes, see text_hashes().
 
@@ -358,11 +410,21 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     items = staged(groups.withColumn("id", F.monotonically_increasing_id()), "texts")
 
-    def texts(needed: DataFrame) -> DataFrame:
-        keys = staged(items.select("id", "h1", "h2").join(needed, "id", "left_semi"), "keys").filter("id >= 0")
-        return staged(d.select("h1", "h2", "text").join(keys, ["h1", "h2"]).select("id", "text").dropDuplicates(["id"]), "needed")
+    known: list[DataFrame] = []
 
-    found = near_components(items.select("id", "bands", "sig"), texts, shingle_set, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
+    def sigs(needed: DataFrame) -> DataFrame:
+        known.append(staged(items.select("id", "sig").join(needed, "id", "left_semi"), "sigs"))
+        return known[-1]
+
+    def texts(needed: DataFrame) -> DataFrame:
+        keys = staged(items.select("id", "h1", "h2").join(needed, "id", "left_semi"), "keys")
+        known.append(staged(d.select("h1", "h2", "text").join(keys.filter("id >= 0"), ["h1", "h2"]).select("id", "text").dropDuplicates(["id"]), "needed"))
+        dropped(keys)
+        return known[-1]
+
+    packed = scattered(items.select("id", "bands"), _own_bands, REGISTERS // ROWS)
+    found = near_components(packed, sigs, texts, shingle_sets, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
+    dropped(rows, *known)
     named = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "least", "copies", F.coalesce("root", "id").alias("root"))
     # Written, so that the join's own exchange can split a class that holds many of the texts.
     names = staged(named.groupBy("root").agg(F.min("least").alias("class_id")), "names")
