@@ -1,8 +1,9 @@
 """Quality by importance resampling: two hashed n-gram models and a Gumbel top-k.
 
 Bag-of-n-gram models with BUCKETS hashed counts are fitted to target text (labelled documents of good
-quality, a bounded sample) and to raw text (all documents). A document's log weight is its log probability
-under the target model less that under the raw one. With Gumbel noise added, the k largest keys are a
+quality, a bounded sample) and to raw text (all documents). A document's log weight is the log probability
+of its n-grams under the target model less that under the raw one, per CHUNK n-grams: that of an average
+chunk of so many, so that long texts do not outweigh by length alone. With Gumbel noise added, the k largest keys are a
 sample without replacement in proportion to the weights; k is the share of good documents among all labelled.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from stancemill.llm.common import GOLDEN, chunks, mix, small_batches, staged, word_hashes
 
 BUCKETS = 1 << 14
+#: N-grams (words and word pairs) of the chunk that a document's weight is of.
+CHUNK = 128
 #: At most so many labelled documents, by hash of their id, fit the target model.
 TARGET_ROWS = 20_000
 SEED = 20_177
@@ -82,7 +85,7 @@ def keys_of(ids: pa.Array, texts: list[str | None], ratios: np.ndarray) -> tuple
         bucket, bounds = features(run)
         some = np.flatnonzero(np.diff(bounds))
         if len(some):
-            weight[start + some] = np.add.reduceat(ratios[bucket], bounds[:-1][some])
+            weight[start + some] = np.add.reduceat(ratios[bucket], bounds[:-1][some]) * CHUNK / np.diff(bounds)[some]
             extra[start + some] = np.add.reduceat(mix(bucket.astype(np.uint64) + np.uint64(1)), bounds[:-1][some])
     none = ids.is_null().to_numpy(zero_copy_only=False)
     number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -150,8 +153,8 @@ def fitted(docs: DataFrame, labels: DataFrame, share: float | None = None) -> tu
 def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """doc_id, log_weight, key and kept of each row of docs (doc_id, text, ...), given labels (doc_id, quality, toxic, ...).
 
-    Null and empty texts have weight 0 (log); rows of equal keys at the threshold (equal id and text) are all
-    kept. Labels with a null id or of documents that are not there fit nothing; without labels of good quality all
+    Null and empty texts have weight 0 (log); a text of any length is counted whole; rows of equal keys at the threshold (equal id and text) are all
+    kept. Labels with a null id, a null quality or of documents that are not there fit nothing, a null toxic counts as not toxic; without labels of good quality all
     weights are equal, and without any labels all rows are kept. No rows give no rows; other columns are ignored.
     """
     _, least, scored = fitted(docs, labels, share)

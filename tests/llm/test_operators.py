@@ -125,19 +125,54 @@ def test_near_documents_without_original(spark):
 
 
 @pytest.mark.parametrize("room", [1, 40, 10_000])
-def test_shared_keys(monkeypatch, room):
-    monkeypatch.setattr(neardup, "SLOT_KEYS", room)
+@pytest.mark.parametrize("step", [1, 1 << 40])
+def test_shared_keys(spark, monkeypatch, room, step):
+    """Every item that shares a band key is a star with one hub of that key, also with ids far apart and slots of a key or two."""
     rng = np.random.default_rng(room)
-    bands = rng.integers(0, 400, (120, 3))
+    bands = rng.integers(0, 400, (120, 3)).astype(np.uint64)
     bands[:50, 1] = 7
     bands[9] = bands[8]
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 20)), pa.array(bands[i : i + 20].tolist(), pa.list_(pa.int64()))], names=["id", "bands"]) for i in range(0, 120, 20)]
-    packed = sorted((r for b in neardup._scattered(3, 1, "<u4", 4)(iter(batches)) for r in b.to_pylist()), key=lambda r: r["slot"])
-    found = [r for b in neardup._shared(iter(pa.RecordBatch.from_pylist(packed[k : k + 3]) for k in range(0, len(packed), 3))) for r in b.to_pylist()]
-    count = Counter(bands.ravel().tolist())
-    wanted = sorted((i, b, int(k)) for i, row in enumerate(bands) for b, k in enumerate(row) if count[int(k)] > 1)
-    assert sorted((r["id"], r["band"], r["key"]) for r in found) == wanted
-    assert all(2 <= r["n"] <= count[r["key"]] for r in found)
+    key = bands << np.uint64(32) | bands
+    items = spark.createDataFrame([(i * step, i) for i in range(120)], "id long, at int").repartition(3)
+    monkeypatch.setattr(neardup, "SLOT_KEYS", room)
+    packed = neardup.scattered(items, lambda b: (b.column("id").to_numpy(), key[b.column("at").to_numpy()]), 3).drop("band")
+    parts = 1 << max(0, 120 // room).bit_length()
+    batches = sorted(({**r.asDict(), "band": r["slot"] // parts} for r in packed.collect()), key=lambda r: (r["slot"], r["base"]))
+    found = [r for b in neardup._stars(iter(pa.RecordBatch.from_pylist(batches[k : k + 3]) for k in range(0, len(batches), 3))) for r in b.to_pylist()]
+    held: dict = {}
+    for i, row in enumerate(bands.tolist()):
+        for b, k in enumerate(row):
+            held.setdefault((b, k), set()).add(i * step)
+    stars: dict = {}
+    for r in found:
+        stars.setdefault((r["band"], r["key"] & 0xFFFFFFFF), []).append((r["id"], r["hub"]))
+    assert stars.keys() == {k for k, v in held.items() if len(v) > 1}
+    for k, v in stars.items():
+        assert len({h for _, h in v}) == 1 and len(v) == len(held[k]) - 1
+        assert {i for i, _ in v} | {v[0][1]} == held[k]
+
+
+@pytest.mark.parametrize("strip", [1, 300, 1 << 20])
+def test_block_pairs(monkeypatch, strip):
+    monkeypatch.setattr(neardup, "STRIP", strip)
+    rng = np.random.default_rng(5)
+    n = 60
+    sig = rng.integers(0, 3, (n, 8)).astype(np.uint16)
+    comp, block = rng.integers(0, 12, n), rng.integers(0, 2, n)
+    key, two = np.repeat([3, 3, 9], 20), np.repeat([0, 1, 1], 20)
+    one = np.repeat([0, 0, 1], 20)
+    block[:20], block[40:] = 0, 1
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, (key, one, two, block, comp, np.ones(n, int)))], names=["key", "one", "two", "block", "comp", "band"])
+    agree, i, j = neardup.block_pairs(batch, sig, 2, 3)
+    want = set()
+    for a, b in combinations(range(n), 2):
+        same = sig[a] == sig[b]
+        shared = [k for k in range(4) if same[2 * k : 2 * k + 2].all()]
+        placed = a // 20 == b // 20 and (a // 20 != 1 or block[a] != block[b])
+        if placed and comp[a] != comp[b] and same.sum() >= 3 and (shared or [0])[0] == 1:
+            want.add((int(same.sum()), a, b))
+    assert {a // 20 for _, a, _ in want} == {0, 1, 2}
+    assert set(zip(agree.tolist(), i.tolist(), j.tolist())) == want
 
 
 @given(st.text(st.sampled_from("ab \n\t\u00a0\u0130\u03a3\u4e2d\U0001f600"), max_size=30), st.text(st.sampled_from("ab \u4e2d"), max_size=30))
@@ -147,7 +182,7 @@ def test_line_shingles(a, b):
     for x in (a, b):
         x = lines.normal(x)
         sets.append({x[k : k + 5] for k in range(max(1, len(x) - 4))})
-    assert lines.jaccard(lines.shingle_set(a), lines.shingle_set(b)) == len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert lines.jaccard(*lines.shingle_sets([lines.normal(a), lines.normal(b)])) == len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
 def test_lines(spark):
@@ -182,6 +217,33 @@ def test_lines(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+def test_lines_of_a_hot_bucket(spark, monkeypatch, block):
+    """One group of near copies that holds most lines, exact copies in other batches, repeated ids, and strangers in its buckets."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(12)
+    stem = words(rng, 30)
+    rows = [(k, f"{stem} {rng.randrange(40)}\n{words(rng, 12, 40)}", "s") for k in range(150)]
+    rows += [(k % 5, f"{stem} x{k % 3}", "s") for k in range(40)]
+    got = lines.dedup_lines(table(spark, rows).repartition(5)).select("doc_id", "text").collect()
+    places, sets = [], []
+    for i, t, _ in rows:
+        for n, x in enumerate(t.split("\n")):
+            places.append((i, n, t))
+            x = lines.normal(x)
+            sets.append({x[k : k + 5] for k in range(len(x) - 4)})
+    root = union_find(len(sets), [(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    assert Counter(root).most_common(1)[0][1] > 150
+    hashes = {r["text"]: (r["h1"], r["h2"]) for r in spark.createDataFrame([(t,) for t in {t for _, t, _ in rows}], "text string").select("text", *neardup.text_hashes()).collect()}
+    order = lambda p: (p[0], p[1], *hashes[p[2]])
+    first: dict = {}
+    for k, r in enumerate(root):
+        first[r] = min(first.get(r, places[k]), places[k], key=order)
+    kept = set(first.values())
+    want = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n, t) in kept)) for i, t, _ in rows]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_lines_at_the_threshold(spark):
     """Isolated pairs of lines whose similarity is exactly 0.8: 40 of 50 shingles are common."""
     rng = random.Random(10)
@@ -338,6 +400,38 @@ def test_quality(spark, sf_dir):
     assert list(np.diff(bounds)) == [6 + 5, 0, 1]
 
 
+def test_quality_model(spark):
+    """Ratios and weights from counters of words and pairs; only the bucket of a word or pair comes from the library."""
+    rng = random.Random(6)
+    rows = [(k, words(rng, rng.randrange(0, 40), 60) if k else None, "s") for k in range(50)] + [(7, "w1 w2", "s"), (None, "w3 w3 w3", "s")]
+    marks = spark.createDataFrame([(k, k % 2, k % 7 == 0 if k % 3 else None) for k in range(60)] + [(None, 1, False)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    bucket = lambda *w: int(quality.features([" ".join(w)])[0][-1])
+    grams = lambda t: [bucket(w) for w in (t or "").split()] + [bucket(*p) for p in zip((t or "").split(), (t or "").split()[1:])]
+    raw = Counter(b for _, t, _ in rows for b in grams(t))
+    good = {k for k in range(60) if k % 2 == 1 and (k % 3 == 0 or k % 7)}
+    target = Counter(b for i, t, _ in rows if i in good for b in grams(t))
+    n, m, size = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    base = lambda b: (raw[b] + 1) / (n + size)
+    ratio = lambda b: np.log((target[b] + size * base(b)) / (m + size)) - np.log(base(b))
+    got = quality.resampled(table(spark, rows), marks).collect()
+    mean = lambda t: sum(map(ratio, grams(t))) * quality.CHUNK / max(1, len(grams(t)))
+    weights = sorted(((r["doc_id"], r["log_weight"]) for r in got), key=str)
+    for (i, w), (j, v) in zip(weights, sorted(((i, mean(t)) for i, t, _ in rows), key=str), strict=True):
+        assert i == j
+    assert np.allclose(sorted(w for _, w in weights), sorted(mean(t) for _, t, _ in rows))
+    noise = np.array([r["key"] - r["log_weight"] for r in got])
+    assert len({round(x, 9) for x in noise}) == len({i for i, _, _ in rows}) and -3 < noise.min() < 0 < noise.max() < 12
+
+
+def test_quality_held_out(spark):
+    """Labels of odd ids fit; those of even ids tell how many good and bad documents stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.resampled(docs, labels.filter("doc_id % 2 = 1")).join(labels.filter("doc_id % 2 = 0"), "doc_id")
+    kept = {(r["quality"], r["kept"]): r["n"] for r in got.filter("coalesce(toxic, 0) = 0").groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    assert kept[1, True] >= 0.97 * (kept[1, True] + kept.get((1, False), 0))
+    assert kept.get((0, True), 0) <= 0.7 * (kept.get((0, True), 0) + kept[0, False])
+
+
 def test_kth_largest(spark):
     v = [((k * 7919) % 10007) / 7 for k in range(9000)] + [5.0] * 6000
     df = spark.createDataFrame([(x,) for x in v], "x double")
@@ -425,6 +519,35 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_size(spark):
+    """Squares that leave a double's range, and several blocks of one label."""
+    rows = [(1, [3e200, 4e200], 0), (2, [3e-200, 4e-200], 0), (3, [-3.0, -4.0], 0), (4, [5e-324, 0.0], 0), (5, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_embeddings(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_embedding_tiles(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(7, 8)) * 0.3 for _ in range(4)]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_embeddings(df).collect()}
+    assert got == {k: int((cos[k] >= 0.93).sum()) - 1 for k in range(len(x))}
+
+
+def test_embedding_bounds():
+    """No product of decoded vectors lies farther from the cosine than its bound, and the bounds settle most pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64)) * np.exp(rng.normal(size=(300, 64)) * 2)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = embeddings.quantised(x)
+    middle, error = embeddings.bounds(q, q)
+    assert (np.abs(middle - x @ x.T) <= error).all() and (np.abs(middle - 0.93) > error).mean() > 0.95
+
+
 def test_warc(spark, tmp_path):
     big = "<p>ä" + "x" * 200
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "http://a/ b\r\nX: y", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (7, "http://a/7", "y" * 300000), (1, "http://a/1", big), (8, "u", "WARC/1.1\r\n\r\n" * 20)]
