@@ -33,6 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         dropped(large, least)
-    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    out._staged = e._staged
+    out = staged(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    dropped(e)
     return out

@@ -28,7 +28,7 @@ STEP = 1 << 18
 #: Rows of a batch of lines.
 ROWS_OUT = 1 << 14
 #: Members of a block of a large bucket.
-BLOCK = 2048
+BLOCK = 1024
 FACTORS = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: What str.split() takes as white space, but for the space and the line feed.
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -193,7 +193,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     known: list[DataFrame] = []
 
     def sigs(needed: DataFrame) -> DataFrame:
-        some = items.select("id", "text").join(needed, "id", "left_semi")
+        # The filter on ids tells Spark that the side is selective: it sends a Bloom filter ahead of the shuffle of texts.
+        some = items.select("id", "text").join(needed.filter("id >= 0"), "id", "left_semi")
         known.append(staged(some.mapInArrow(_signed, "id long, text string, sig binary"), "needed"))
         return known[-1]
 
@@ -204,7 +205,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     found = near_components(packed, sigs, texts, shingle_sets, jaccard, threshold, REGISTERS, ROWS, TEN_BITS, BLOCK)
     dropped(*known)
     where = F.struct("doc_id", "line", "h1", "h2")
-    near = staged(items.select("id", where.alias("first")).join(found.withColumnRenamed("node", "id"), "id").select("root", "first"), "near")
+    near = staged(items.select("id", where.alias("first")).join(found.withColumnRenamed("node", "id").filter("id >= 0"), "id").select("root", "first"), "near")
     # Written, so that the join's own exchange can split a component that holds many of the lines.
     keepers = staged(near.groupBy("root").agg(F.min("first").alias("keep")), "keepers")
     similar = near.join(keepers, "root").filter(~F.col("first").eqNullSafe(F.col("keep"))).select("first.doc_id", "first.h1", "first.h2", "first.line")

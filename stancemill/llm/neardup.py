@@ -413,11 +413,11 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     known: list[DataFrame] = []
 
     def sigs(needed: DataFrame) -> DataFrame:
-        known.append(staged(items.select("id", "sig").join(needed, "id", "left_semi"), "sigs"))
+        known.append(staged(items.select("id", "sig").join(needed.filter("id >= 0"), "id", "left_semi"), "sigs"))
         return known[-1]
 
     def texts(needed: DataFrame) -> DataFrame:
-        keys = staged(items.select("id", "h1", "h2").join(needed, "id", "left_semi"), "keys")
+        keys = staged(items.select("id", "h1", "h2").join(needed.filter("id >= 0"), "id", "left_semi"), "keys")
         known.append(staged(d.select("h1", "h2", "text").join(keys.filter("id >= 0"), ["h1", "h2"]).select("id", "text").dropDuplicates(["id"]), "needed"))
         dropped(keys)
         return known[-1]
