@@ -92,17 +92,24 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def quote_shared(one: str | None, two: str | None, stop: frozenset = STOP_WORDS) -> tuple[str | None, str | None]:
-    """Both strings with the words whose stems they share in double quotes; once a word is quoted the strings are in lower case. A null gives nulls."""
+    """Both strings in lower case, with double quotes around the words whose stems they share; without such words they stay as they are. A null gives nulls.
+
+    Words are told apart by case: the first shared word, one's before two's, is found in the given case; others only if they
+    are in lower case themselves, as they are looked for in the texts in lower case.
+    """
     if one is None or two is None:
         return None, None
-    sides = [[t for t in TOKEN.findall(s) if t.lower() not in stop] for s in (one, two)]
-    common = {stem(t) for t in sides[0]} & {stem(t) for t in sides[1]}
-    texts = [one, two]
-    for token in (t for side in sides for t in side if stem(t) in common):
-        # Matching is by the current form: after the first step both texts are in lower case.
-        whole = re.compile(rf"\b{re.escape(token)}\b")
-        texts = [whole.sub(lambda m: f'"{m[0]}"', t).lower() for t in texts]
-    return tuple(re.sub('"+', '"', t) for t in texts)
+    words = [[(t, stem(t)) for t in TOKEN.findall(s) if t.lower() not in stop] for s in (one, two)]
+    both = set.intersection(*({root for _, root in side} for side in words))
+    shared = [t for side in words for t, root in side if root in both]
+    if not shared:
+        return one, two
+    whole = lambda some: re.compile(r"\b(?:%s)\b" % "|".join(map(re.escape, sorted(some, key=len, reverse=True))))
+    later = {t for t in shared[1:] if t == t.lower()}
+    marked = [whole(shared[:1]).sub('"\\g<0>"', text).lower() for text in (one, two)]
+    if later:
+        marked = [whole(later).sub('"\\g<0>"', text) for text in marked]
+    return tuple(re.sub('"+', '"', text) for text in marked)
 
 
 def quote_shared_words(one: Column, two: Column) -> Column:
@@ -113,3 +120,37 @@ def quote_shared_words(one: Column, two: Column) -> Column:
         return pd.DataFrame([quote_shared(x, y) for x, y in zip(a, b)], columns=["one", "two"])
 
     return work(one, two)
+
+
+def longest_run(text: list[str], query: list[str]) -> list[str]:
+    """The longest run of the query's words that the text has too; of several the one that ends first.
+
+    If the two share a run of k words they share one of k - 1, so k is found by halving.
+    """
+    asked = set(query)
+    places = [i for i, w in enumerate(text) if w in asked]
+
+    def shared(k: int) -> list[int]:
+        held = {tuple(text[i : i + k]) for i in places if i + k <= len(text)}
+        return [i for i in range(len(query) - k + 1) if tuple(query[i : i + k]) in held]
+
+    low, high = 0, min(len(query), len(text)) if places else 0
+    while low < high:
+        k = (low + high + 1) // 2
+        low, high = (k, high) if shared(k) else (low, k - 1)
+    return query[shared(low)[0] :][:low] if low else []
+
+
+def longest_common_ngram(text: Column, query: Column) -> Column:
+    """The longest run of stems that the words of the text and the query (arrays, see text.normal_words) share; none gives an empty array, a null side null."""
+
+    @F.pandas_udf("array<string>")
+    def work(t: pd.Series, q: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def stems(words) -> list[str]:
+            return [known[w] if w in known else known.setdefault(w, stem(w)) for w in words]
+
+        return pd.Series([None if x is None or y is None else longest_run(stems(x), stems(y)) for x, y in zip(t, q)], dtype=object)
+
+    return work(text, query)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
+from stancemill.functions.stem import longest_common_ngram
 
 Feature = Callable[[Column, Column, Column], Column]
 REGISTRY: dict[str, Feature] = {}
@@ -38,7 +40,7 @@ feature("_num_unique_tokens")(lambda text, query, url: T.num_unique_tokens(text)
 feature("_href_count")(lambda text, query, url: T.count_pattern(text, T.HREF))
 feature("_url_count")(lambda text, query, url: T.count_pattern(text, T.url_pattern()))
 feature("_email_count")(lambda text, query, url: T.count_pattern(text, T.EMAIL))
-feature("_max_ngram_overlap")(lambda text, query, url: F.size(T.longest_common_ngram(T.normal_words(text), T.normal_words(query))).cast("long"))
+feature("_max_ngram_overlap")(lambda text, query, url: F.size(longest_common_ngram(T.normal_words(text), T.normal_words(query))).cast("long"))
 feature("_tld")(lambda text, query, url: T.suffix(url))
 feature("_domain")(lambda text, query, url: T.domain(url))
 feature("_flesch_kincaid_readibility")(lambda text, query, url: T.readability(text))
@@ -90,24 +92,40 @@ def perplexity(text: Column, query: Column, url: Column) -> Column:
 DRIVER = ["_st_similarity", "_num_tokens", "_num_unique_tokens", "_flesch_kincaid_readibility", "_max_ngram_overlap", "_sentiment_flan", "_perplexity_gpt2"]
 
 
-def add_features(df: DataFrame, names: list[str] | None = None, text_col: str = "text", skip: bool = True) -> DataFrame:
-    """df with the named features (default: all whose inputs df has); present columns are kept if skip. One projection adds them all."""
+def add_features(df: DataFrame, names: list[str] | None = None, text_col: str = "text", skip: bool = True, models: dict[str, Feature] | None = None) -> DataFrame:
+    """df with the named features (default: all whose inputs df has); present columns are kept if skip. One projection adds them all.
+
+    models gives features in place of those registered, such as those of operators.models. A feature that can't be built for df
+    is left out with a warning, and the others are added.
+    """
     has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     needs = {"_tld": "url", "_domain": "url", "_max_ngram_overlap": "search_query", "_st_similarity": "search_query"}
     names = names or [n for n in REGISTRY if needs.get(n, text_col) in df.columns]
-    return df.withColumns({n: REGISTRY[n](has(text_col), has("search_query"), has("url")) for n in names if not (skip and n in df.columns)})
+    made = {}
+    for n in names:
+        if skip and n in df.columns:
+            continue
+        try:
+            made[n] = (REGISTRY | (models or {}))[n](has(text_col), has("search_query"), has("url"))
+            df.select(made[n])
+        except Exception as error:  # noqa: BLE001 - one feature's failure leaves the others
+            made.pop(n, None)
+            warnings.warn(f"feature {n} left out: {error}", stacklevel=2)
+    return df.withColumns(made)
 
 
 def unique_lemmas(df: DataFrame, lemmas: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n): distinct lemmas of each text's tokens; tokens that lemmas (token, lemma) lacks are their own."""
-    tokens = df.select(id_col, F.explode(F.array_distinct(T.space_tokens(F.col(text_col)))).alias("token"))
-    return tokens.join(lemmas, "token", "left").groupBy(id_col).agg(F.count_distinct(F.coalesce("lemma", "token")).alias("n"))
+    """(id, n): distinct lemmas of each text's tokens; tokens that lemmas (token, lemma) lacks are their own. A null text has a null n."""
+    tokens = df.select(id_col, F.explode_outer(F.array_distinct(T.space_tokens(F.col(text_col)))).alias("token"))
+    return tokens.join(lemmas, "token", "left").groupBy(id_col).agg(F.nullif(F.count_distinct(F.coalesce("lemma", "token")), F.lit(0)).alias("n"))
 
 
 def token_perplexity(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, perplexity) under a corpus unigram model with add-one smoothing: exp of the mean negative log-likelihood of each text's words."""
-    words = df.select(id_col, F.explode(T.normal_words(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    model = words.groupBy("word").agg(F.sum("n").alias("c"))
-    total = model.agg(F.sum("c").alias("t"), F.count("*").alias("v"))
-    scored = words.join(model, "word").join(F.broadcast(total))
-    return scored.groupBy(id_col).agg(F.exp(-F.sum(F.col("n") * F.ln((F.col("c") + 1) / (F.col("t") + F.col("v")))) / F.sum("n")).alias("perplexity"))
+    """(id, perplexity) under a corpus unigram model with add-one smoothing: exp of the mean negative log-likelihood of each text's words; null without words."""
+    words = df.select(id_col, F.explode_outer(T.normal_words(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    model = words.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
+    # One row, as a scalar subquery: no join.
+    total = model.agg((F.sum("c") + F.count("*")).alias("t")).scalar()
+    scored = words.join(model, "word", "left").withColumn("t", total)
+    nll = -F.sum(F.col("n") * F.ln((F.col("c") + 1) / F.col("t"))) / F.sum(F.when(F.col("word").isNotNull(), F.col("n")))
+    return scored.groupBy(id_col).agg(F.exp(nll).alias("perplexity"))

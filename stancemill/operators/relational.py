@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,14 +38,26 @@ def filter_by_id(pages: DataFrame, pairs: DataFrame, ids: DataFrame, whitelist:
     return f(pages, ids, "answer_id"), f(f(pairs, ids, "answer_id_1"), ids, "answer_id_2")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder of spark.checkpoint.dir (unset on a single machine: a temporary one), so that steps that read it twice compute it once."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="stancemill-"))
+    return df.checkpoint()
+
+
 def evidence_ids(df: DataFrame, least: int, answer: str, query: str = "search_query") -> DataFrame:
-    """Ids of the yes and no rows of queries with least yes answers, or least no answers. Rows without query don't count."""
+    """Ids of the yes and no rows of queries with least yes answers, or least no answers. Rows without query don't count. Reads df twice."""
     enough = df.filter(F.col(query).isNotNull()).groupBy(query).agg(F.count_if(F.col(answer) == "yes").alias("y"), F.count_if(F.col(answer) == "no").alias("n")).filter((F.col("y") >= least) | (F.col("n") >= least))
     return df.filter(F.col(answer).isin("yes", "no")).join(enough.select(query), query, "left_semi").select("answer_id").distinct()
 
 
-def filter_pair_thresh(df: DataFrame, least: int, answer: str = "anthropic_author_stance_p") -> tuple[DataFrame, DataFrame]:
-    """(rows, ids): rows of df whose answer_id is one of evidence_ids, and those ids."""
+def filter_pair_thresh(df: DataFrame, least: int, answer: str = "stance") -> tuple[DataFrame, DataFrame]:
+    """(rows, ids): rows of df whose answer_id is one of evidence_ids, and those ids. df is computed once."""
+    df = settled(df)
     ids = evidence_ids(df, least, answer)
     return keep_ids(df, ids, "answer_id"), ids
 
@@ -81,7 +94,7 @@ def unseen(inputs: DataFrame, cache: DataFrame, column: str) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
     """df with gapless ids from 0 in the given order, without bringing all rows to one task: rows are numbered within ranges, whose sizes are summed up."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -62,5 +62,14 @@ def dedup_filter(pages: DataFrame, duplicates: DataFrame, least: int = 5, answer
     return R.filter_pair_thresh(R.drop_ids(pages, duplicates, "search_query", "search_query"), least, answer)[0]
 
 
+def labelled_by(pages: DataFrame, labellers: dict[str, connectors.Completer], text_col: str = "text_thresh_window_sent") -> DataFrame:
+    """pages (search_query, ...) with the answer of each labeller in a column of its name; null where text or query is, or where it fails."""
+    prompt = F.concat(F.lit("Does this text answer the question with yes or with no?\nQuestion: "), F.col("search_query"), F.lit("\nText: "), F.col(text_col))
+    out = pages.withColumn("_prompt", prompt)
+    for name, labeller in labellers.items():
+        out = out.withColumn(name, connectors.answer(F.col("_prompt"), labeller))
+    return out.drop("_prompt")
+
+
 def add_page_features(pages: DataFrame, text_col: str = "text_thresh_window_sent") -> DataFrame:
     return features.add_features(pages, features.DRIVER, text_col)

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
-from stancemill.functions.stem import quote_shared_words, stem_word
-from stancemill.operators import boilerplate, features
+from stancemill.functions.stem import longest_common_ngram, quote_shared_words, stem_word
+from stancemill.operators import boilerplate, features, models
 from stancemill.operators import relational as R
 from stancemill.plans import pipeline
+from stancemill.plans.stem_sql import stems
 from stancemill.sources import connectors, io
 
 QUERIES: dict = {}
@@ -214,7 +215,10 @@ def best_window_by_dot(spark, sf_dir):
     return s.groupBy("label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("b")).select("label", (-F.col("b.v")).alias("vec_id"), F.col("b.score").alias("score"))
 
 
-NORMAL = "list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+PLAIN = "regexp_replace(lower({}), '[^a-zA-Z0-9\\s]', ' ', 'g')"
+for _a, _b in T.CONTRACTIONS:
+    PLAIN = f"regexp_replace({PLAIN}, '\\b{_a}{_b}\\b', '{_a} {_b}', 'g')"
+NORMAL = f"list_filter(regexp_split_to_array({PLAIN}, '\\s+'), lambda w: w <> '')"
 
 
 def asked(spark, sf_dir) -> DataFrame:
@@ -225,13 +229,20 @@ def asked(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").join(items, F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), n) == F.col("_number"), "left").drop("_number")
 
 
+ASKED = "documents d JOIN benchmark i ON d.doc_id % (SELECT count(*) FROM benchmark) = i.item_id"
+
+
 @query(
-    f"WITH b AS (SELECT d.doc_id, ' ' || array_to_string({NORMAL.format('d.text')}, ' ') || ' ' AS t, {NORMAL.format('i.text')} AS q FROM documents d JOIN benchmark i ON d.doc_id % (SELECT count(*) FROM benchmark) = i.item_id) "
-    "SELECT doc_id, CAST(coalesce(list_max(list_transform(range(1, len(q) + 1), lambda s: coalesce(list_max(list_transform(range(s, len(q) + 1), lambda e: CASE WHEN contains(t, ' ' || array_to_string(q[s:e], ' ') || ' ') THEN e - s + 1 ELSE 0 END)), 0))), 0) AS BIGINT) AS n FROM b"
+    f"WITH b AS (SELECT d.doc_id, {NORMAL.format('d.text')} AS t, {NORMAL.format('i.text')} AS q FROM {ASKED}), words AS (SELECT unnest(t) AS w FROM b UNION SELECT unnest(q) FROM b), {stems('words')}, "
+    "t AS (SELECT doc_id, list(stem ORDER BY k) AS t FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM b) JOIN stems USING (w) GROUP BY doc_id), "
+    "q AS (SELECT doc_id, list(stem ORDER BY k) AS q FROM (SELECT doc_id, unnest(q) AS w, generate_subscripts(q, 1) AS k FROM b) JOIN stems USING (w) GROUP BY doc_id), "
+    "r AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS t, q FROM b LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)".replace("b LEFT JOIN", "(SELECT doc_id FROM b) LEFT JOIN") + ") "
+    "SELECT doc_id, CAST(coalesce(list_max(list_transform(range(1, len(q) + 1), lambda s: coalesce(list_max(list_transform(range(s, len(q) + 1), lambda e: CASE WHEN contains(t, ' ' || array_to_string(q[s:e], ' ') || ' ') THEN e - s + 1 ELSE 0 END)), 0))), 0) AS BIGINT) AS n FROM r"
 )
 def max_ngram_overlap(spark, sf_dir):
+    """Of stems."""
     d = asked(spark, sf_dir)
-    return d.select("doc_id", long(F.size(T.longest_common_ngram(T.normal_words(F.col("text")), T.normal_words(F.col("search_query"))))).alias("n"))
+    return d.select("doc_id", long(F.size(longest_common_ngram(T.normal_words(F.col("text")), T.normal_words(F.col("search_query"))))).alias("n"))
 
 
 ANSWERS = "Yes 1: Red wine is good\nYes 2: Wine: helps\nNo 1: Red wine is bad\nNote: skip me\nno colon\nNo 2:"
@@ -282,11 +293,11 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", p["k"].alias("k"), p["link"].alias("link"))
 
 
-@query("SELECT event_id, event_type AS title FROM events WHERE event_type IS NOT NULL")
+@query("SELECT event_id, event_type AS title, '{\"title\":\"' || event_type || '\",\"rank\":7}' AS request_dump FROM events WHERE event_type IS NOT NULL")
 def parse_hits(spark, sf_dir):
-    """Responses with one item, made from events; those without items give no rows."""
-    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").isNotNull(), F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("title"))).alias("items")))).otherwise("{}").alias("response"))
-    return connectors.parse_hits(e).select("event_id", "title")
+    """Responses with one item, made from events; those without items give no rows. The dump is the whole item, a field that the table lacks too."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").isNotNull(), F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("title"), F.lit(7).alias("rank"))).alias("items")))).otherwise("{}").alias("response"))
+    return connectors.parse_hits(e).select("event_id", "title", "request_dump")
 
 
 @query("SELECT doc_id, round(ln(greatest(quality, 0.001)), 6) AS positive, round(ln(greatest(1 - quality, 0.001)), 6) AS negative FROM labels")
@@ -313,11 +324,18 @@ def resume_antijoin(spark, sf_dir):
     return R.unseen(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT page_id, html FROM pages WHERE NOT ends_with(url, '.html') UNION ALL SELECT page_id, html FROM pages WHERE ends_with(url, '.html')")
+STORED = "CASE WHEN page_id % 5 = 0 THEN url || '.pdf' WHEN page_id % 7 <> 0 THEN url END"
+
+
+@query(
+    f"WITH p AS (SELECT page_id, {STORED} AS u FROM pages), f AS (SELECT url, min(html) AS html FROM (SELECT url, html FROM pages UNION ALL SELECT url || '.pdf', html FROM pages) GROUP BY url) "
+    "SELECT page_id, CASE WHEN NOT ends_with(u, '.pdf') THEN f.html END AS html FROM p LEFT JOIN f ON f.url = p.u"
+)
 def fetch_offline(spark, sf_dir):
-    """Every page's url looked up in a store that holds each url once."""
+    """Every page's url looked up in a store that holds it and a PDF of its name; some urls are PDFs and some missing."""
     p = table(spark, sf_dir, "pages")
-    return connectors.fetch_offline(p.select("page_id", "url"), p.select("url", "html")).select("page_id", "html")
+    stored = p.select("url", "html").unionByName(p.select(F.concat("url", F.lit(".pdf")).alias("url"), "html"))
+    return connectors.fetch_offline(p.select("page_id", F.expr(STORED).alias("url")), stored).select("page_id", "html")
 
 
 @query("SELECT '[' || doc_id || ']' AS json FROM labels")
@@ -325,10 +343,10 @@ def id_list(spark, sf_dir):
     return io.id_list(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("answer_id")))
 
 
-@query()
+@query(f"WITH words AS (SELECT unnest({NORMAL.format('text')}) AS w FROM benchmark), {stems('words')} SELECT stem, array_to_string(list_sort(list(w)), ' ') AS words FROM stems GROUP BY stem")
 def stem_vocab(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(T.normal_words(F.col("text"))).alias("word"))
-    return R.inverted_index(words, stem_word(F.col("word")), "word")
+    return R.inverted_index(words, stem_word(F.col("word")), "word").select("stem", F.array_join("words", " ").alias("words"))
 
 
 @query()
@@ -383,3 +401,45 @@ def add_features(spark, sf_dir):
 @query("SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
 def row_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+
+
+def _score(a: str, b: str) -> str:
+    """SQL for the dot product of models.CountEncoder's encodings."""
+    count = lambda x, c: f"CAST(length({x}) - length(replace({x}, '{c}', '')) AS DOUBLE)"
+    return " + ".join(f"{count(a, c)} * {count(b, c)}" for c in models.CountEncoder().characters)
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, i, array_to_string(w, ' ') AS w FROM ({WINDOWS})), q AS (SELECT d.doc_id, i.text AS q FROM {ASKED}), s AS (SELECT doc_id, i, w, {_score('w', 'q')} AS score FROM w JOIN q USING (doc_id)) "
+    "SELECT doc_id, md5(w) AS digest, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM s) WHERE r = 1"
+)
+def best_window_model(spark, sf_dir):
+    """The best window by a tokenizer and an encoder that the caller gives."""
+    best = models.best_windows(asked(spark, sf_dir), models.SpaceTokenizer(), models.CountEncoder())
+    return best.select("doc_id", F.md5("text_thresh_window").alias("digest"), F.col("text_thresh_window_score").alias("score"))
+
+
+@query(f"WITH t AS ({ORACLE['sentence_trim']}), q AS (SELECT d.doc_id, i.text AS q FROM {ASKED}) SELECT doc_id, md5(text) AS digest, {_score('text', 'q')} AS score FROM t JOIN q USING (doc_id)")
+def trim_rescore(spark, sf_dir):
+    out = models.trim_rescored(asked(spark, sf_dir).withColumnRenamed("text", "text_thresh_window"), models.CountEncoder())
+    return out.select("doc_id", F.md5("text_thresh_window_sent").alias("digest"), F.col("score_sent").alias("score"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN contains(lower(text), 'not') THEN 'not' WHEN contains(lower(text), 'yes') THEN 'yes' WHEN contains(lower(text), 'no') THEN 'no' END AS first, "
+    "CASE WHEN length(text) % 2 = 0 THEN 'yes' ELSE 'no' END AS second FROM documents"
+)
+def label_both(spark, sf_dir):
+    """Two labellers over the same prompt; one answers with the text itself, the other by its length."""
+
+    class Parrot:
+        def complete(self, prompt: str) -> str:
+            return prompt.split("\nText: ", 1)[1]
+
+    class Ruler:
+        def complete(self, prompt: str) -> str:
+            return "Yes." if len(prompt.split("\nText: ", 1)[1]) % 2 == 0 else "No."
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("q").alias("search_query"))
+    out = pipeline.labelled_by(d, {"first": Parrot(), "second": Ruler()}, "text")
+    return out.select("doc_id", *(T.classify(F.col(c), T.FULL_CLASSES).alias(c) for c in ("first", "second")))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
@@ -84,9 +84,9 @@ def fetch_pages(pages: DataFrame, fetcher: Fetcher) -> DataFrame:
 
 
 def fetch_offline(pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """pages (url, ...) with html from stored (url, html); PDFs and urls not stored have a null one."""
-    s = stored.select(F.col("url").alias("_url"), "html").dropDuplicates(["_url"])
-    return pages.join(s, (F.col("url") == F.col("_url")) & ~F.col("url").endswith(".pdf"), "left").drop("_url")
+    """pages (url, ...) with html from stored (url, html), of several for a url the smallest; PDFs and urls not stored have a null one."""
+    s = stored.filter("not endswith(url, '.pdf')").groupBy(F.col("url").alias("_url")).agg(F.min("html").alias("html"))
+    return pages.join(s, F.col("url") == F.col("_url"), "left").drop("_url")
 
 
 def search_requests(inputs: DataFrame, num_results: int = 20) -> DataFrame:
@@ -97,14 +97,17 @@ def search_requests(inputs: DataFrame, num_results: int = 20) -> DataFrame:
 HIT = "search_query string, search_engine_input string, url string, title string, snippet string, request_dump string"
 
 
-def search(inputs: DataFrame, endpoint: str, key: str, num_results: int = 20, pause: float = 0.6, tries: int = 3, delay: float = 120) -> DataFrame:
-    """Hits of a JSON search service; a status that isn't 200 is tried again and then fails the task; no items are no hits."""
+def search(inputs: DataFrame, endpoint: str, key: str, num_results: int = 20, pause: float = 0.6, tries: int = 3, delay: float = 120, tasks: int = 1, timeout: float = 30) -> DataFrame:
+    """Hits of a JSON search service; a status that isn't 200 or a timeout is tried again and then fails the task; no items are no hits.
+
+    The requests are dealt to so many tasks, each of which pauses after a request: tasks / pause bounds their rate.
+    """
 
     def ask(query: str, start: int) -> list[dict]:
         url = f"{endpoint}?{urllib.parse.urlencode({'key': key, 'q': query, 'start': start})}"
         for k in range(tries):
             try:
-                with urllib.request.urlopen(url) as got:
+                with urllib.request.urlopen(url, timeout=timeout) as got:
                     return json.load(got).get("items", [])
             except OSError:
                 if k == tries - 1:
@@ -121,14 +124,15 @@ def search(inputs: DataFrame, endpoint: str, key: str, num_results: int = 20, pa
                 time.sleep(pause)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HIT.split(", ")])
 
-    return search_requests(inputs, num_results).mapInPandas(work, HIT)
+    return search_requests(inputs, num_results).repartition(tasks).mapInPandas(work, HIT)
 
 
 def parse_hits(responses: DataFrame, column: str = "response") -> DataFrame:
-    """A row for each item of JSON responses; missing fields are null, missing items no rows."""
-    item = "struct<link:string,title:string,snippet:string>"
-    return responses.withColumn("_items", F.coalesce(F.from_json(column, f"struct<items:array<{item}>>")["items"], F.array().cast(f"array<{item}>"))).withColumn("_hit", F.explode("_items")).select(
-        *(c for c in responses.columns if c != column), F.col("_hit.link").alias("url"), F.col("_hit.title").alias("title"), F.col("_hit.snippet").alias("snippet"), F.to_json("_hit").alias("request_dump")
+    """A row for each item of JSON responses; missing fields are null, missing items no rows. request_dump is the whole item."""
+    items = F.coalesce(F.from_json(F.get_json_object(column, "$.items"), "array<string>"), F.array().cast("array<string>"))
+    field = lambda name: F.get_json_object("_hit", f"$.{name}")
+    return responses.withColumn("_hit", F.explode(items)).select(
+        *(c for c in responses.columns if c != column), field("link").alias("url"), field("title").alias("title"), field("snippet").alias("snippet"), F.col("_hit").alias("request_dump")
     )
 
 
@@ -140,24 +144,28 @@ STATEMENT_PROMPT = "Question: %s\nTurn this yes-or-no question into statements,
 QUESTION_PROMPT = "Write yes-or-no questions about %s on which reasonable sources disagree, one a line."
 
 
-def completed(df: DataFrame, prompt: str, column: str, completer: Completer, output: str = "model_answer", tries: int = 3, delay: float = 30) -> DataFrame:
-    """df with the completer's answers to the prompt filled with a column; an answer that fails tries times is null."""
-    schema = f"{df._jdf.schema().toDDL()}, `{output}` string"
+def answer(prompt: Column, completer: Completer, tries: int = 3, delay: float = 30) -> Column:
+    """The completer's answer to each prompt; null for a null prompt and where it fails tries times."""
 
-    def answer(value: str | None) -> str | None:
+    def one(value: str | None) -> str | None:
         for k in range(tries if value is not None else 0):
             try:
-                return completer.complete(prompt % value)
+                return completer.complete(value)
             except Exception:  # noqa: BLE001 - a failed answer is null
                 if k < tries - 1:
                     time.sleep(delay)
         return None
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{output: [answer(v) for v in b[column]]})
+    @F.pandas_udf("string")
+    def work(prompts: pd.Series) -> pd.Series:
+        return pd.Series([one(p) for p in prompts], dtype=object)
 
-    return df.mapInPandas(work, schema)
+    return work(prompt).alias("answer")
+
+
+def completed(df: DataFrame, prompt: str, column: str, completer: Completer, output: str = "model_answer", tries: int = 3, delay: float = 30) -> DataFrame:
+    """df with the completer's answers to the prompt, in which %s stands for a column's value; other percent signs stay."""
+    return df.withColumn(output, answer(F.replace(F.lit(prompt), F.lit("%s"), F.col(column)), completer, tries, delay))
 
 
 def answered_offline(df: DataFrame, answers: DataFrame, key: str) -> DataFrame:

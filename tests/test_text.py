@@ -1,11 +1,18 @@
 """Golden cases of the text functions."""
 
+import math
+import random
+
+import duckdb
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stancemill.functions import stem
 from stancemill.functions import text as T
-from stancemill.operators import boilerplate, features
+from stancemill.operators import boilerplate, features, models
+from stancemill.plans import stem_sql
 
 
 @pytest.fixture(scope="module")
@@ -48,13 +55,14 @@ def test_tokens(one, text, n, unique):
 def test_patterns(one):
     assert one("<a href = 1 HREF=2 href=3", lambda c: T.count_pattern(c, T.HREF)) == 2
     assert one('x a.b@c.de, "q r"@[1.2] no@ z', lambda c: T.count_pattern(c, T.EMAIL)) == 2
+    assert one("HTTPS://x.example/a(b).c; a.b-c.co.uk/d?e=f#g, not file.zzz or a.comx or x@y.com", lambda c: T.count_pattern(c, T.url_pattern())) == 2
     assert one("see http://a.bc/x and www.example.com. me@example.com", lambda c: T.count_pattern(c, T.url_pattern())) == 2
 
 
-@pytest.mark.parametrize("text, query, run", [("My red wine, is good.", "Is red wine good?", ["red", "wine"]), ("b a", "a b", ["a"]), ("x", "y", []), ("", "y", []), ("x", "", [])])
+@pytest.mark.parametrize("text, query, run", [("My red wine, is good.", "Is red wine good?", ["red", "wine"]), ("b a", "a b", ["a"]), ("x", "y", []), ("", "y", []), ("x", "", []), ("I like red wines", "red wine", ["red", "wine"]), ("red wines are good", "is red wine good", ["red", "wine"]), ("you can not stay", "you cannot stay", ["you", "can", "not", "stai"]), (None, "x", None)])
 def test_ngram(spark, text, query, run):
     df = spark.createDataFrame([(text, query)], "t string, q string")
-    assert df.select(T.longest_common_ngram(T.normal_words(F.col("t")), T.normal_words(F.col("q"))).alias("r")).first()["r"] == run
+    assert df.select(stem.longest_common_ngram(T.normal_words(F.col("t")), T.normal_words(F.col("q"))).alias("r")).first()["r"] == run
 
 
 @pytest.mark.parametrize("n, size, step, starts", [(507, 508, 256, [1]), (508, 508, 256, [1]), (763, 508, 256, [1]), (764, 508, 256, [1, 257]), (1020, 508, 256, [1, 257, 513]), (9, 4, 2, [1, 3, 5]), (0, 4, 2, [None])])
@@ -106,11 +114,30 @@ def test_stem(word, out):
     assert stem.stem(word) == out
 
 
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=7))
+def test_longest_run(text, query):
+    runs = [(e - b, -e, query[b:e]) for b in range(len(query)) for e in range(b + 1, len(query) + 1) if any(text[k : k + e - b] == query[b:e] for k in range(len(text)))]
+    assert stem.longest_run(text, query) == max(runs, default=(0, 0, []))[2]
+
+
+def test_stem_sql():
+    """The pattern form of the stemmer gives the same stems."""
+    rng = random.Random(1)
+    ends = [*(r.partition(":")[0] for r in stem.STEP2 + stem.STEP3), *stem.STEP4, "s", "es", "ies", "ed", "ing", "eed", "y", "e", "ll", "tted", "sses", "lling", ""]
+    words = sorted({"".join(rng.choices("aeioubcdlsty", k=rng.randrange(1, 7))) + rng.choice(ends) + rng.choice(["", "", "s"]) for _ in range(4000)})
+    c = duckdb.connect()
+    c.execute("CREATE TABLE words AS SELECT unnest(?) AS w", [words])
+    assert dict(c.sql(f"WITH {stem_sql.stems('words')} SELECT w, stem FROM stems").fetchall()) == {w: stem.stem(w) for w in words}
+
+
 def test_quote_shared():
     stop = frozenset({"is"})
     assert stem.quote_shared("Red Wine Is Good", "Is red wine good?", stop) == ('"red" "wine" is "good"', 'is "red" "wine" "good"?')
     assert stem.quote_shared("Tea helps", "Is water wet?", stop) == ("Tea helps", "Is water wet?")
     assert stem.quote_shared(None, "x") == (None, None)
+    # A capital after the first shared word is never found: texts are in lower case by then.
+    assert stem.quote_shared("Tea And Milk", "Milk and TEA", frozenset({"and"})) == ('"tea" and milk', "milk and tea")
+    assert stem.quote_shared('say "cats" (cat)', "cat?", frozenset()) == ('say "cats" ("cat")', '"cat"?')
 
 
 def test_main_text():
@@ -119,6 +146,42 @@ def test_main_text():
     assert boilerplate.page_text(None) is None and boilerplate.page_text("") == ""
 
 
+def test_models(spark):
+    class Words:
+        """A model of each kind, from counts."""
+
+        def logprobs(self, prompt, labels):
+            assert "Text: " in prompt
+            return [-float(len(x)) for x in labels]
+
+        def loss(self, text):
+            return math.log(1 + len(text.split()))
+
+    df = spark.createDataFrame([(1, "a b c d e f g h i", "e f"), (2, "x", "x"), (3, None, "x"), (4, "a", None), (5, "e e e", "e")], "id long, text string, search_query string")
+    tokens, counts = models.SpaceTokenizer(), models.CountEncoder("aefx")
+    got = {r["id"]: (r["text_thresh_window"], r["text_thresh_window_score"]) for r in models.best_windows(df, tokens, counts, length=5, step=2, padding=1, batch=2).collect()}
+    assert got == {1: ("c d e f", 2.0), 2: ("x", 1.0), 3: (None, None), 4: (None, None), 5: ("e e e", 3.0)}
+    assert models.best_windows(df, tokens, counts).columns == [*df.columns, "text_thresh_window", "text_thresh_window_score"]
+    own = {"_st_similarity": models.similarity(counts), "_sentiment_flan": models.sentiment(Words()), "_perplexity_gpt2": models.perplexity(Words())}
+    made = {r["id"]: r for r in features.add_features(df, list(own), models=own).collect()}
+    assert [made[k]["_st_similarity"] for k in range(1, 6)] == [2.0, 1.0, None, None, 3.0]
+    assert made[1]["_sentiment_flan"] == {"Positive": -8.0, "Negative": -8.0} and made[3]["_sentiment_flan"] is None
+    assert made[1]["_perplexity_gpt2"] == pytest.approx(10) and made[3]["_perplexity_gpt2"] is None
+    trimmed = models.trim_rescored(spark.createDataFrame([("and e. It is e.", "e"), ("x", None)], "text_thresh_window string, search_query string"), counts).collect()
+    assert [(r["text_thresh_window_sent"], r["score_sent"]) for r in trimmed] == [("It is e.", 1.0)]
+
+
+def test_failing_feature(spark):
+    df = spark.createDataFrame([("a b",)], "text string")
+
+    def broken(text, query, url):
+        raise ValueError("no model")
+
+    with pytest.warns(UserWarning, match="_st_similarity left out"):
+        got = features.add_features(df, ["_st_similarity", "_num_tokens"], models={"_st_similarity": broken})
+    assert got.columns == ["text", "_num_tokens"] and got.first()["_num_tokens"] == 2
+
+
 def test_features(spark):
     assert len(features.REGISTRY) == 12
     df = spark.createDataFrame([("good bad tea", "tea", "http://a.example.com"), (None, None, None), ("", "", "")], "text string, search_query string, url string")
