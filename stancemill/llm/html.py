@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,14 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("script style noscript template svg math iframe object canvas audio video head title".split())
 RAW = re.compile(r"(script|style|textarea|title|noscript|template|svg|iframe)\b", re.I)
+END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in "script style textarea title noscript template svg iframe".split()}
 #: Opening one of these ends an open element named with it, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: What a head can hold; any other tag, or text, ends one that is open.
+HEAD = set("base basefont bgsound link meta title noscript noframes style script template head".split())
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag whose quotes are closed.
+REST = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words whose presence in a short block is a feature.
@@ -41,80 +47,126 @@ class Block:
         self.text, self.path, self.tag, self.linked = text, path, tag, linked
 
 
+class Open:
+    """The open elements, with what is looked up in them for every block: each takes a time that does not grow with their number."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []
+        self.names: Counter[str] = Counter()
+        self.signs: dict[str, int] = {}
+        #: Places of those that are not inline.
+        self.solid: list[int] = []
+        self.unseen = 0
+
+    def push(self, name: str, sign: str) -> None:
+        if name not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append((name, sign))
+        self.names[name] += 1
+        self.unseen += name in UNSEEN
+        if sign:
+            self.signs[sign] = self.signs.get(sign, 0) + 1
+
+    def pop(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            name, sign = self.stack.pop()
+            if self.solid and self.solid[-1] == len(self.stack):
+                self.solid.pop()
+            self.names[name] -= 1
+            self.unseen -= name in UNSEEN
+            if sign:
+                self.signs[sign] -= 1
+                if not self.signs[sign]:
+                    del self.signs[sign]
+
+    def nearest(self, names: set[str], stops: set[str] = frozenset(), inline: bool = False) -> int:
+        """The place of the innermost element with one of the names, looked for up to one of stops or, if inline, up to one that is not inline; -1 for none."""
+        if any(self.names[n] for n in names):
+            for k in range(len(self.stack) - 1, -1, -1):
+                name = self.stack[k][0]
+                if name in names:
+                    return k
+                if name in stops or inline and name not in INLINE:
+                    break
+        return -1
+
+    def solid_name(self) -> str:
+        return self.stack[self.solid[-1]][0] if self.solid else ""
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, character references decoded and white space runs as one space."""
+    """The page's blocks in order, character references decoded and white space runs as one space. Quotes that a tag leaves open end with it, from the first such tag on."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    elements = Open()
     parts: list[str] = []
-    linked, unseen, links, at = 0, 0, 0, 0
+    linked, at, whole = 0, 0, True
+    #: Elements whose end tag the rest of the page lacks.
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(s for _, s in stack if s), next((n for n, _ in reversed(stack) if n not in INLINE), ""), linked))
+                out.append(Block(text, tuple(elements.signs), elements.solid_name(), linked))
             parts, linked = [], 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw and not unseen:
+        if elements.names["head"] and elements.stack[-1][0] == "head" and raw.strip():
+            elements.pop(len(elements.stack) - 1)
+        if raw and not elements.unseen:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if links:
+            if elements.names["a"]:
                 linked += len(raw)
 
-    def pop(upto: int) -> None:
-        nonlocal unseen, links
-        while len(stack) > upto:
-            name, _ = stack.pop()
-            unseen -= name in UNSEEN
-            links -= name == "a"
-
     while True:
         m = TAG.search(page, at)
         if not m:
             say(page[at:])
             break
+        name, stop = m[2], m.end()
+        if name:
+            full = REST.match(page, stop) if whole else None
+            if full:
+                rest, stop = full[1], full.end()
+            else:
+                whole, end = False, page.find(">", stop)
+                if end < 0:
+                    say(page[at:])
+                    break
+                rest, stop = page[stop:end], end + 1
         say(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+        at = stop
         if not name:
             continue
-        name, ending, rest = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        name, ending = name.lower(), m[1] == "/"
+        if elements.names["head"] and not ending and name not in HEAD:
+            elements.pop(elements.nearest({"head"}))
         if name == "br":
             say(" ")
             continue
         if name not in INLINE:
             close()
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = elements.nearest({name}, inline=name in INLINE)
+            if k >= 0:
+                elements.pop(k)
             continue
         if name in VOID:
             continue
         if name in ENDS:
-            ends, stops = ENDS[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stops:
-                    break
-                if stack[k][0] in ends:
-                    pop(k)
-                    break
-        elif name not in INLINE:
+            k = elements.nearest(*ENDS[name])
+            if k >= 0:
+                elements.pop(k)
+        elif name not in INLINE and elements.solid_name() == "p":
             # A block ends an open paragraph, with what inline elements are open in it.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            elements.pop(elements.solid[-1])
         if RAW.fullmatch(name):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = END[name].search(page, at) if name not in endless else None
+            if not end:
+                endless.add(name)
             if name == "textarea":
                 at = end.end() if end else len(page)
             elif end:
@@ -128,9 +180,7 @@ def blocks(page: str) -> list[Block]:
         if rest:
             words = {w.lower() for k, v in ATTRIBUTE.findall(rest) for w in ([k] if k.lower() == "hidden" else WORDS.findall(v))}
             sign = f"{name} {' '.join(sorted(words))}" if words else name
-        stack.append((name, "" if name in INLINE and " " not in sign else sign))
-        unseen += name in UNSEEN
-        links += name == "a"
+        elements.push(name, "" if name in INLINE and " " not in sign else sign)
     close()
     return out
 
@@ -189,7 +239,7 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[tuple[str, ...]], list[int]]], rounds: int = 150, rate: float = 0.2, penalty: float = 0.02) -> Crf:
+def train(pages: list[tuple[list[tuple[str, ...]], list[int]]], rounds: int = 150, rate: float = 0.2, penalty: float = 0.004) -> Crf:
     """Maximum likelihood with an L2 penalty by Adam, over the forward-backward marginals of all pages at once."""
     pages = [p for p in pages if p[0]]
     index = {f: i for i, f in enumerate(sorted({f for rows, _ in pages for row in rows for f in row}))}
@@ -250,7 +300,7 @@ def main_text(page: str | None, model: Crf) -> str:
 def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html, ...).
 
-    A page without main text, or whose html is null or empty, has an empty text and 0 characters. Ids and urls
+    A page without main text, or whose html is null or empty, has an empty text and 0 characters; a page of any length is taken whole. Ids and urls
     are passed on as they are, null or repeated. No rows give no rows; other columns are ignored.
     """
     small_batches(pages.sparkSession)

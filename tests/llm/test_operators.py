@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -585,6 +586,56 @@ def test_html_held_out():
     assert wrong <= 0.02 * total
 
 
+#: Pages written and labelled by hand, of shapes that the generator has in part only.
+BY_HAND = [
+    ("<html><head><title>x</title><body><p>Some words of a page that has no end of its head.</p>", "Some words of a page that has no end of its head."),
+    ("<article><p>First words here.</p><pre>code of it</pre></article>", "First words here.\ncode of it"),
+    ("<html><body>Bare text in the body, a sentence or two. And another one.</body></html>", "Bare text in the body, a sentence or two. And another one."),
+    ("<body><article><h1>Title</h1><p>Long text of the article goes here, with words.</p></article><div class='responses'><p>I like it.</p><p>Me too, thanks a lot for this!</p></div></body>", "Title\nLong text of the article goes here, with words."),
+    ("<article><h1>T</h1><dl><dt>Term</dt><dd>What it means to us all.</dd></dl><figure><figcaption>A caption of the picture.</figcaption></figure></article><footer>end</footer>", "T\nTerm\nWhat it means to us all.\nA caption of the picture."),
+    ('<body><nav><a href="/">Home</a><a href="/x">News</a></nav><main><h1>On tea</h1><p>Tea is a drink.</p><table><tr><th>Kind</th><th>Time</th></tr><tr><td>Green</td><td>Two minutes.</td></tr></table></main><aside><p>See also our shop.</p></aside><footer>&copy; 2020 Tea</footer>', "On tea\nTea is a drink.\nKind\nTime\nGreen\nTwo minutes."),
+    ('<body><div id="cookie-banner"><p>We use cookies.</p><button>OK</button></div><div class="post"><h2>A walk</h2><p>We went up the hill.<p>It rained, and we came back.</div><form class="search"><label>Find</label><input></form>', "A walk\nWe went up the hill.\nIt rained, and we came back."),
+]
+
+
+def test_html_by_hand():
+    model = html.default_model()
+    for page, want in BY_HAND:
+        assert html.main_text(page, model) == want
+
+
+def test_html_hostile_pages():
+    """A megabyte of what invites repeated scans."""
+    model = html.default_model()
+    began = time.process_time()
+    for page in ('<a "' * 262144, "<a b='" * 170000, "<!" * 500000, "<div>x" * 100000, "<i>" * 150000 + "<div></div>" * 50000, "<script>" * 120000, "</x>" * 200000, "<p" * 400000):
+        html.main_text(page, model)
+    assert time.process_time() - began < 60
+    assert html.main_text("<p>Some words <a \"x>of it</a> here.</p><p>And more of them.</p>", model).endswith("And more of them.")
+
+
+def test_html_gradient():
+    """Training raises the likelihood of the labels, computed here over all labellings."""
+    rng = random.Random(4)
+    names = [f"f{k}" for k in range(5)]
+    pages = [([tuple(rng.sample(names, 2)) for _ in range(5)], None) for _ in range(12)]
+    pages = [(rows, [int("f0" in r) if rng.random() < 0.9 else rng.randrange(2) for r in rows]) for rows, _ in pages]
+
+    def likelihood(crf) -> float:
+        out = 0.0
+        for rows, labels in pages:
+            score = lambda y: crf.edges[0][y[0]] + crf.edges[1][y[-1]] + sum(crf.moves[a][b] for a, b in zip(y, y[1:])) + sum(sum(crf.weights[f] for f in r) for r, v in zip(rows, y) if v)  # noqa: B023, E731
+            out += score(labels) - np.logaddexp.reduce([score([(k >> t) & 1 for t in range(5)]) for k in range(32)])
+        return out
+
+    best = html.train(pages, rounds=3000, penalty=0.0)
+    top = likelihood(best)
+    assert top > likelihood(html.train(pages, rounds=3, penalty=0.0))
+    for f in names:
+        for by in (-0.5, 0.5):
+            assert likelihood(html.Crf(best.weights | {f: best.weights[f] + by}, np.array(best.moves), np.array(best.edges))) < top
+
+
 def test_html_viterbi():
     rng = random.Random(9)
     for _ in range(30):
