@@ -150,7 +150,7 @@ class WarcReader(DataSourceReader):
         return True
 
     def plain(self, f, part: Range):
-        """Records of an uncompressed file that start in the range."""
+        """Records of an uncompressed file that start in the range; a damaged one is an error, so that none after it is lost unseen."""
         at = part.start
         if at:
             at = search(f, START, max(0, at - 4), part.stop, 4)
@@ -159,9 +159,11 @@ class WarcReader(DataSourceReader):
             head = b""
             while b"\r\n\r\n" not in head and (more := f.read(4096)):
                 head += more
-            if not head.startswith(b"WARC/"):
+            if not head.strip():
                 return
-            end = head.index(b"\r\n\r\n")
+            end = head.find(b"\r\n\r\n") if head.startswith(b"WARC/") else -1
+            if end < 0:
+                raise ValueError(f"{part.file}: no whole record head at byte {at}")
             headers = parse_head(head[:end])
             n = int(headers.get("content-length", 0))
             block = None
@@ -169,11 +171,13 @@ class WarcReader(DataSourceReader):
                 if self.payload:
                     f.seek(at + end + 4)
                     block = f.read(n)
+                    if len(block) < n:
+                        raise ValueError(f"{part.file}: the record at byte {at} is cut off")
                 yield at, headers, block
             at += end + 4 + n + 4
 
     def members(self, f, part: Range):
-        """Records of a gzip file that start in the range."""
+        """Records of a gzip file that start in the range; a damaged one is an error."""
         at = part.start
         if at:
             at = search(f, MEMBER, at, part.stop, 0)
@@ -188,8 +192,8 @@ class WarcReader(DataSourceReader):
                 plain += z.decompress(raw, 4096)
                 raw = z.unconsumed_tail or f.read(65536)
             end = plain.find(b"\r\n\r\n")
-            if end < 0:
-                return
+            if end < 0 or not plain.startswith(b"WARC/"):
+                raise ValueError(f"{part.file}: no whole record head in the member at byte {at}")
             headers = parse_head(bytes(plain[:end]))
             ok = self.wanted(headers)
             if size is None or ok and self.payload:
@@ -199,6 +203,8 @@ class WarcReader(DataSourceReader):
                     if keep is not None:
                         keep += more
                     raw = z.unconsumed_tail or (b"" if z.eof else f.read(65536))
+                if not z.eof:
+                    raise ValueError(f"{part.file}: the member at byte {at} is cut off")
                 if size is None:
                     size = f.tell() - at - len(z.unused_data)
                 n = int(headers.get("content-length", 0))

@@ -577,6 +577,26 @@ def test_warc(spark, tmp_path):
     assert warc.page_round_trip(df.limit(0), f"{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_damaged_warc(tmp_path, zipped):
+    """A record that is cut off or whose head does not end is an error; white space at the end is none."""
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 6\r\n\r\nsome t\r\n\r\n"
+    pack = gzip.compress if zipped else bytes
+
+    def read(raw: bytes) -> int:
+        path = tmp_path / f"{hashlib.md5(raw).hexdigest()}.warc{'.gz' if zipped else ''}"
+        path.write_bytes(raw)
+        reader = warc.WarcReader({"path": str(path)})
+        return sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+
+    assert read(pack(one) + pack(one)) == 2
+    for bad in (pack(one) + pack(one)[:-9], pack(one) + pack(b"WARC/1.1\r\nWARC-Type: resp") + pack(one)[:0]):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
 def test_html_held_out():
     model = html.default_model()
     wrong = total = 0
