@@ -50,7 +50,7 @@ STAGES = [
     ("mixture_packing", mixture_packing),
 ]
 
-#: The classifier, the similarity stages and the packing go beyond SQL; tests hold every stage against brute force.
+#: The classifier, the similarity stages and the packing go beyond SQL; tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 

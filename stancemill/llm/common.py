@@ -17,7 +17,7 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (single-machine sessions), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, on a single machine a temporary one, on a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stancemill-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get().rstrip("/")
