@@ -38,6 +38,10 @@ class LanguageModel(Protocol):
         """Mean negative log-likelihood of the text's tokens."""
 
 
+class Lemmatizer(Protocol):
+    def lemma(self, token: str) -> str: ...
+
+
 SENTIMENT_PROMPT = "Say whether this text is Positive or Negative.\nText: {text}"
 
 
@@ -128,6 +132,21 @@ def perplexity(model: LanguageModel) -> Feature:
     return feature
 
 
+def unique_lemmas(lemmatizer: Lemmatizer) -> Feature:
+    """The feature of the number of different lemmas of the text's tokens, each different token looked up once a batch; null without a text."""
+
+    def feature(text: Column, query: Column, url: Column) -> Column:
+        @F.pandas_udf("long")
+        def work(tokens: pd.Series) -> pd.Series:
+            known: dict[str, str] = {}
+            lemma = lambda t: known[t] if t in known else known.setdefault(t, lemmatizer.lemma(t))
+            return pd.Series([None if some is None else len({lemma(t) for t in some}) for some in tokens], dtype=object)
+
+        return work(F.array_distinct(T.space_tokens(text)))
+
+    return feature
+
+
 def trim_rescored(pages: DataFrame, encoder: Encoder, column: str = "text_thresh_window", batch: int = 32) -> DataFrame:
     """pages with text_thresh_window_sent, without cut-off sentences, and score_sent, its encoding's dot product with the query's; rows without query go."""
     text = T.trim_sentences(T.sentences(F.col(column)))["text"]

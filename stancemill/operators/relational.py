@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,14 +38,20 @@ def filter_by_id(pages: DataFrame, pairs: DataFrame, ids: DataFrame, whitelist:
     return f(pages, ids, "answer_id"), f(f(pairs, ids, "answer_id_1"), ids, "answer_id_2")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder of spark.checkpoint.dir (unset on a single machine: a temporary one), so that steps that read it twice compute it once."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, on a single machine a temporary one, on a cluster an error."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="stancemill-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder, so that steps that read it twice compute it once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -102,6 +108,24 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id") -> DataFram
     return ranged.withColumn("_rank", rank).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_part", "_rank", "_start")
 
 
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each key in the given order; Spark drops others before the shuffle, so a large key costs k rows a task."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def pairs_within(df: DataFrame, key: str, id_col: str, columns: list[str]) -> DataFrame:
+    """Pairs of rows of a key, the smaller id first, as key, id_1, id_2 and each column's two sides. Null keys and ids pair with nothing. Keys are small groups: a group of n gives n * (n - 1) / 2 rows."""
+    side = lambda n: df.select(F.col(key).alias(f"_key_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in [id_col, *columns]))
+    on = (F.col("_key_1") == F.col("_key_2")) & (F.col(f"{id_col}_1") < F.col(f"{id_col}_2"))
+    return side(1).join(side(2), on).withColumnRenamed("_key_1", key).drop("_key_2")
+
+
+def range_part(row: Column, rows: Column | int, parts: int) -> Column:
+    """The part of row number row (from 0) when so many rows are cut into parts ranges, of which number d begins at d * rows div parts."""
+    return F.call_function("div", (row + 1) * parts - 1, F.lit(rows)).cast("int")
+
+
 def agreed_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     """answer_id of rows on which label_a and label_b are equal; null equals nothing."""
     return a.select("answer_id", "label_a").join(b.select("answer_id", "label_b"), "answer_id").filter("label_a = label_b").select("answer_id")

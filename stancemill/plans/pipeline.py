@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
 from stancemill.functions.stem import quote_shared_words
 from stancemill.operators import boilerplate, features
 from stancemill.operators import relational as R
-from stancemill.sources import connectors
+from stancemill.sources import connectors, io
 
 
 def questions(answers: DataFrame) -> DataFrame:
@@ -31,6 +33,32 @@ def build_pages(inputs: DataFrame, hits: DataFrame, stored: DataFrame, least: in
     return pages.withColumn("text", boilerplate.main_text(F.col("html"))).drop("html").filter(T.long_enough(F.col("text"), least))
 
 
+def search_table(spark: SparkSession, path: str, inputs: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The hits at path, to which ask(inputs whose search_engine_input they lack) is appended first; ids go on from those there, so that a stored id never changes.
+
+    inputs: search_query, search_engine_input; ask gives connectors.HIT's columns and is evaluated once.
+    """
+    order = [c.split()[0] for c in connectors.HIT.split(", ")]
+
+    def numbered(lacking: DataFrame) -> DataFrame:
+        taken = spark.read.parquet(path).agg(F.max("doc_id")).first()[0] if io.exists(spark, path) else None
+        hits = R.dense_ids(R.settled(ask(lacking)).select(order), order)
+        return hits.withColumn("doc_id", F.col("doc_id") + (-1 if taken is None else taken) + 1)
+
+    return io.resumed_at(spark, path, inputs.select("search_query", "search_engine_input"), "search_engine_input", numbered)
+
+
+def build_dataset(spark: SparkSession, statements: DataFrame, hits: str, stored: str, ask: Callable[[DataFrame], DataFrame], fetcher: connectors.Fetcher | None, least: int = 200) -> DataFrame:
+    """Statements (category, search_query, model_answer) to pages with text: search, fetch what is not stored, extract, and drop short texts.
+
+    hits and stored are the paths of the tables of hits and of pages (doc_id, html), both kept for later runs.
+    """
+    inputs = search_inputs(statements)
+    pages = R.one_to_many(inputs, search_table(spark, hits, inputs.filter("search_engine_input is not null"), ask), ["search_query", "search_engine_input"])
+    pages = connectors.fetch_resumed(pages, stored, fetcher)
+    return pages.withColumn("text", boilerplate.main_text(F.col("html"))).drop("html").filter(T.long_enough(F.col("text"), least))
+
+
 def best_windows(pages: DataFrame, score: Column, size: int = 508, step: int = 256) -> DataFrame:
     """pages (doc_id, text, search_query) with the window of tokens that scores highest; score is a column of window and search_query. Rows without text or query get nulls."""
     windows = pages.select("doc_id", "search_query", F.posexplode_outer(T.windows(T.space_tokens(F.col("text")), size, step)).alias("at", "tokens")).withColumn("window", F.array_join("tokens", " "))

@@ -7,6 +7,8 @@ the whole of its tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,7 +340,7 @@ def fetch_offline(spark, sf_dir):
     return connectors.fetch_offline(p.select("page_id", F.expr(STORED).alias("url")), stored).select("page_id", "html")
 
 
-@query("SELECT '[' || doc_id || ']' AS json FROM labels")
+@query("SELECT '[' AS line UNION ALL SELECT CASE WHEN doc_id = (SELECT min(doc_id) FROM labels) THEN '' ELSE ',' END || doc_id FROM labels UNION ALL SELECT ']'")
 def id_list(spark, sf_dir):
     return io.id_list(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("answer_id")))
 
@@ -443,3 +445,84 @@ def label_both(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("q").alias("search_query"))
     out = pipeline.labelled_by(d, {"first": Parrot(), "second": Ruler()}, "text")
     return out.select("doc_id", *(T.classify(F.col(c), T.FULL_CLASSES).alias(c) for c in ("first", "second")))
+
+
+def scratch(name: str) -> str:
+    return f"{R.shared_folder(SparkSession.active())}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "SELECT c_mktsegment AS search_query, c_name AS search_engine_input, 'http://h/' || o_orderkey AS url, o_orderstatus AS title, "
+    "CAST(row_number() OVER (ORDER BY c_custkey % 2, c_mktsegment, c_name, 'http://h/' || o_orderkey) - 1 AS BIGINT) AS doc_id FROM customer JOIN orders ON o_custkey = c_custkey"
+)
+def search_table(spark, sf_dir):
+    """Customers as search inputs, their orders as hits; a second run goes on from the first, which had even customers only."""
+    inputs = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("search_query"), F.col("c_name").alias("search_engine_input"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("http://h/"), "o_orderkey").alias("url"), F.col("o_orderstatus").alias("title"), F.lit("").alias("snippet"), F.lit("{}").alias("request_dump"))
+    hits = inputs.join(orders, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey", "search_query")
+    ask = lambda lacking: lacking.join(hits, "search_engine_input")
+    path = scratch("hits")
+    pipeline.search_table(spark, path, inputs.filter("c_custkey % 2 = 0"), ask)
+    return pipeline.search_table(spark, path, inputs, ask).select("search_query", "search_engine_input", "url", "title", "doc_id")
+
+
+class Echo:
+    """A fetcher without a network: a page that names its url; urls of odd length fail."""
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        pass
+
+    def fetch(self, url: str) -> str | None:
+        return f"<p>{url}" if len(url) % 2 == 0 else None
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html WHEN NOT ends_with(u, '.pdf') AND length(u) % 2 = 0 THEN '<p>' || u END AS html FROM (SELECT *, {STORED} AS u FROM pages)")
+def fetch_resumed(spark, sf_dir):
+    """A third of the pages is stored already, PDFs among them; the rest is fetched."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.expr(STORED).alias("url"))
+    path = scratch("stored")
+    io.write_pages(p.filter("doc_id % 3 = 0").select("doc_id", "html"), path)
+    return connectors.fetch_resumed(p.drop("html"), path, Echo()).select(F.col("doc_id").alias("page_id"), "html")
+
+
+@query()
+def build_dataset(spark, sf_dir):
+    """Statements of the conversations' first turns to the main texts of 20 tokens or more; each side's hit is a page chosen by its hash."""
+    c = table(spark, sf_dir, "conversations").filter("turn = 0 and text is not null").select(F.col("conv_id").cast("string").alias("category"), F.concat("text", F.lit(" "), "conv_id").alias("search_query"))
+    c = c.dropDuplicates(["search_query"]).withColumn("model_answer", F.concat(F.lit("Yes 1: "), "search_query", F.lit("\nNo 1: not "), "search_query"))
+    p = R.dense_ids(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"], "number")
+    n = F.lit(p.count() or None).cast("long")
+    web = p.select("number", "url", F.lit("").alias("title"), F.lit("").alias("snippet"), F.lit("{}").alias("request_dump"))
+    ask = lambda lacking: lacking.join(web, F.pmod(F.xxhash64("search_engine_input"), n) == F.col("number")).drop("number")
+    hits, stored = scratch("hits"), scratch("stored")
+    found = pipeline.search_table(spark, hits, pipeline.search_inputs(c), ask)
+    io.write_pages(found.join(p.groupBy("url").agg(F.min("html").alias("html")), "url").select("doc_id", "html"), stored)
+    return pipeline.build_dataset(spark, c, hits, stored, ask, None, 20).drop("request_dump", "title", "snippet")
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 3")
+def top_rows(spark, sf_dir):
+    """The three longest documents of each source."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return R.top_rows(d, ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3)
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber AS l_linenumber_1, b.l_linenumber AS l_linenumber_2, a.l_quantity AS l_quantity_1, b.l_quantity AS l_quantity_2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber")
+def pairs_within(spark, sf_dir):
+    """Pairs of lines of an order."""
+    return R.pairs_within(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity"])
+
+
+@query(
+    "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT CAST(i AS INTEGER) AS part, i * n // 7 AS a, (i + 1) * n // 7 AS b FROM range(7) r(i), n) "
+    "SELECT doc_id, part, 'folder/' || part || '/' || doc_id || '.html' AS path FROM d JOIN p ON k >= a AND k < b"
+)
+def range_parts(spark, sf_dir):
+    """Seven ranges of the documents by id, and a path for each."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    part = R.range_part(F.col("_k"), F.lit(d.count()), 7)
+    d = R.dense_ids(d, ["doc_id"], "_k").select("doc_id", part.alias("part"))
+    return d.withColumn("path", connectors.page_path(F.concat(F.lit("folder/"), F.col("part").cast("string")), F.col("doc_id")))

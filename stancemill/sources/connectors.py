@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
+from stancemill.sources import io
 
 
 class Fetcher(Protocol):
@@ -89,6 +90,24 @@ def fetch_offline(pages: DataFrame, stored: DataFrame) -> DataFrame:
     return pages.join(s, F.col("url") == F.col("_url"), "left").drop("_url")
 
 
+def page_path(folder: Column, doc_id: Column) -> Column:
+    """Where the page of an id lies in a folder of page files."""
+    return F.concat_ws("/", folder, F.concat(doc_id.cast("string"), F.lit(".html")))
+
+
+def fetch_resumed(pages: DataFrame, path: str, fetcher: Fetcher | None) -> DataFrame:
+    """pages (doc_id, url, ...) with html from the table (doc_id, html) at path, to which those it lacks are fetched first.
+
+    A stored page is used whatever its url, a PDF's too. Pages that failed are not stored and so are tried again by the
+    next run; they have a null html. Without a fetcher only stored pages are used. doc_id is unique.
+    """
+    spark = pages.sparkSession
+    if fetcher is not None:
+        io.resumed_at(spark, path, pages.select("doc_id", "url"), "doc_id", lambda lacking: fetch_pages(lacking, fetcher).filter("html is not null"))
+    stored = spark.read.parquet(path).select(F.col("doc_id").alias("_id"), "html")
+    return pages.join(stored, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+
+
 def search_requests(inputs: DataFrame, num_results: int = 20) -> DataFrame:
     """A row for each request: inputs (search_query, search_engine_input) and start."""
     return inputs.withColumn("start", F.explode(T.page_starts(F.lit(num_results))))

@@ -1,5 +1,6 @@
 """Golden cases of the relational operators, and every query against its oracle."""
 
+import json
 import os
 
 import duckdb
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from stancemill.operators import features, models
 from stancemill.operators import relational as R
-from stancemill.plans import registry
+from stancemill.plans import pipeline, registry
 from stancemill.sources import connectors, io
 
 
@@ -155,3 +157,102 @@ def test_every_document_is_asked(spark, tmp_path):
     assert all(r["text"] == r["search_query"] for r in registry.asked(spark, str(tmp_path)).collect())
     for name in ("max_ngram_overlap", "st_similarity", "quote_shared", "add_features"):
         assert sorted(r["doc_id"] or 0 for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == [-1, 0, 0, 1, 5, 5], name
+
+
+def test_id_list_is_one_json_array(spark, tmp_path):
+    for k, ids in enumerate(([3, 1, 1, None, -2], [], [None], [7, 7])):
+        io.write_id_list(spark.createDataFrame([(x,) for x in ids], "answer_id long"), f"{tmp_path}/{k}")
+        (file,) = (tmp_path / str(k)).glob("part-*")
+        assert json.loads(file.read_text()) == sorted((x for x in ids if x is not None)) + [None] * ids.count(None)
+    (tmp_path / "one.json").write_text("[4, 5,6]")
+    assert rows(io.read_id_list(spark, f"{tmp_path}/one.json")) == [(4,), (5,), (6,)]
+
+
+def test_questions_with_row_numbers(spark, tmp_path):
+    q = spark.createDataFrame([("b \"x\", y?", "c"), ("a?", "d")], io.QUESTIONS)
+    io.write_questions(q.coalesce(1), f"{tmp_path}/i", ["search_query"])
+    text = "".join(sorted(f.read_text().split("\n", 1)[1] for f in (tmp_path / "i").glob("part-*")))
+    assert {line.split(",", 1)[0] for line in text.split("\n") if line} == {"0", "1"}
+    assert rows(io.read_questions(spark, f"{tmp_path}/i", index=True)) == rows(q)
+
+
+def test_read_pages_opens_only_what_is_named(spark, tmp_path):
+    (tmp_path / "1.html").write_bytes("<p>é".encode())
+    (tmp_path / "bad.html").write_bytes(b"\xff")
+    (tmp_path / "2.html").mkdir()
+    d = spark.createDataFrame([(1, f"{tmp_path}/1.html"), (2, "1.html"), (3, "none.html"), (4, None), (5, "bad.html")], "doc_id long, source_path string")
+    found = io.read_pages(spark, d, str(tmp_path))
+    assert [r.source for r in found.orderBy("doc_id").collect()] == ["<p>é", "<p>é", None, None, "\ufffd"] and found.columns == ["doc_id", "source_path", "source"]
+    assert io.read_pages(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_fetch_resumed_fetches_once(spark, tmp_path):
+    class Counting:
+        """Fetches from no network; notes each url in a file and fails for some."""
+
+        def __init__(self, log):
+            self.log = str(log)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            pass
+
+        def fetch(self, url):
+            with open(self.log, "a") as f:
+                f.write(url + "\n")
+            return None if "fail" in url else f"<html>{url}"
+
+    log, path = tmp_path / "log", f"{tmp_path}/stored"
+    io.write_pages(spark.createDataFrame([(3, "kept")], "doc_id long, html string"), path)
+    d = spark.createDataFrame([(1, "http://a"), (2, "http://fail"), (3, "http://b.pdf"), (4, "http://c.pdf"), (5, None)], "doc_id long, url string")
+    want = [(1, "<html>http://a"), (2, None), (3, "kept"), (4, None), (5, None)]
+    assert rows(connectors.fetch_resumed(d, path, Counting(log)).select("doc_id", "html")) == want
+    assert rows(connectors.fetch_resumed(d, path, Counting(log)).select("doc_id", "html")) == want
+    assert sorted(log.read_text().split()) == ["http://a", "http://fail", "http://fail"]
+    assert rows(connectors.fetch_resumed(d, path, None).select("doc_id", "html")) == want
+
+
+def test_build_dataset_keeps_ids_and_drops_short_pages(spark, tmp_path):
+    answers = spark.createDataFrame([("c", "Is tea good?", "Yes 1: Tea is good\nNo 1: Tea is bad")], "category string, search_query string, model_answer string")
+    inputs = rows(pipeline.search_inputs(answers).select("search_type", "search_engine_input"))
+    assert [t for t, _ in inputs] == ["no_statement", "yes_statement"]
+    asked = []
+
+    def ask(lacking):
+        asked.append(lacking.count())
+        urls = F.array(F.lit("http://a/1"), F.lit("http://a/2"))
+        return lacking.withColumn("url", F.explode(urls)).withColumns({c: F.lit("") for c in ("title", "snippet", "request_dump")})
+
+    hits, stored = f"{tmp_path}/hits", f"{tmp_path}/pages"
+    words = " ".join(["This is what they say about the tea that we have and drink in the house."] * 20)
+    page = lambda t: f"<html><body><p>{t}</p></body></html>"
+    found = pipeline.search_table(spark, hits, pipeline.search_inputs(answers), ask)
+    assert [r.doc_id for r in found.orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    io.write_pages(found.select("doc_id", F.when(F.col("url") == "http://a/1", page(words)).otherwise(page("Short.")).alias("html")), stored)
+    out = pipeline.build_dataset(spark, answers, hits, stored, ask, None)
+    assert rows(out.select("search_type", "url", "text")) == [("no_statement", "http://a/1", words), ("yes_statement", "http://a/1", words)]
+    more = answers.unionByName(spark.createDataFrame([("c", "Is milk fine?", "Yes 1: Milk is fine\nNo 1: Milk is not")], answers.schema))
+    grown = pipeline.search_table(spark, hits, pipeline.search_inputs(more), ask)
+    assert sorted(r.doc_id for r in grown.collect()) == list(range(8)) and asked == [2, 0, 2]
+    assert rows(grown.filter("doc_id < 4").select("doc_id", "search_engine_input", "url")) == rows(found.select("doc_id", "search_engine_input", "url"))
+
+
+def test_top_rows_pairs_and_ranges(spark):
+    d = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), (None, 5), (None, 6)], "k string, v long")
+    assert rows(R.top_rows(d, ["k"], [F.desc("v")], 2).select("v")) == [(2,), (3,), (4,), (5,), (6,)]
+    assert rows(R.pairs_within(d, "k", "v", [])) == [("a", 1, 2), ("a", 1, 3), ("a", 2, 3)]
+    for n, parts in ((10, 3), (2, 5), (7, 1), (16, 4)):
+        got = [r.p for r in spark.range(n).select(R.range_part(F.col("id"), n, parts).alias("p"), "id").orderBy("id").collect()]
+        assert got == [d for d in range(parts) for _ in range(d * n // parts, (d + 1) * n // parts)]
+
+
+def test_unique_lemmas_by_a_callers_lemmatizer(spark):
+    class Plural:
+        def lemma(self, token):
+            return token.rstrip("s")
+
+    d = spark.createDataFrame([("cat cats dog",), (None,), ("",)], "text string")
+    made = features.add_features(d, ["_num_unique_tokens"], models={"_num_unique_tokens": models.unique_lemmas(Plural())})
+    assert [r._num_unique_tokens for r in made.collect()] == [2, None, 1]
