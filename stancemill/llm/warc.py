@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from stancemill.llm.common import shared_path, small_batches
+from stancemill.llm.common import shared_path, small_batches, staged
 
 SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, content_length long, headers map<string,string>, payload binary, file string, offset long"
 FIELDS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -311,6 +311,8 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     again = p.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    # A written table has a known size: Spark broadcasts a small one in place of shuffling payloads and can split a hot digest of a large one.
+    again = staged(again, "again")
     p = p.join(again, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.concat(F.lit("none:"), "digest")), F.lit(">"))
