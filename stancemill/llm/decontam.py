@@ -78,24 +78,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> D
     mine = seeds(d, key, SPAN, masks)
     if lengths:
         mine = mine.unionByName(d.select(*key, F.inline(F.expr(let("words", "h", run_array("h", lengths))))))
+    # One row for each document and item, so that its words are held once; it has as many shifts as the two have words at most.
     hits = mine.join(F.broadcast(probes) if small else probes, "seed")
-    hits = staged(hits.select("doc_id", "h1", "h2", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    hits = staged(hits.select("doc_id", "h1", "h2", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct().groupBy("doc_id", "h1", "h2", "item").agg(F.collect_list("shift").alias("shifts")), "hits")
     keys = hits.select("doc_id", "h1", "h2").distinct()
     texts = d.withColumnRenamed("doc_id", "id").join(keys, F.col("id").eqNullSafe(keys["doc_id"]) & (d["h1"] == keys["h1"]) & (d["h2"] == keys["h2"]), "left_semi").dropDuplicates(["id", "h1", "h2"])
     texts = texts.select("id", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("dw"))
     pairs = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).join(items.withColumnRenamed("words", "iw"), "item")
-    # The stretch of the item that lies in the document, and in it the windows that pass.
-    pairs = pairs.withColumn("low", F.greatest(F.lit(0), -F.col("shift"))).withColumn("high", F.least(F.size("iw"), F.size("dw") - F.col("shift")))
-    pairs = pairs.withColumn("width", F.least(F.lit(WINDOW), F.size("iw"))).filter("high - low >= width")
+    pairs = pairs.withColumn("width", F.least(F.lit(WINDOW), F.size("iw")))
+    # For each shift the stretch of the item that lies in the document, and in it the windows that pass.
     wanted = f"width - case when width < {SPAN} then 0 when width < {WINDOW} then {SHORT_SUBSTITUTIONS} else {SUBSTITUTIONS} end"
-    same = "transform(sequence(low, high - 1), i -> if(iw[i] = dw[i + shift], 1, 0))"
-    passing = F.expr(let(same, "same", f"filter(sequence(0, high - low - width), s -> aggregate(slice(same, s + 1, width), 0, (n, x) -> n + x) >= {wanted})"))
-    found = pairs.withColumn("windows", passing).filter("size(windows) > 0")
-    found = found.select(
-        "doc_id", "h1", "h2", "item_id",
-        (F.element_at("windows", -1) - F.element_at("windows", 1) + F.col("width")).cast("long").alias("overlap_words"),
-        (F.col("low") + F.element_at("windows", 1)).alias("first"), "shift",
-    )
+    same = "transform(sequence(r.low, r.high - 1), i -> if(iw[i] = dw[i + r.shift], 1, 0))"
+    passing = let(same, "same", f"filter(sequence(0, r.high - r.low - width), s -> aggregate(slice(same, s + 1, width), 0, (n, x) -> n + x) >= {wanted})")
+    stretches = "transform(shifts, z -> named_struct('shift', z, 'low', greatest(0, -z), 'high', least(size(iw), size(dw) - z)))"
+    windows = f"transform(filter({stretches}, r -> r.high - r.low >= width), r -> named_struct('shift', r.shift, 'low', r.low, 'windows', {passing}))"
+    ends = f"transform(filter({windows}, r -> size(r.windows) > 0), r -> named_struct('shift', r.shift, 'first', r.low + r.windows[0], 'words', cast(element_at(r.windows, -1) - r.windows[0] + width as bigint)))"
+    found = pairs.select("doc_id", "h1", "h2", "item_id", F.inline(F.expr(ends))).withColumnRenamed("words", "overlap_words")
     best = F.min(F.struct((-F.col("overlap_words")).alias("less"), (F.col("first") + F.col("shift")).cast("long").alias("doc_start"), F.col("first").cast("long").alias("item_start")))
     return found.groupBy("doc_id", "h1", "h2", "item_id").agg(best.alias("b")).select("doc_id", "h1", "h2", "item_id", (-F.col("b.less")).alias("overlap_words"), "b.doc_start", "b.item_start")
 
