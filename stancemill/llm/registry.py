@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from stancemill.llm import queries
+from stancemill.llm import oracles, queries
 
 QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {
@@ -24,4 +24,7 @@ ORACLE: dict[str, str] = {
         n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
         SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
         FROM embeddings JOIN m ON m.v = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op11_licences": oracles.licence_scan(),
+    "op12_ranked_search": oracles.RANKED_SEARCH,
+    "op13_collocations": oracles.COLLOCATIONS,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
