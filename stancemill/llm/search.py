@@ -69,7 +69,7 @@ def packed_documents(ids: np.ndarray, nulls: int, words: np.ndarray) -> bytes:
     known = ids[: len(ids) - nulls]
     # Differences may pass 63 bits, so they wrap around and come back so.
     steps = np.diff(known, prepend=np.zeros(1, np.int64))
-    return packed(np.concatenate(([nulls, len(ids)], _zigzag(steps), words)).astype(np.uint64))
+    return packed(np.concatenate((np.array([nulls, len(ids)], np.uint64), _zigzag(steps), words.astype(np.uint64))))
 
 
 def unpacked_documents(data: bytes) -> tuple[np.ndarray, int, np.ndarray]:
