@@ -33,7 +33,9 @@ FIELDS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri":
 RANGE_BYTES = 64 << 20
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MEMBER = re.compile(rb"\x1f\x8b\x08\x04.{6}\x0c\x00sl\x08\x00", re.S)
-START = re.compile(rb"(?:\A|\r\n\r\n)(?=WARC/1\.[01]\r\n)")
+START = re.compile(rb"\r\n\r\n(?=WARC/1\.[01]\r\n)")
+#: So many records from a found start on must follow each other by their lengths, or reach the file's end, for it to be one and no quoted head in a payload.
+CHAIN = 3
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -114,16 +116,7 @@ class WarcReader(DataSourceReader):
                 files = [found[n] for n in sorted(named)]
             else:
                 files = [found[n] for n in sorted(found) if n.endswith((".warc", ".warc.gz"))]
-        out = []
-        for f in files:
-            if f.path.endswith(".gz"):
-                with store.open_input_stream(f.path, compression=None) as s:
-                    whole = not MEMBER.match(s.read(24))
-            else:
-                whole = False
-            step = f.size if whole else self.range_bytes
-            out += [Range(f.path, k, min(f.size, k + step)) for k in range(0, f.size, max(1, step))]
-        return out
+        return [Range(f.path, k, min(f.size, k + self.range_bytes)) for f in files for k in range(0, f.size, self.range_bytes)]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no files
@@ -150,38 +143,40 @@ class WarcReader(DataSourceReader):
         return True
 
     def plain(self, f, part: Range):
-        """Records of an uncompressed file that start in the range; a damaged one is an error, so that none after it is lost unseen."""
+        """Records of an uncompressed file that start in the range; a damaged one is an error."""
         at = part.start
         if at:
-            at = search(f, START, max(0, at - 4), part.stop, 4)
+            at = search(f, START, max(0, at - 4), part.stop, 4, lambda p: plain_follower(f, p))
         while at is not None and at < part.stop:
-            f.seek(at)
-            head = b""
-            while b"\r\n\r\n" not in head and (more := f.read(4096)):
-                head += more
-            if not head.strip():
-                return
-            end = head.find(b"\r\n\r\n") if head.startswith(b"WARC/") else -1
-            if end < 0:
+            found = plain_head(f, at)
+            if found is None:
+                f.seek(at)
+                if not f.read(4096).strip():
+                    return
                 raise ValueError(f"{part.file}: no whole record head at byte {at}")
-            headers = parse_head(head[:end])
+            headers, begin = found
             n = int(headers.get("content-length", 0))
             block = None
             if self.wanted(headers):
                 if self.payload:
-                    f.seek(at + end + 4)
+                    f.seek(begin)
                     block = f.read(n)
                     if len(block) < n:
                         raise ValueError(f"{part.file}: the record at byte {at} is cut off")
                 yield at, headers, block
-            at += end + 4 + n + 4
+            at = begin + n + 4
 
     def members(self, f, part: Range):
-        """Records of a gzip file that start in the range; a damaged one is an error."""
-        at = part.start
+        """Records of a gzip file that start in the range; a damaged one is an error. A file whose members don't state their lengths belongs to its first range."""
+        at, stop = part.start, part.stop
+        f.seek(0)
+        if not MEMBER.match(f.read(24)):
+            if at:
+                return
+            stop = f.size()
         if at:
-            at = search(f, MEMBER, at, part.stop, 0)
-        while at is not None and at < part.stop:
+            at = search(f, MEMBER, at, stop, 0, lambda p: member_follower(f, p))
+        while at is not None and at < stop:
             f.seek(at)
             raw = f.read(4096)
             if not raw:
@@ -216,18 +211,52 @@ class WarcReader(DataSourceReader):
             at += size
 
 
-def search(f, pattern: re.Pattern, start: int, stop: int, back: int) -> int | None:
-    """Where the first match in [start, stop) ends (back > 0) or begins."""
-    at, tail = start, b""
+def plain_head(f, at: int) -> tuple[dict[str, str], int] | None:
+    """Headers of the record at a byte, and where its block begins; None if no whole head is there."""
+    f.seek(at)
+    head = b""
+    while b"\r\n\r\n" not in head and head[:5] == b"WARC/"[: len(head)] and (more := f.read(4096)):
+        head += more
+    end = head.find(b"\r\n\r\n")
+    if end < 0 or not head.startswith(b"WARC/"):
+        return None
+    return parse_head(head[:end]), at + end + 4
+
+
+def plain_follower(f, at: int) -> int | None:
+    """Where the record after that at a byte begins by its length; None if no record can be there."""
+    found = plain_head(f, at)
+    if found is None or not found[0].get("content-length", "").isdigit() or "warc-type" not in found[0]:
+        return None
+    return found[1] + int(found[0]["content-length"]) + 4
+
+
+def member_follower(f, at: int) -> int | None:
+    f.seek(at)
+    raw = f.read(24)
+    return at + struct.unpack("<I", raw[16:20])[0] if MEMBER.match(raw) else None
+
+
+def search(f, pattern: re.Pattern, start: int, stop: int, back: int, follower) -> int | None:
+    """The first record start in [start + back, stop): where a match ends (back > 0) or begins and CHAIN records follow each other."""
+    total, at, tail = f.size(), start, b""
     while at < stop + 64:
         f.seek(at)
         got = f.read(1 << 20)
         if not got:
             return None
         data = tail + got
-        if m := pattern.search(data):
+        for m in pattern.finditer(data):
             found = at - len(tail) + (m.end() if back else m.start())
-            return found if found < stop else None
+            if found >= stop:
+                return None
+            chain = found
+            for _ in range(CHAIN):
+                if chain is not None and chain < total:
+                    chain = follower(chain)
+            if chain is not None:
+                return found
+        # A match that begins in what is kept is found again, with what follows it.
         tail, at = data[-64:], at + len(got)
     return None
 
