@@ -18,12 +18,24 @@ SLOTS = 4096
 RUNS = 16
 
 
-def slot_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, run) of each record. The hash takes id, checksum and size, so null or repeated ids spread out."""
+def record_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, number) of each record; number tells repeated rows apart, and is another one when docs are read again."""
     raw = F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b""))
-    facts = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    h = F.xxhash64("doc_id", "text_crc32", "size")
-    return facts.withColumns({"virtual_slot": F.pmod(h, F.lit(slots)).cast("int"), "run": F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(RUNS - 1)).cast("int")})
+    size = (F.octet_length(raw) + F.lit(1)).cast("long").alias("size")
+    return docs.select(F.col(id_col).alias("doc_id"), size, F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("number"))
+
+
+def repeated(facts: DataFrame) -> DataFrame:
+    """(r_id, r_crc32, r_size) of records that are equal in all three."""
+    return facts.groupBy("doc_id", "text_crc32", "size").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("r_id"), F.col("text_crc32").alias("r_crc32"), F.col("size").alias("r_size"))
+
+
+def slot_facts(facts: DataFrame, again: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """record_facts with virtual_slot and run. The hash takes id, checksum and size, so null ids spread out, and for those in again the number, so that equal rows do."""
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_crc32") == F.col("r_crc32")) & (F.col("size") == F.col("r_size"))
+    h = F.xxhash64("doc_id", "text_crc32", "size", F.when(F.col("r_crc32").isNotNull(), F.col("number")).otherwise(F.lit(0)))
+    salted = facts.join(again, same, "left").withColumn("h", h).drop("r_id", "r_crc32", "r_size", "number")
+    return salted.withColumns({"virtual_slot": F.pmod("h", F.lit(slots)).cast("int"), "run": F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(RUNS - 1)).cast("int")}).drop("h")
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -69,11 +81,13 @@ def shard(docs: DataFrame, shards: int = 8, map_path: str | None = None) -> Data
     Returns doc_id, size (UTF-8 bytes plus 1; a null text has none), text_crc32, law ("bytes"), shard,
     slot (the record's place in its shard, gapless from 0), grown_shard (null under this law) and virtual_slot.
     Versions 0 and 1 of the map are stored under map_path (default: a new one in the shared folder).
-    Records equal in doc_id and text share a virtual slot and get places in any order; null ids are hashed
-    by their text. No input rows give no rows. Other columns are ignored.
+    Records equal in doc_id and text are spread over the virtual slots like others; null ids are hashed by their
+    text. No input rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    facts = staged(slot_facts(docs), "slot-facts")
+    facts = staged(record_facts(docs), "slot-facts")
+    # Written, so that Spark knows its size and can split a hot record's rows where it does not broadcast it.
+    facts = slot_facts(facts, staged(repeated(facts), "repeated"))
     map_path = map_path or shared_path(spark, "slot-map")
     runs = facts.groupBy("virtual_slot", "run").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     save_map(first_map(spark, shards).withColumn("bytes", F.lit(None).cast("long")), map_path, 0)

@@ -45,3 +45,19 @@ def test_bytes_law_with_repeated_rows(spark, repeats):
     for s in range(8):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert sorted((r["doc_id"] is None, r["doc_id"], r["size"]) for r in got) == sorted((i is None, i, len(t or "") + 1) for i, t in rows)
+
+
+def test_edited_map_against_a_plain_fold(spark):
+    """Slots by falling bytes: each stays while its shard does not pass the mean, else goes to the lightest shard, the first on ties."""
+    old = [(k, k % 5) for k in range(60)]
+    sizes = {k: (k * 37) % 23 * 10 for k in range(60) if k % 7}
+    for shards in (3, 5, 8):
+        mean = -(-sum(sizes.values()) // shards)
+        loads, expected = [0] * shards, {}
+        for k, at in sorted(old, key=lambda x: (-sizes.get(x[0], 0), x[0])):
+            n = sizes.get(k, 0)
+            to = at if at < shards and loads[at] + n <= mean else loads.index(min(loads))
+            loads[to] += n
+            expected[k] = (to, n)
+        got = sharding.edited_map(spark.createDataFrame(old, "virtual_slot int, shard int"), spark.createDataFrame(list(sizes.items()), "virtual_slot int, bytes long"), shards)
+        assert {r["virtual_slot"]: (r["shard"], r["bytes"]) for r in got.collect()} == expected
