@@ -39,7 +39,7 @@ feature("_num_tokens")(lambda text, query, url: T.num_tokens(text))
 feature("_num_unique_tokens")(lambda text, query, url: T.num_unique_tokens(text))
 feature("_href_count")(lambda text, query, url: T.count_pattern(text, T.HREF))
 feature("_url_count")(lambda text, query, url: T.count_pattern(text, T.url_pattern()))
-feature("_email_count")(lambda text, query, url: T.count_pattern(text, T.EMAIL))
+feature("_email_count")(lambda text, query, url: T.email_count(text))
 feature("_max_ngram_overlap")(lambda text, query, url: F.size(longest_common_ngram(T.normal_words(text), T.normal_words(query))).cast("long"))
 feature("_tld")(lambda text, query, url: T.suffix(url))
 feature("_domain")(lambda text, query, url: T.domain(url))

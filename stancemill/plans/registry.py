@@ -72,10 +72,17 @@ def href_count(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '" + T.EMAIL.replace("'", "''") + "')) AS BIGINT) AS email_count FROM documents")
 def email_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.count_pattern(F.col("text"), T.EMAIL).alias("email_count"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.email_count(F.col("text")).alias("email_count"))
 
 
-@query()
+#: Runs of word characters, . - and @ are marked at both ends in place of looking behind and ahead.
+RUNS = "regexp_replace(html, '[@\\w.\\-]+', chr(1) || '\\0' || chr(2), 'g')"
+INNER = r"[a-z0-9\-._~%!$&''()*+,;=:@/?#\[\]\x01\x02]"
+TAIL = rf"(?:{INNER}*[a-z0-9\-_~%$&*+=@/#])"
+URL = rf"(?i)(?:\x01|[@.\-])https?\x02://{TAIL}|\x01(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+(?:{'|'.join(T.TLDS)})(?:\x02(?:[/?#:]{TAIL}?)?|\.(?:\x02|[^a-z0-9]))"
+
+
+@query(f"SELECT page_id, CAST(len(regexp_extract_all({RUNS}, '{URL}')) AS BIGINT) AS url_count FROM pages")
 def url_count(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.count_pattern(F.col("html"), T.url_pattern()).alias("url_count"))
 
@@ -236,10 +243,11 @@ ASKED = "documents d JOIN benchmark i ON d.doc_id % (SELECT count(*) FROM benchm
 
 @query(
     f"WITH b AS (SELECT d.doc_id, {NORMAL.format('d.text')} AS t, {NORMAL.format('i.text')} AS q FROM {ASKED}), words AS (SELECT unnest(t) AS w FROM b UNION SELECT unnest(q) FROM b), {stems('words')}, "
-    "t AS (SELECT doc_id, list(stem ORDER BY k) AS t FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM b) JOIN stems USING (w) GROUP BY doc_id), "
-    "q AS (SELECT doc_id, list(stem ORDER BY k) AS q FROM (SELECT doc_id, unnest(q) AS w, generate_subscripts(q, 1) AS k FROM b) JOIN stems USING (w) GROUP BY doc_id), "
-    "r AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS t, q FROM b LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)".replace("b LEFT JOIN", "(SELECT doc_id FROM b) LEFT JOIN") + ") "
-    "SELECT doc_id, CAST(coalesce(list_max(list_transform(range(1, len(q) + 1), lambda s: coalesce(list_max(list_transform(range(s, len(q) + 1), lambda e: CASE WHEN contains(t, ' ' || array_to_string(q[s:e], ' ') || ' ') THEN e - s + 1 ELSE 0 END)), 0))), 0) AS BIGINT) AS n FROM r"
+    "t AS (SELECT doc_id, stem, i FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM b) JOIN stems USING (w)), "
+    "q AS (SELECT doc_id, stem, j FROM (SELECT doc_id, unnest(q) AS w, generate_subscripts(q, 1) AS j FROM b) JOIN stems USING (w)), "
+    "m AS (SELECT doc_id, i - j AS shift, i - row_number() OVER (PARTITION BY doc_id, i - j ORDER BY i) AS run FROM t JOIN q USING (doc_id, stem)), "
+    "n AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, shift, run, count(*) AS n FROM m GROUP BY doc_id, shift, run) GROUP BY doc_id) "
+    "SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM b LEFT JOIN n USING (doc_id)"
 )
 def max_ngram_overlap(spark, sf_dir):
     """Of stems."""

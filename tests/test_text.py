@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 
 import duckdb
 import pytest
@@ -190,3 +192,35 @@ def test_features(spark):
     assert all(rows[1][n] is None for n in features.REGISTRY if n != "_max_ngram_overlap")
     kept = features.add_features(df.withColumn("_tld", F.lit("x")), ["_tld"])
     assert {r["_tld"] for r in kept.collect()} == {"x"}
+
+
+def _counts(spark, texts, count):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    return [r["n"] for r in df.select("k", count(F.col("t")).alias("n")).orderBy("k").collect()]
+
+
+def test_email_count_equals_the_pattern(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice('aB.."@@[]\\ \té-#') for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ['"a\\"b"@c', 'x\\"abc"@d', "a..b@c.d.", "a@[x y]b@c", "a.b@c.d@e.f", '"' + "q" * T.MOST_QUOTED + '"@x.y']
+    assert _counts(spark, texts, T.email_count) == [len(re.findall(T.EMAIL, t)) for t in texts]
+
+
+def test_url_count_equals_labels_tried_one_by_one(spark):
+    """Against the same grammar with labels that are given back."""
+    old = T.url_pattern().replace(r"(?:[a-z0-9]++(?:-++[a-z0-9]++)*+\.(?=[a-z0-9]))++", r"(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+")
+    assert old != T.url_pattern()
+    rng = random.Random(2)
+    parts = ["a", "b-c", "-", ".", "..", "com", "co.uk", "http://", "HTTPS://", "/", "?", "@", " ", "_", "x.org", ")", ":", "#", ","]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    assert _counts(spark, texts, lambda c: T.count_pattern(c, T.url_pattern())) == [len(re.findall(old, t)) for t in texts]
+
+
+def test_hostile_texts_are_counted_in_time(spark):
+    n = 1 << 20
+    texts = [s * (n // len(s)) for s in ('"', "a", ".", "a.", "a.b-", "a@", '\\"', "@", "[", "a@[", "-", "http://", "http://.", "com.", '"a" ', "é")]
+    texts += ['"' + "a" * n, '"@' + '\\"' * (n // 2), "http://" + "." * n, "x@" + "a." * (n // 2), "[" * n + '"@']
+    began = time.time()
+    _counts(spark, texts, T.email_count)
+    _counts(spark, texts, lambda c: T.count_pattern(c, T.url_pattern()))
+    assert time.time() - began < 120
