@@ -34,13 +34,19 @@ RUN_BYTES = 8 << 20
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Groups of a language's phrases that are ranked on their own before the language is.
 RANK_PARTS = 64
-COUNTED = "lang string, phrase binary, n long, h long"
+COUNTED = "lang string, phrase binary, n long"
+LEVEL = "lang string, phrase string, n long, h long"
 
 
 def _hashes(values: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values), np.uint64, len(values))
 
 
+def _longer(h: np.ndarray | None, word: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one word more; without phrases (None), of the words in their languages."""
+    return mix(word ^ lang) if h is None else mix(h * GOLDEN + word)
+
+
 def _counted(langs: list[str], texts: pa.Array, k: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Rows of COUNTED: the phrases of k words of the texts with their counts; for k = 1 also each language's number of words, with a null phrase."""
     found = scan(texts, SEPARATORS, BREAKS)
@@ -53,13 +59,9 @@ def _counted(langs: list[str], texts: pa.Array, k: int, bits: np.ndarray | None)
     word_hash = _hashes(words.to_pylist())[codes]
     lang_hash = _hashes([x.encode("utf-8", "replace") for x in known])[lang]
 
-    def level(h: np.ndarray | None, j: int) -> np.ndarray:
-        """Hashes of the phrases of j words from those of j - 1, by first word."""
-        return mix(word_hash ^ lang_hash) if h is None else mix(h[:-1] * GOLDEN + word_hash[j - 1 :])
-
     h = None
     for j in range(1, k):
-        h = level(h, j)
+        h = _longer(None if h is None else h[:-1], word_hash[j - 1 :], lang_hash)
     at = np.arange(len(codes))
     if h is not None:
         mask = np.uint64(len(bits) * 8 - 1)
@@ -77,22 +79,28 @@ def _counted(langs: list[str], texts: pa.Array, k: int, bits: np.ndarray | None)
     _, first, n = np.unique(key, return_index=True, return_counts=True)
     first = at[first]
     joined = words.take(pa.array(codes[first])) if k == 1 else pc.binary_join_element_wise(*(words.take(pa.array(codes[first + j])) for j in range(k)), pa.scalar(b" ", pa.large_binary()))
-    h = level(h, k)[first].view(np.int64)
     names = pa.array(known.tolist(), pa.string())
-    yield _rows(names.take(pa.array(lang[first])), joined.cast(pa.binary()), n, h)
+    rows = lambda *columns: pa.RecordBatch.from_arrays(list(columns), names=["lang", "phrase", "n"])
+    yield rows(names.take(pa.array(lang[first])), joined.cast(pa.binary()), pa.array(n.astype(np.int64)))
     if k == 1:
-        n = np.bincount(lang, minlength=len(known))
-        yield _rows(names, pa.nulls(len(known), pa.binary()), n, np.zeros(len(known), np.int64))
+        yield rows(names, pa.nulls(len(known), pa.binary()), pa.array(np.bincount(lang, minlength=len(known)).astype(np.int64)))
 
 
-def _rows(lang: pa.Array, phrase: pa.Array, n: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(n.astype(np.int64)), pa.array(h)], names=["lang", "phrase", "n", "h"])
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a level table with the hash by which the next pass knows a phrase."""
+    for b in batches:
+        langs = _hashes([x.encode("utf-8", "replace") for x in b.column("lang").to_pylist()])
+        split = [(x or "").encode("utf-8", "replace").split(b" ") for x in b.column("phrase").to_pylist()]
+        h = None
+        for j in range(max(map(len, split), default=0)):
+            h = _longer(h, _hashes([w[j] for w in split]), langs)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(0, np.int64) if h is None else h.view(np.int64))], names=["lang", "phrase", "n", "h"])
 
 
 def level_table(texts: DataFrame, k: int, bits=None, least: int = LEAST) -> DataFrame:
     """(lang, phrase, n, h): the phrases of k words of texts (lang, raw) that occur least times or more. bits is the broadcast bitmap of the level before.
 
-    h is the phrase's hash, and with k = 1 a null phrase has the number of all the language's words.
+    h is the phrase's hash. With k = 1 a null phrase has the number of all the language's words.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +110,9 @@ def level_table(texts: DataFrame, k: int, bits=None, least: int = LEAST) -> Data
             for start, part in runs(b.column("raw"), RUN_BYTES):
                 yield from _counted(langs[start : start + len(part)], part, k, held)
 
-    counted = texts.select("lang", "raw").mapInArrow(work, COUNTED).select("lang", F.col("phrase").cast("string").alias("phrase"), "n", "h")
-    return counted.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull()).select("lang", "phrase", "n", "h")
+    # Hashes are added to the frequent phrases alone, so that the shuffle has none.
+    counted = texts.select("lang", "raw").mapInArrow(work, COUNTED).select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNull()).mapInArrow(_with_hash, LEVEL)
 
 
 def bitmap(level: DataFrame) -> np.ndarray:

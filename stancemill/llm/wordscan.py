@@ -54,9 +54,9 @@ def scan(texts: pa.Array, separators: np.ndarray, breaks: np.ndarray | None = No
     first[opens] = letter[opens]
     starts = np.flatnonzero(first)
     rows = np.searchsorted(ends, starts, "right") - 1
-    pieces = rows if breaks is None else rows + np.cumsum(breaks[raw], dtype=np.int64)[starts]
-    before = np.cumsum(letter, dtype=np.int64)
-    offsets = np.append(before[starts] - 1, before[-1])
+    pieces = rows if breaks is None else rows + np.cumsum(breaks[raw], dtype=np.int32)[starts]
+    before = np.cumsum(letter, dtype=np.int32)
+    offsets = np.append(before[starts] - 1, before[-1]).astype(np.int64)
     data = LOWER[raw[letter]]
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     return Words(words, rows, pieces)
