@@ -14,12 +14,21 @@ from stancemill.operators import relational as R
 from stancemill.sources import connectors, io
 
 
+#: Makes a page's text of its html, both as columns.
+Extractor = Callable[[Column], Column]
+
+
 def questions(answers: DataFrame) -> DataFrame:
     """(search_query, category): the question lines of answers (category, model_answer)."""
     lines = answers.select("category", F.explode(F.split("model_answer", "\n", -1)).alias("search_query"))
     return lines.filter(T.is_question(F.col("search_query"))).select("search_query", "category")
 
 
+def generated_questions(topics: DataFrame, completer: connectors.Completer, **tries) -> DataFrame:
+    """(search_query, category) of the questions that the completer writes about each of topics (category); a topic that gets no answer has none."""
+    return questions(connectors.completed(topics.select("category"), connectors.QUESTION_PROMPT, "category", completer, **tries))
+
+
 def search_inputs(statements: DataFrame) -> DataFrame:
     """Statements (category, search_query, model_answer) as one row for each side, words shared with the question quoted."""
     a = F.col("model_answer")
@@ -27,10 +36,10 @@ def search_inputs(statements: DataFrame) -> DataFrame:
     return long.withColumn("search_engine_input", quote_shared_words(F.col("search_engine_input"), F.col("search_query"))["one"])
 
 
-def build_pages(inputs: DataFrame, hits: DataFrame, stored: DataFrame, least: int = 200) -> DataFrame:
-    """Inputs joined with their hits, with the main text of the pages, where that is long enough."""
+def build_pages(inputs: DataFrame, hits: DataFrame, stored: DataFrame, least: int = 200, extract: Extractor = boilerplate.main_text) -> DataFrame:
+    """Inputs joined with their hits, with the text that extract makes of the pages' html, where that is long enough."""
     pages = connectors.fetch_offline(R.one_to_many(inputs, hits, ["search_query", "search_engine_input"]), stored)
-    return pages.withColumn("text", boilerplate.main_text(F.col("html"))).drop("html").filter(T.long_enough(F.col("text"), least))
+    return pages.withColumn("text", extract(F.col("html"))).drop("html").filter(T.long_enough(F.col("text"), least))
 
 
 def search_table(spark: SparkSession, path: str, inputs: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -48,7 +57,7 @@ def search_table(spark: SparkSession, path: str, inputs: DataFrame, ask: Callabl
     return io.resumed_at(spark, path, inputs.select("search_query", "search_engine_input"), "search_engine_input", numbered)
 
 
-def build_dataset(spark: SparkSession, statements: DataFrame, hits: str, stored: str, ask: Callable[[DataFrame], DataFrame], fetcher: connectors.Fetcher | None, least: int = 200) -> DataFrame:
+def build_dataset(spark: SparkSession, statements: DataFrame, hits: str, stored: str, ask: Callable[[DataFrame], DataFrame], fetcher: connectors.Fetcher | None, least: int = 200, extract: Extractor = boilerplate.main_text) -> DataFrame:
     """Statements (category, search_query, model_answer) to pages with text: search, fetch what is not stored, extract, and drop short texts.
 
     hits and stored are the paths of the tables of hits and of pages (doc_id, html), both kept for later runs.
@@ -56,7 +65,7 @@ def build_dataset(spark: SparkSession, statements: DataFrame, hits: str, stored:
     inputs = search_inputs(statements)
     pages = R.one_to_many(inputs, search_table(spark, hits, inputs.filter("search_engine_input is not null"), ask), ["search_query", "search_engine_input"])
     pages = connectors.fetch_resumed(pages, stored, fetcher)
-    return pages.withColumn("text", boilerplate.main_text(F.col("html"))).drop("html").filter(T.long_enough(F.col("text"), least))
+    return pages.withColumn("text", extract(F.col("html"))).drop("html").filter(T.long_enough(F.col("text"), least))
 
 
 def best_windows(pages: DataFrame, score: Column, size: int = 508, step: int = 256) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stancemill.functions import text as T
 from stancemill.functions.stem import longest_common_ngram, quote_shared_words, stem_word
@@ -18,7 +20,8 @@ from stancemill.operators import boilerplate, features, models
 from stancemill.operators import relational as R
 from stancemill.plans import pipeline
 from stancemill.plans.stem_sql import stems
-from stancemill.sources import connectors, io
+from stancemill.sources import connectors, fetching, io, ranges
+from stancemill.sources import search_source as service
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -534,3 +537,51 @@ def range_parts(spark, sf_dir):
     part = R.range_part(F.col("_k"), F.lit(d.count()), 7)
     d = R.dense_ids(d, ["doc_id"], "_k").select("doc_id", part.alias("part"))
     return d.withColumn("path", connectors.page_path(F.concat(F.lit("folder/"), F.col("part").cast("string")), F.col("doc_id")))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN left(html, 200) WHEN NOT ends_with(u, '.pdf') AND length(u) % 2 = 0 THEN '<p>' || u END AS html FROM (SELECT *, {STORED} AS u FROM pages)")
+def fetch_committed(spark, sf_dir):
+    """Pages fetched in committed ranges by two runs: the first one has a third of the ids, and of those a part fails, which the second one fetches with the rest."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", F.expr(STORED).alias("url"))
+    path = scratch("committed")
+
+    def third(rows: pa.Table) -> pa.Table:
+        if any(i % 300 == 0 for i in rows["doc_id"].to_pylist()):
+            raise OSError("no connection")
+        return rows.append_column("cut", pa.array([False] * rows.num_rows))
+
+    first = p.filter("doc_id % 3 = 0").select("doc_id", F.left("html", F.lit(200)).alias("html"))
+    ranges.run_ranges(ranges.numbered(first, 20), path, third, strict=False)
+    ranges.run_ranges(ranges.numbered(R.drop_ids(first, ranges.committed(spark, path, fetching.PAGE), "doc_id", "doc_id"), 20), path, lambda rows: rows.append_column("cut", pa.array([False] * rows.num_rows)))
+    return fetching.fetch_committed(p.drop("html"), path, Echo(), fetching.Manners(delay=0), 50).select(F.col("doc_id").alias("page_id"), "html")
+
+
+@query(
+    "SELECT c_mktsegment AS search_query, c_name AS search_engine_input, CAST(s AS INTEGER) AS start, CAST(s + r - 1 AS INTEGER) AS position, 'http://h/' || o_orderkey AS url, o_orderstatus AS title FROM ("
+    "SELECT c_mktsegment, c_name, o_orderkey, o_orderstatus, 1 + 10 * ((row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) // 10) AS s, 1 + (row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1) % 10 AS r "
+    "FROM customer JOIN orders ON o_custkey = c_custkey) WHERE s < 20"
+)
+def search_source(spark, sf_dir):
+    """Customers as search inputs; stored responses have their orders, ten a page, of which two pages are asked for."""
+    path = scratch("search")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("search_query"), F.col("c_name").alias("search_engine_input"))
+    c.write.parquet(f"{path}/inputs")
+    o = c.join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.withColumn("k", F.row_number().over(Window.partitionBy("c_custkey").orderBy("o_orderkey")) - 1).withColumn("start", (F.floor(F.col("k") / 10) * 10 + 1).cast("int"))
+    items = o.groupBy("search_engine_input", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("http://h/"), "o_orderkey").alias("link"), F.col("o_orderstatus").alias("title")))), lambda x: F.struct(x["link"].alias("link"), x["title"].alias("title"))).alias("items"))
+    items.select("search_engine_input", "start", F.lit(200).alias("status"), F.to_json(F.struct("items")).alias("response")).write.parquet(f"{path}/responses")
+    service.register(spark)
+    return spark.read.format("search").options(inputs=f"{path}/inputs", responses=f"{path}/responses", num_results="20").load().select("search_query", "search_engine_input", "start", "position", "url", "title")
+
+
+@query("SELECT source AS category, 'Is ' || source || ' good?' AS search_query FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT source, '2. Why ' || source || '?' FROM (SELECT DISTINCT source FROM documents)")
+def generate_questions(spark, sf_dir):
+    """Questions about each source, written by a model that also writes lines that are no questions."""
+
+    class Writer:
+        def complete(self, prompt: str) -> str:
+            topic = prompt.split("about ", 1)[1].split(" on which")[0]
+            return f"Here you are\n\nIs {topic} good?\n```?```\n2. Why {topic}?"
+
+    topics = table(spark, sf_dir, "documents").select(F.col("source").alias("category")).distinct()
+    return pipeline.generated_questions(topics, Writer(), delay=0).select("category", "search_query")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 import urllib.error
-import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
-from stancemill.sources import io
+from stancemill.sources import io, search_source
 
 
 class Fetcher(Protocol):
@@ -116,31 +115,21 @@ def search_requests(inputs: DataFrame, num_results: int = 20) -> DataFrame:
 HIT = "search_query string, search_engine_input string, url string, title string, snippet string, request_dump string"
 
 
-def search(inputs: DataFrame, endpoint: str, key: str, num_results: int = 20, pause: float = 0.6, tries: int = 3, delay: float = 120, tasks: int = 1, timeout: float = 30) -> DataFrame:
-    """Hits of a JSON search service; a status that isn't 200 or a timeout is tried again and then fails the task; no items are no hits.
+def search(inputs: DataFrame, endpoint: str, key: str, num_results: int = 20, rate: float = 100 / 60, tries: int = 3, delay: float = 120, tasks: int | None = None, timeout: float = 30) -> DataFrame:
+    """Hits of a JSON search service; a status that isn't 200, a timeout or broken JSON is tried again and then fails the task; no items are no hits.
 
-    The requests are dealt to so many tasks, each of which pauses after a request: tasks / pause bounds their rate.
+    The requests are dealt to so many tasks (default: as many as run at once), each of which lets its share of rate requests
+    a second through. format("search") does the same from a table of inputs, in partitions of its own.
     """
-
-    def ask(query: str, start: int) -> list[dict]:
-        url = f"{endpoint}?{urllib.parse.urlencode({'key': key, 'q': query, 'start': start})}"
-        for k in range(tries):
-            try:
-                with urllib.request.urlopen(url, timeout=timeout) as got:
-                    return json.load(got).get("items", [])
-            except OSError:
-                if k == tries - 1:
-                    raise
-                time.sleep(delay)
-        return []
+    tasks = tasks or inputs.sparkSession.sparkContext.defaultParallelism
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, bucket = search_source.Service(endpoint, key, timeout).ask, search_source.TokenBucket(rate / tasks)
         for b in batches:
             rows = []
             for r in b.itertuples():
-                for hit in ask(r.search_engine_input, r.start):
+                for hit in search_source.asked(ask, r.search_engine_input, r.start, bucket, tries, delay):
                     rows.append((r.search_query, r.search_engine_input, hit.get("link"), hit.get("title"), hit.get("snippet"), json.dumps(hit)))
-                time.sleep(pause)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HIT.split(", ")])
 
     return search_requests(inputs, num_results).repartition(tasks).mapInPandas(work, HIT)
@@ -179,7 +168,8 @@ def answer(prompt: Column, completer: Completer, tries: int = 3, delay: float =
     def work(prompts: pd.Series) -> pd.Series:
         return pd.Series([one(p) for p in prompts], dtype=object)
 
-    return work(prompt).alias("answer")
+    # Asked again, a model may answer otherwise, so no filter on the answer moves below it.
+    return work.asNondeterministic()(prompt).alias("answer")
 
 
 def completed(df: DataFrame, prompt: str, column: str, completer: Completer, output: str = "model_answer", tries: int = 3, delay: float = 30) -> DataFrame:
