@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from stancemill.functions import text as T
 from stancemill.functions.stem import longest_common_ngram, quote_shared_words, stem_word
-from stancemill.operators import boilerplate, features, models
+from stancemill.operators import boilerplate, features, lemmas, models, sentences, urls
 from stancemill.operators import relational as R
 from stancemill.plans import pipeline
 from stancemill.plans.stem_sql import stems
@@ -60,12 +60,23 @@ def num_unique_tokens_raw(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.num_unique_tokens(F.col("text")).alias("num_unique_tokens_raw"))
 
 
-@query("SELECT d.doc_id, CAST(count(DISTINCT CASE WHEN t LIKE '%s' THEN left(t, length(t) - 1) ELSE t END) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) d GROUP BY d.doc_id")
+#: Forms that the queries' lemmas are given for, beside the vocabulary.
+IRREGULAR = [("men", "man"), ("mice", "mouse"), ("os", "o"), ("des", "de")]
+DETACHED = " UNION ALL ".join(f"SELECT token, left(form, length(form) - {len(a)}) || '{b}', round + 1 FROM f WHERE ends_with(form, '{a}') AND round < 3" for a, b in lemmas.NOUN_ENDINGS)
+LEMMAS = f"""t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents), v AS (SELECT w AS form FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY w HAVING count(DISTINCT doc_id) >= 3),
+    e(token, form) AS (VALUES {', '.join(map(str, IRREGULAR))}), f(token, form, round) AS (SELECT token, token, 0 FROM t WHERE token NOT IN (SELECT token FROM e) UNION ALL ({DETACHED})),
+    c AS (SELECT token, form, greatest(round - 1, 0) AS round FROM f UNION ALL SELECT token, form, 0 FROM t JOIN e USING (token) UNION ALL SELECT token, token, 0 FROM t JOIN e USING (token)),
+    lemma AS (SELECT t.token, coalesce(m.form, t.token) AS lemma FROM t LEFT JOIN (SELECT token, arg_min(form, (round, length(form), form)) AS form FROM c JOIN v USING (form) GROUP BY token) m USING (token))"""
+
+
+@query(f"WITH RECURSIVE {LEMMAS} SELECT doc_id, CAST(count(DISTINCT lemma) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents) JOIN lemma USING (token) GROUP BY doc_id")
 def num_unique_lemmas(spark, sf_dir):
-    """With a lemma table that maps each token in s to the token without it."""
-    d = table(spark, sf_dir, "documents")
-    tokens = d.select(F.explode(T.space_tokens(F.col("text"))).alias("token")).distinct().filter(F.col("token").endswith("s"))
-    return features.unique_lemmas(d, tokens.withColumn("lemma", F.expr("left(token, length(token) - 1)")), "doc_id", "text")
+    """Lemmas by detached endings; words of three documents or more are the vocabulary."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = d.select("doc_id", F.explode(F.array_distinct(T.space_tokens(F.col("text")))).alias("token"))
+    vocabulary = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n >= 3").select(F.col("token").alias("word"))
+    found = lemmas.lemma_table(tokens, vocabulary, spark.createDataFrame(IRREGULAR, "form string, lemma string"))
+    return features.unique_lemmas(d, found, "doc_id", "text")
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, 'href\\s*=')) AS BIGINT) AS href_count FROM pages")
@@ -585,3 +596,53 @@ def generate_questions(spark, sf_dir):
 
     topics = table(spark, sf_dir, "documents").select(F.col("source").alias("category")).distinct()
     return pipeline.generated_questions(topics, Writer(), delay=0).select("category", "search_query")
+
+
+#: Rules of the queries' public suffixes, and urls that they tell apart.
+RULES = ["com", "net", "org", "io", "de", "fr", "es", "uk", "co.uk", "ck", "*.ck", "!www.ck"]
+RULED = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'http://' || h || '.co.uk/' WHEN 2 THEN 'http://' || h || '.ck/' WHEN 3 THEN 'http://a.www.ck/' WHEN 4 THEN 'http://10.0.0.' || page_id % 250 || '/' ELSE 'http://' || h || '.zzz/' END"
+
+
+@query(
+    f"WITH p AS (SELECT page_id, {RULED} AS u FROM (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS h FROM pages)), h AS (SELECT page_id, string_split(lower(regexp_extract(u, '^[a-z]+://([^/?#]+)', 1)), '.') AS l FROM p), "
+    f"rules(rule) AS (VALUES {', '.join(f'({r!r})' for r in RULES)}), e AS (SELECT page_id, l, i, array_to_string(l[i:], '.') AS e, array_to_string(l[i + 1:], '.') AS b FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM h WHERE NOT regexp_matches(array_to_string(l, '.'), '^[0-9.]+$'))), "
+    "m AS (SELECT page_id, max(CASE WHEN rule[1] <> '!' THEN len(l) - i + 1 END) AS rule, max(CASE WHEN rule[1] = '!' THEN len(l) - i END) AS exception FROM e JOIN rules ON rule = e OR rule = '*.' || b OR rule = '!' || e GROUP BY page_id), "
+    "n AS (SELECT page_id, l, coalesce(exception, rule, 0) AS n FROM h LEFT JOIN m USING (page_id)) "
+    "SELECT page_id, array_to_string(l[len(l) - n + 1:], '.') AS tld, CASE WHEN regexp_matches(array_to_string(l, '.'), '^[0-9.]+$') THEN array_to_string(l, '.') ELSE coalesce(l[len(l) - n], '') END AS domain FROM n"
+)
+def domain_suffix_rules(spark, sf_dir):
+    """Public suffixes by rules with a wildcard and an exception."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", T.host(F.col("url")).alias("h")).select("page_id", F.expr(RULED).alias("url"))
+    return urls.with_suffixes(p, spark.createDataFrame([(r,) for r in RULES], "rule string")).select("page_id", F.col("_tld").alias("tld"), F.col("_domain").alias("domain"))
+
+
+EDGES = sentences.EDGES.replace("'", "''")
+SENTENCE_WORDS = f"list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: regexp_replace(w, '{EDGES}', '', 'g')), lambda w: w <> '')"
+LIKELY = "({k} * ln(greatest(least({p}, 1 - 1e-12), 1e-12)) + ({n} - {k}) * ln(1 - greatest(least({p}, 1 - 1e-12), 1e-12)))"
+COUNTED = (
+    f"w AS (SELECT unnest({SENTENCE_WORDS}) AS w FROM documents), c AS (SELECT lower(regexp_replace(w, '[.!?]+$', '')) AS type, count(*) FILTER (ends_with(w, '.')) AS periods, count(*) FILTER (NOT ends_with(w, '.')) AS plain "
+    "FROM w WHERE regexp_matches(w, '\\p{L}') GROUP BY 1 HAVING type <> '')"
+)
+ABBREVIATIONS = (
+    "s AS (SELECT *, CAST(periods AS DOUBLE) AS k, CAST(periods + plain AS DOUBLE) AS n, (SELECT sum(periods) / sum(periods + plain) FROM c) AS p, length(type) - length(replace(type, '.', '')) AS inner_periods FROM c WHERE periods > 0), "
+    f"a AS (SELECT type, periods, plain, -2 * ({LIKELY.format(k='k', n='n', p='p')} - {LIKELY.format(k='k', n='n', p='0.99')}) * exp(-(length(type) - inner_periods)) * (inner_periods + 1) * pow(length(type) - inner_periods, -CAST(plain AS DOUBLE)) AS score FROM s)"
+)
+
+
+@query(f"WITH {COUNTED}, {ABBREVIATIONS} SELECT type, periods, plain, round(score, 6) AS score FROM a WHERE score >= {sentences.ABBREVIATION}")
+def abbreviations(spark, sf_dir):
+    """Words that the texts' own statistics take for abbreviations."""
+    found = sentences.abbreviations(sentences.counted(table(spark, sf_dir, "documents")))
+    return found.select("type", "periods", "plain", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH {COUNTED}, {ABBREVIATIONS}, p AS (SELECT doc_id, {SENTENCES} AS p FROM documents), j AS (SELECT doc_id, i, lower(regexp_replace(regexp_replace(string_split_regex(p[i], '\\s')[-1], '{EDGES}', '', 'g'), '\\.$', '')) AS last FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS i FROM p) WHERE ends_with(p[i], '.')), "
+    f"g AS (SELECT doc_id, count(*) AS held FROM j WHERE last IN (SELECT type FROM a WHERE score >= {sentences.ABBREVIATION}) OR regexp_matches(last, '^\\p{{L}}$') GROUP BY doc_id) "
+    "SELECT doc_id, CAST(len(p) - coalesce(held, 0) AS BIGINT) AS n FROM p LEFT JOIN g USING (doc_id)"
+)
+def learned_sentences(spark, sf_dir):
+    """How many sentences the documents have when those abbreviations end none."""
+    d = table(spark, sf_dir, "documents")
+    known = sentences.abbreviations(sentences.counted(d))
+    return sentences.split_sentences(d, known).select("doc_id", F.size("sentences").cast("long").alias("n"))
