@@ -10,10 +10,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
+from stancemill.operators import runtime
 from stancemill.operators.features import Feature
 from stancemill.operators.relational import add_if_absent
 
@@ -50,57 +52,48 @@ def starts(tokens: int, size: int, step: int) -> range:
     return range(0, max(1, tokens - size + 1), step)
 
 
-def _encoded(encoder: Encoder, texts: list[str], batch: int) -> np.ndarray:
-    return np.concatenate([np.asarray(encoder.encode(texts[k : k + batch]), float) for k in range(0, len(texts), batch)])
+def window_texts(text: str, tokenizer: Tokenizer, size: int, step: int) -> list[str]:
+    """The texts of the windows: stretches of the text itself where the tokenizer knows its tokens' places, else tokens decoded again."""
+    if hasattr(tokenizer, "windows"):
+        return [text[a:b] for _, _, a, b in tokenizer.windows(text, size, step)]
+    tokens = tokenizer.encode(text)
+    return [tokenizer.decode(tokens[k : k + size]) for k in starts(len(tokens), size, step)]
 
 
-def best_window(text: Column, query: Column, tokenizer: Tokenizer, encoder: Encoder, length: int = 512, step: int = 256, padding: int = 4, batch: int = 32) -> Column:
-    """Struct (window, score): of the text's windows of length - padding tokens every step, decoded again, the one whose encoding has the largest dot product with the query's, the first on ties. Nulls without a text or query."""
+def best_window(text: Column, query_vector: Column, tokenizer: Tokenizer, encoder: Encoder | runtime.Loaded, length: int = 512, step: int = 256, padding: int = 4, budget: int = 1 << 14) -> Column:
+    """Struct (window, score): of the text's windows of length - padding tokens every step, the one whose encoding has the largest dot product with the query's vector, the first on ties. Nulls without a text or vector."""
 
-    @F.pandas_udf("window string, score double")
-    def work(sides: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, queries in sides:
-            # Each different query of a batch is encoded once.
-            asked = [q for q in dict.fromkeys(queries) if isinstance(q, str)]
-            known = dict(zip(asked, _encoded(encoder, asked, batch))) if asked else {}
+    @F.arrow_udf("struct<window:string,score:double>")
+    def work(sides: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model, split = runtime.model_of(encoder), runtime.model_of(tokenizer)
+        for texts, vectors in sides:
             out = []
-            for t, q in zip(texts, queries):
-                if t is None or q not in known:
-                    out.append((None, None))
+            for t, v in zip(texts.to_pylist(), vectors.to_pylist()):
+                if t is None or v is None:
+                    out.append({"window": None, "score": None})
                     continue
-                tokens = tokenizer.encode(t)
-                found = [tokenizer.decode(tokens[k : k + length - padding]) for k in starts(len(tokens), length - padding, step)]
-                scores = _encoded(encoder, found, batch) @ known[q]
+                found = window_texts(t, split, length - padding, step)
+                scores = np.array(runtime.encoded(model, found, budget)) @ np.array(v, float)
                 at = int(np.argmax(scores))
-                out.append((found[at], float(scores[at])))
-            yield pd.DataFrame(out, columns=["window", "score"])
+                out.append({"window": found[at], "score": float(scores[at])})
+            yield pa.array(out, pa.struct([("window", pa.string()), ("score", pa.float64())]))
 
-    return work(text, query)
+    return work(text, query_vector)
 
 
-def best_windows(pages: DataFrame, tokenizer: Tokenizer, encoder: Encoder, **sizes: int) -> DataFrame:
-    """pages (text, search_query, ...) with text_thresh_window and text_thresh_window_score; other columns stay as they are."""
+def best_windows(pages: DataFrame, tokenizer: Tokenizer, encoder: Encoder | runtime.Loaded, **sizes: int) -> DataFrame:
+    """pages (text, search_query, ...) with text_thresh_window and text_thresh_window_score; other columns stay as they are. Each different query is encoded once."""
     b = F.col("_best")
-    made = pages.withColumn("_best", best_window(F.col("text"), F.col("search_query"), tokenizer, encoder, **sizes))
+    made = runtime.with_query_vectors(pages, encoder)
+    made = made.withColumn("_best", best_window(F.col("text"), F.col("query_vector"), tokenizer, encoder, **sizes)).drop("query_vector")
     return made.withColumns({"text_thresh_window": b["window"], "text_thresh_window_score": b["score"]}).drop("_best")
 
 
-def similarity(encoder: Encoder, batch: int = 32) -> Feature:
-    """The feature of the dot product of the encodings of text and query."""
+def similarity(encoder: Encoder | runtime.Loaded, budget: int = 1 << 14) -> Feature:
+    """The feature of the dot product of the encodings of text and query. Tables with few queries have them encoded once by runtime.with_query_vectors in its place."""
 
     def feature(text: Column, query: Column, url: Column) -> Column:
-        @F.pandas_udf("double")
-        def work(texts: pd.Series, queries: pd.Series) -> pd.Series:
-            some = [k for k, (t, q) in enumerate(zip(texts, queries)) if t is not None and q is not None]
-            out = np.full(len(texts), np.nan)
-            if some:
-                asked = list(dict.fromkeys(queries.iloc[some]))
-                known = dict(zip(asked, _encoded(encoder, asked, batch)))
-                rows = _encoded(encoder, [texts.iloc[k] for k in some], batch)
-                out[some] = [float(r @ known[queries.iloc[k]]) for r, k in zip(rows, some)]
-            return pd.Series([None if np.isnan(x) else x for x in out], dtype=object)
-
-        return work(text, query)
+        return F.when(text.isNotNull() & query.isNotNull(), T.dot(runtime.encode(text, encoder, budget), runtime.encode(query, encoder, budget)))
 
     return feature
 
@@ -113,7 +106,8 @@ def sentiment(labeller: Labeller, prompt: str = SENTIMENT_PROMPT, labels: Sequen
         def work(texts: pd.Series) -> pd.Series:
             return pd.Series([None if t is None else list(map(float, labeller.logprobs(prompt.format(text=t), list(labels)))) for t in texts], dtype=object)
 
-        scores = work(text)
+        # A model that samples may answer otherwise when it is asked again.
+        scores = work.asNondeterministic()(text)
         return F.when(text.isNotNull(), F.map_from_arrays(F.array(*map(F.lit, labels)), scores))
 
     return feature
@@ -147,11 +141,12 @@ def unique_lemmas(lemmatizer: Lemmatizer) -> Feature:
     return feature
 
 
-def trim_rescored(pages: DataFrame, encoder: Encoder, column: str = "text_thresh_window", batch: int = 32) -> DataFrame:
-    """pages with text_thresh_window_sent, without cut-off sentences, and score_sent, its encoding's dot product with the query's; rows without query go."""
+def trim_rescored(pages: DataFrame, encoder: Encoder | runtime.Loaded, column: str = "text_thresh_window", budget: int = 1 << 14) -> DataFrame:
+    """pages with text_thresh_window_sent, without cut-off sentences, and score_sent, its encoding's dot product with the query's; rows without query go. Each different query is encoded once."""
     text = T.trim_sentences(T.sentences(F.col(column)))["text"]
     out = add_if_absent(pages, "text_thresh_window_sent", text).filter("search_query is not null")
-    return out.withColumn("score_sent", similarity(encoder, batch)(F.col("text_thresh_window_sent"), F.col("search_query"), F.lit(None)))
+    out = runtime.with_query_vectors(out, encoder, budget=budget)
+    return out.withColumn("score_sent", T.dot(runtime.encode(F.col("text_thresh_window_sent"), encoder, budget), F.col("query_vector"))).drop("query_vector")
 
 
 class SpaceTokenizer:

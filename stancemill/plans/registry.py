@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from stancemill.functions import text as T
 from stancemill.functions.stem import longest_common_ngram, quote_shared_words, stem_word
-from stancemill.operators import boilerplate, features, lemmas, models, sentences, urls
+from stancemill.operators import boilerplate, features, lemmas, models, sentences, subwords, urls
 from stancemill.operators import relational as R
 from stancemill.plans import pipeline
 from stancemill.plans.stem_sql import stems
@@ -646,3 +646,30 @@ def learned_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     known = sentences.abbreviations(sentences.counted(d))
     return sentences.split_sentences(d, known).select("doc_id", F.size("sentences").cast("long").alias("n"))
+
+
+#: Pieces are the first one to four characters of the benchmark's words and the one or two characters at each later place.
+SUBWORD = subwords.WORD.replace("'", "''")
+PIECES = (
+    f"b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{SUBWORD}')) AS w FROM benchmark), vocabulary AS (SELECT DISTINCT left(w, n) AS piece, false AS within FROM b, range(1, 5) AS r(n) UNION "
+    "SELECT DISTINCT substr(w, k, n), true FROM (SELECT w, n, unnest(range(2, length(w) + 1)) AS k FROM b, range(1, 3) AS r(n)) WHERE k + n - 1 <= length(w))"
+)
+
+
+@query(
+    f"WITH RECURSIVE {PIECES}, e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SUBWORD}|[{subwords.SPACE}]+')) AS w, generate_subscripts(regexp_extract_all(text, '{SUBWORD}|[{subwords.SPACE}]+'), 1) AS k FROM documents), "
+    f"placed AS (SELECT doc_id, w, k, CAST(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k) - length(w) AS BIGINT) AS pos FROM e), words AS (SELECT DISTINCT w FROM e WHERE regexp_matches(w, '[^{subwords.SPACE}]')), "
+    "m(w, a, b) AS (SELECT w, 0, 0 FROM words UNION ALL SELECT w, b, (SELECT b + max(length(piece)) FROM vocabulary WHERE within = (b > 0) AND piece = substr(w, b + 1, length(piece)) AND b + length(piece) <= length(w)) FROM m WHERE b < length(w) AND b IS NOT NULL), "
+    "bad AS (SELECT DISTINCT w FROM m WHERE b IS NULL), p AS (SELECT w, a, b FROM m WHERE b > 0 AND w NOT IN (SELECT w FROM bad) UNION ALL SELECT w, 0, length(w) FROM bad), "
+    "t AS (SELECT doc_id, pos + a AS s, pos + b AS e, row_number() OVER (PARTITION BY doc_id ORDER BY k, a) - 1 AS i FROM placed JOIN p USING (w)), n AS (SELECT doc_id, length(text) AS size, (SELECT count(*) FROM t WHERE t.doc_id = d.doc_id) AS n FROM documents d WHERE text IS NOT NULL), "
+    "f AS (SELECT doc_id, n, size, unnest(CASE WHEN n <= 508 THEN [0] ELSE range(0, n - 507, 256) END) AS first FROM n) "
+    'SELECT f.doc_id, CAST(first AS BIGINT) AS first, CAST(least(n, 508) AS BIGINT) AS tokens, CAST(CASE WHEN n <= 508 THEN 0 ELSE a.s END AS BIGINT) AS start, CAST(CASE WHEN n <= 508 THEN size ELSE z.e END AS BIGINT) AS "end" '
+    "FROM f LEFT JOIN t a ON a.doc_id = f.doc_id AND a.i = first LEFT JOIN t z ON z.doc_id = f.doc_id AND z.i = first + 507"
+)
+def subword_windows(spark, sf_dir):
+    """Windows of 508 subword tokens as stretches of the documents' characters."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(subwords.WORD), F.lit(0))).alias("w")).distinct()
+    heads = words.select(F.expr("explode(transform(sequence(1, 4), n -> left(w, n)))").alias("piece"))
+    inner = words.select(F.expr(f"explode(flatten(transform(sequence(1, 2), n -> transform(filter(sequence(2, length(w) + 1), k -> k + n - 1 <= length(w)), k -> concat('{subwords.INNER}', substr(w, k, n))))))").alias("piece"))
+    vocabulary = heads.unionByName(inner).distinct().withColumn("id", F.xxhash64("piece"))
+    return subwords.subword_windows(table(spark, sf_dir, "documents"), subwords.tokenizer_of(vocabulary)).select("doc_id", "first", "tokens", "start", "end")

@@ -161,7 +161,7 @@ def test_models(spark):
 
     df = spark.createDataFrame([(1, "a b c d e f g h i", "e f"), (2, "x", "x"), (3, None, "x"), (4, "a", None), (5, "e e e", "e")], "id long, text string, search_query string")
     tokens, counts = models.SpaceTokenizer(), models.CountEncoder("aefx")
-    got = {r["id"]: (r["text_thresh_window"], r["text_thresh_window_score"]) for r in models.best_windows(df, tokens, counts, length=5, step=2, padding=1, batch=2).collect()}
+    got = {r["id"]: (r["text_thresh_window"], r["text_thresh_window_score"]) for r in models.best_windows(df, tokens, counts, length=5, step=2, padding=1, budget=2).collect()}
     assert got == {1: ("c d e f", 2.0), 2: ("x", 1.0), 3: (None, None), 4: (None, None), 5: ("e e e", 3.0)}
     assert models.best_windows(df, tokens, counts).columns == [*df.columns, "text_thresh_window", "text_thresh_window_score"]
     own = {"_st_similarity": models.similarity(counts), "_sentiment_flan": models.sentiment(Words()), "_perplexity_gpt2": models.perplexity(Words())}
