@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,9 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder, so that steps that read it twice compute it once."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder, so that steps that read it twice compute it once and survive the loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def evidence_ids(df: DataFrame, least: int, answer: str, query: str = "search_query") -> DataFrame:
@@ -62,12 +64,31 @@ def evidence_ids(df: DataFrame, least: int, answer: str, query: str = "search_qu
 
 
 def filter_pair_thresh(df: DataFrame, least: int, answer: str = "stance") -> tuple[DataFrame, DataFrame]:
-    """(rows, ids): rows of df whose answer_id is one of evidence_ids, and those ids. df is computed once."""
-    df = settled(df)
-    ids = evidence_ids(df, least, answer)
+    """(rows, ids): rows of df whose answer_id is one of evidence_ids, and those ids.
+
+    df is read twice, first for the three columns that decide, which are written to the shared folder. Where it has a model's
+    answers that may change, write it before.
+    """
+    ids = evidence_ids(settled(df.select("answer_id", "search_query", answer)), least, answer)
     return keep_ids(df, ids, "answer_id"), ids
 
 
+class StageCounts:
+    """Rows of the stages of a flow, counted as they pass, without a job of their own."""
+
+    def __init__(self):
+        self.observed: dict[str, Observation] = {}
+
+    def passing(self, df: DataFrame, stage: str) -> DataFrame:
+        """df, whose rows are counted under the name of the stage when an action reads it."""
+        self.observed[stage] = Observation(stage)
+        return df.observe(self.observed[stage], F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> dict[str, int]:
+        """By stage, in order. Waits for actions that run; before any action it would wait on."""
+        return {stage: o.get["rows"] for stage, o in self.observed.items()}
+
+
 def one_to_many(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join in which nulls match nulls; an error at run time if a key repeats on the left."""
     seen = left.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(F.col(c)).alias(c) for c in left.columns if c not in keys))

@@ -83,20 +83,29 @@ def trimmed(pages: DataFrame, column: str = "text_thresh_window") -> DataFrame:
     return out.withColumn("score_sent", features.REGISTRY["_st_similarity"](F.col("text_thresh_window_sent"), F.col("search_query"), F.lit(None)))
 
 
-def ensemble_filter(pages: DataFrame, first: DataFrame, second: DataFrame, least: int = 5) -> DataFrame:
+def ensemble_filter(pages: DataFrame, first: DataFrame, second: DataFrame, least: int = 5, counts: R.StageCounts | None = None) -> DataFrame:
     """pages (answer_id, search_query, ...) whose two labels agree, of queries with enough evidence.
 
     first: answer_id, answer of the labeller that answers at once; second: of the one whose last line is the answer.
+    counts gets the rows of pages, of those that agree and of those that are left, when the result is read.
     """
+    passing = counts.passing if counts else lambda df, stage: df
     a = first.select("answer_id", T.classify(F.col("answer"), T.SHORT_CLASSES).alias("label_a"))
     b = second.select("answer_id", T.classify(T.last_line(F.col("answer")), T.FULL_CLASSES).alias("label_b"))
-    kept = R.keep_ids(pages.join(a, "answer_id", "left"), R.agreed_ids(a, b), "answer_id")
-    return R.filter_pair_thresh(kept.withColumnRenamed("label_a", "stance"), least, "stance")[0]
+    kept = R.keep_ids(passing(pages, "pages").join(a, "answer_id", "left"), R.agreed_ids(a, b), "answer_id").withColumnRenamed("label_a", "stance")
+    return passing(_enough(passing(kept, "agreed"), kept, least, "stance"), "ensemble")
 
 
-def dedup_filter(pages: DataFrame, duplicates: DataFrame, least: int = 5, answer: str = "stance") -> DataFrame:
-    """pages without those of duplicate queries, and again only queries with enough evidence."""
-    return R.filter_pair_thresh(R.drop_ids(pages, duplicates, "search_query", "search_query"), least, answer)[0]
+def _enough(rows: DataFrame, same: DataFrame, least: int, answer: str) -> DataFrame:
+    """rows of queries with enough evidence, which same, the rows without counters, shows; counters in both would count twice."""
+    return R.keep_ids(rows, R.filter_pair_thresh(same, least, answer)[1], "answer_id")
+
+
+def dedup_filter(pages: DataFrame, duplicates: DataFrame, least: int = 5, answer: str = "stance", counts: R.StageCounts | None = None) -> DataFrame:
+    """pages without those of duplicate queries, and again only queries with enough evidence. counts gets the rows that are no duplicates' and those that are left."""
+    passing = counts.passing if counts else lambda df, stage: df
+    kept = R.drop_ids(pages, duplicates, "search_query", "search_query")
+    return passing(_enough(passing(kept, "deduplicated"), kept, least, answer), "enough")
 
 
 def labelled_by(pages: DataFrame, labellers: dict[str, connectors.Completer], text_col: str = "text_thresh_window_sent") -> DataFrame:

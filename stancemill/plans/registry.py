@@ -673,3 +673,15 @@ def subword_windows(spark, sf_dir):
     inner = words.select(F.expr(f"explode(flatten(transform(sequence(1, 2), n -> transform(filter(sequence(2, length(w) + 1), k -> k + n - 1 <= length(w)), k -> concat('{subwords.INNER}', substr(w, k, n))))))").alias("piece"))
     vocabulary = heads.unionByName(inner).distinct().withColumn("id", F.xxhash64("piece"))
     return subwords.subword_windows(table(spark, sf_dir, "documents"), subwords.tokenizer_of(vocabulary)).select("doc_id", "first", "tokens", "start", "end")
+
+
+@query(
+    f"{ENSEMBLE}, e AS (SELECT answer_id FROM b WHERE answer_id IN (SELECT answer_id FROM good)) SELECT 'pages' AS stage, CAST(count(*) AS BIGINT) AS n FROM documents "
+    "UNION ALL SELECT 'agreed', count(*) FROM b UNION ALL SELECT 'ensemble', count(*) FROM e"
+)
+def stage_counts(spark, sf_dir):
+    """Rows of the ensemble's stages, counted while its result is written."""
+    counts = R.StageCounts()
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("source").alias("search_query"))
+    R.settled(pipeline.ensemble_filter(pages, *answers(spark, sf_dir), counts=counts))
+    return spark.createDataFrame(list(counts.rows().items()), "stage string, n long")
