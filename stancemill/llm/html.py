@@ -22,9 +22,9 @@ from stancemill.llm import labelled_pages
 from stancemill.llm.common import small_batches
 
 # HTML's element kinds.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr button select datalist meter progress".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template svg math iframe object canvas audio video head title".split())
+UNSEEN = set("script style noscript template svg math iframe object canvas audio video head title button select datalist meter progress".split())
 RAW = re.compile(r"(script|style|textarea|title|noscript|template|svg|iframe)\b", re.I)
 END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in "script style textarea title noscript template svg iframe".split()}
 #: Opening one of these ends an open element named with it, up to the nearest of the second set.
@@ -40,6 +40,10 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = set("advertisement sponsored cookie cookies consent copyright rights reserved privacy terms subscribe newsletter login register share tweet comment comments reply related menu search home contact ©".split())
 
 
+#: How often a page may be read to its end for the end of a tag.
+READ_AGAIN = 64
+
+
 class Block:
     __slots__ = ("text", "path", "tag", "linked")
 
@@ -95,11 +99,13 @@ class Open:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, character references decoded and white space runs as one space. Quotes that a tag leaves open end with it, from the first such tag on."""
+    """The page's blocks in order, character references decoded and white space runs as one space. A quote that a tag opens and the page never closes ends with that tag."""
     out: list[Block] = []
     elements = Open()
     parts: list[str] = []
-    linked, at, whole = 0, 0, True
+    linked, at = 0, 0
+    #: Characters that may be read in vain after tags whose quotes don't close, so that a page takes linear time; beyond, tags end at the first >.
+    spare = READ_AGAIN * (len(page) + 10_000)
     #: Elements whose end tag the rest of the page lacks.
     endless: set[str] = set()
 
@@ -128,11 +134,12 @@ def blocks(page: str) -> list[Block]:
             break
         name, stop = m[2], m.end()
         if name:
-            full = REST.match(page, stop) if whole else None
+            full = REST.match(page, stop) if spare > 0 else None
             if full:
                 rest, stop = full[1], full.end()
             else:
-                whole, end = False, page.find(">", stop)
+                spare -= len(page) - stop
+                end = page.find(">", stop)
                 if end < 0:
                     say(page[at:])
                     break
@@ -174,7 +181,7 @@ def blocks(page: str) -> list[Block]:
             elif name in ("script", "style"):
                 at = len(page)
             continue
-        if rest.rstrip().endswith("/") and name not in INLINE and name in UNSEEN:
+        if rest.rstrip().endswith("/") and name in UNSEEN:
             continue
         sign = name
         if rest:
@@ -192,7 +199,7 @@ def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
         name, *words = sign.split(" ")
         found.add(f"in={name}")
         found.update(f"named={w}" for w in words)
-    return tuple(found)
+    return tuple(sorted(found))
 
 
 def features(page: list[Block]) -> list[tuple[str, ...]]:
@@ -206,7 +213,7 @@ def features(page: list[Block]) -> list[tuple[str, ...]]:
             own.append("last")
         if n < 300:
             words = {w.strip(".,:;!?()").lower() for w in b.text.split()}
-            own += [f"says={w}" for w in words & MARKS]
+            own += [f"says={w}" for w in sorted(words & MARKS)]
         if b.text.count("|") > 2:
             own.append("bars")
         out.append((*own, *path_features(b.path)))

@@ -61,3 +61,30 @@ def test_edited_map_against_a_plain_fold(spark):
             expected[k] = (to, n)
         got = sharding.edited_map(spark.createDataFrame(old, "virtual_slot int, shard int"), spark.createDataFrame(list(sizes.items()), "virtual_slot int, bytes long"), shards)
         assert {r["virtual_slot"]: (r["shard"], r["bytes"]) for r in got.collect()} == expected
+
+
+@pytest.fixture(scope="module")
+def html_model():
+    from stancemill.llm import html
+
+    return html.default_model()
+
+
+def test_controls_and_open_quotes(html_model):
+    from stancemill.llm import html
+
+    page = """<article><p><i class="q>The first part of a long story that goes on and on, with many words in it.</p>
+    <p>It is here that the story ends, <a title='x > y' href='/b'>with a link</a> and <button type=button>Share</button> more of the text<select><option>One<option>Two</select> that matters.</p></article>"""
+    assert html.main_text(page, html_model).split("\n") == [
+        "The first part of a long story that goes on and on, with many words in it.",
+        "It is here that the story ends, with a link and more of the text that matters.",
+    ]
+    assert [b.text for b in html.blocks("<p>a<button>b</button>c</p><button/>d")] == ["ac", "d"]
+
+
+def test_features_have_one_order():
+    from stancemill.llm import html
+
+    html.path_features.cache_clear()
+    got = html.path_features(("div z y x", "article main"))
+    assert list(got) == sorted(got)
