@@ -22,7 +22,7 @@ from stancemill.llm import labelled_pages
 from stancemill.llm.common import small_batches
 
 # HTML's element kinds.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr button select datalist meter progress".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr button select optgroup option datalist meter progress".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("script style noscript template svg math iframe object canvas audio video head title button select datalist meter progress".split())
 RAW = re.compile(r"(script|style|textarea|title|noscript|template|svg|iframe)\b", re.I)
