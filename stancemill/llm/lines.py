@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stancemill.llm.common import dropped, mix, small_batches, staged
-from stancemill.llm.neardup import TEN_BITS, band_keys, near_components, packed_ten, scattered, text_hashes
+from stancemill.llm.neardup import SPREAD, TEN_BITS, band_keys, near_components, packed_ten, scattered, text_hashes
 
 WIDTH = 5
 ROWS = 6
@@ -173,7 +173,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("sig", pa.array([x.tobytes() for x in packed], pa.binary()))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", spread: float = SPREAD) -> DataFrame:
     """docs with its own columns, the text without repeated lines, and n_lines and n_removed (long).
 
     Blank lines stay and are not counted. Of equal or similar lines the first by (doc_id, line number,
@@ -202,7 +202,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         return known[0].select("id", "text").join(needed, "id", "left_semi")
 
     packed = scattered(items.select("id", "text"), _bands, REGISTERS // ROWS)
-    found = near_components(packed, sigs, texts, shingle_sets, jaccard, threshold, REGISTERS, ROWS, TEN_BITS, BLOCK)
+    found = near_components(packed, sigs, texts, shingle_sets, jaccard, threshold, REGISTERS, ROWS, TEN_BITS, BLOCK, spread)
     dropped(*known)
     where = F.struct("doc_id", "line", "h1", "h2")
     near = staged(items.select("id", where.alias("first")).join(found.withColumnRenamed("node", "id").filter("id >= 0"), "id").select("root", "first"), "near")

@@ -125,9 +125,13 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, measure: Cal
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def least_agreement(registers: int, threshold: float) -> int:
-    """Registers that a pair at the threshold agrees in, less four standard deviations."""
-    return int(np.floor(registers * threshold - 4 * np.sqrt(registers * threshold * (1 - threshold))))
+#: Standard deviations below the threshold at which a candidate's signatures rule it out unread; infinity has every candidate's text read.
+SPREAD = 4.0
+
+
+def least_agreement(registers: int, threshold: float, spread: float = SPREAD) -> int:
+    """Registers that a pair at the threshold agrees in, less so many standard deviations."""
+    return max(0, int(np.floor(registers * threshold - min(spread, registers) * np.sqrt(registers * threshold * (1 - threshold))))) if np.isfinite(spread) else 0
 
 
 def packed_ten(signatures: np.ndarray) -> np.ndarray:
@@ -144,9 +148,8 @@ def signatures_of(column: pa.Array, registers: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, registers)
 
 
-def _promising(registers: int, dtype: str, threshold: float):
+def _promising(registers: int, dtype: str, least: int):
     """Pairs whose signatures agree enough to be worth reading their texts."""
-    least = least_agreement(registers, threshold)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,24 +327,24 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def near_components(packed: DataFrame, sigs: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str, block: int = BLOCK) -> DataFrame:
+def near_components(packed: DataFrame, sigs: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], prepare: Callable, measure: Callable, threshold: float, registers: int, rows: int, dtype: str, block: int = BLOCK, spread: float = SPREAD) -> DataFrame:
     """(node, root) of all items that have a link: a text pair that shares a band key and measures threshold or more.
 
     packed: scattered() items. sigs gives (id, sig) for ids (registers, or their low bits, as bytes of dtype, or by packed_ten()) and texts (id, text), both staged.
 
     In each bucket of a band key one member, the hub, is compared with every other, and verified unless their
-    signatures lie four standard deviations below the threshold. That joins groups of copies in one round. What is
+    signatures lie spread standard deviations below the threshold. That joins groups of copies in one round. What is
     left are buckets whose other members belong to several components: there each pair of members of different
     components is compared by signature, in blocks of bounded size, and verified on the spot under the same
     condition. No pairs leave a block but those that join two components.
     """
-    least = least_agreement(registers, threshold)
+    least = least_agreement(registers, threshold, spread)
     stars = staged(packed.mapInArrow(_stars, "key long, band int, id long, hub long"), "stars")
     pairs = staged(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     needed = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     known = sigs(needed)
     side = lambda c: known.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_promising(registers, dtype, threshold), "a long, b long")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_promising(registers, dtype, least), "a long, b long")
     close = staged(close, "close")
     dropped(pairs, needed)
     held = texts(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct())
@@ -392,7 +395,7 @@ def _own_bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("id").filter(some).to_numpy(), batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(-1, REGISTERS // ROWS)
 
 
-def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", spread: float = SPREAD) -> DataFrame:
     """(h1, h2, root, class_id, copies): for each distinct text, its class (root) and how many rows have it. h1, h2 are the text's hashes, see text_hashes().
 
     Texts are linked when the probability Jaccard similarity of their five-word shingles, weighted by how
@@ -423,7 +426,7 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
         return known[-1]
 
     packed = scattered(items.select("id", "bands"), _own_bands, REGISTERS // ROWS)
-    found = near_components(packed, sigs, texts, shingle_sets, prob_jaccard, threshold, REGISTERS, ROWS, "<u4")
+    found = near_components(packed, sigs, texts, shingle_sets, prob_jaccard, threshold, REGISTERS, ROWS, "<u4", spread=spread)
     dropped(rows, *known)
     named = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "least", "copies", F.coalesce("root", "id").alias("root"))
     # Written, so that the join's own exchange can split a class that holds many of the texts.
@@ -437,21 +440,21 @@ def text_hashes(text_col: str = "text") -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, spread: float = SPREAD) -> DataFrame:
     """doc_id and class_id of each row of docs, and kept: whether its doc_id names the class."""
-    found = staged(near_documents(docs, threshold), "classes")
+    found = staged(near_documents(docs, threshold, spread=spread), "classes")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes())
     out = d.join(found, ["h1", "h2"], "left").select("doc_id", "class_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = 0.8, spread: float = SPREAD) -> DataFrame:
     """docs with one row of each class: one with the class's smallest doc_id. Columns stay as they are.
 
     Rows that repeat that doc_id within the class are told apart by text; of rows equal in both, one stays.
     A class whose ids are all null keeps one row.
     """
-    found = staged(near_documents(docs, threshold), "classes")
+    found = staged(near_documents(docs, threshold, spread=spread), "classes")
     h1, h2 = text_hashes()
     mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), h1, h2, F.col("doc_id").cast("long").alias("key"))
     mine = mine.join(found, ["h1", "h2"]).filter("key <=> class_id")
