@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,34 +106,50 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001", -1)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_sentences(parts: Column) -> Column:
     """(text, removed_first, removed_last) of an array of sentences without cut-off ones at the ends.
 
     Fewer than two sentences stay as they are. Blank ones go; the first goes if it starts with a lower-case
     letter or one of . , ; : ! ? and then the last of the rest if it ends in a letter or digit.
     """
-    kept = F.filter(parts, lambda s: strip(s) != "")
-    first = F.try_element_at(kept, F.lit(1))
-    cut_first = F.coalesce(strip(first).rlike(r"^[\p{Ll}.,;:!?]"), F.lit(False))
-    rest = F.when(cut_first, F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
-    last = F.try_element_at(rest, F.lit(-1))
-    cut_last = F.coalesce(strip(last).rlike(r"[\p{L}\p{N}]$"), F.lit(False))
-    done = F.when(cut_last, F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
-    short = F.size(parts) < 2
-    return F.struct(
-        F.when(short, F.array_join(parts, " ")).otherwise(F.array_join(done, " ")).alias("text"),
-        F.when(~short & cut_first, first).alias("removed_first"),
-        F.when(~short & cut_last, last).alias("removed_last"),
-    )
+
+    def trimmed(v: Column) -> Column:
+        parts, kept = v["parts"], v["kept"]
+        first = F.try_element_at(kept, F.lit(1))
+        cut_first = F.coalesce(strip(first).rlike(r"^[\p{Ll}.,;:!?]"), F.lit(False))
+
+        def ends(w: Column) -> Column:
+            begin, n = w["begin"], F.size(kept)
+            last = F.when(begin <= n, F.try_element_at(kept, F.lit(-1)))
+            cut_last = F.coalesce(strip(last).rlike(r"[\p{L}\p{N}]$"), F.lit(False))
+            done = F.slice(kept, begin, F.greatest(n - begin + 1 - cut_last.cast("int"), F.lit(0)))
+            short = F.size(parts) < 2
+            return F.struct(
+                F.when(short, F.array_join(parts, " ")).otherwise(F.array_join(done, " ")).alias("text"),
+                F.when(~short & w["cut"], first).alias("removed_first"),
+                F.when(~short & cut_last, last).alias("removed_last"),
+            )
+
+        return bound(F.struct((cut_first.cast("int") + 1).alias("begin"), cut_first.alias("cut")), ends)
+
+    return bound(F.struct(parts.alias("parts"), F.filter(parts, lambda s: strip(s) != "").alias("kept")), trimmed)
 
 
 def readability(text: Column) -> Column:
     """Kincaid (1975) grade: 0.39 words/sentence + 11.8 syllables/word - 15.59; syllables are vowel groups, one a word at least; under 100 words 0."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    ends = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+(\s|$)")), F.lit(1))
-    syllables = F.aggregate(words, F.lit(0), lambda s, w: s + F.greatest(F.regexp_count(F.lower(w), F.lit("[aeiouy]+")), F.lit(1)))
-    return F.when(text.isNull(), None).when(n < 100, 0.0).otherwise(0.39 * n / ends + 11.8 * syllables / n - 15.59)
+
+    def grade(words: Column) -> Column:
+        n = F.size(words)
+        ends = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+(\s|$)")), F.lit(1))
+        syllables = F.aggregate(words, F.lit(0), lambda s, w: s + F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")), F.lit(1)))
+        return F.when(n < 100, 0.0).otherwise(0.39 * n / ends + 11.8 * syllables / n - 15.59)
+
+    return F.when(text.isNotNull(), bound(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), grade))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -141,12 +141,16 @@ def unique_lemmas(lemmatizer: Lemmatizer) -> Feature:
     return feature
 
 
-def trim_rescored(pages: DataFrame, encoder: Encoder | runtime.Loaded, column: str = "text_thresh_window", budget: int = 1 << 14) -> DataFrame:
-    """pages with text_thresh_window_sent, without cut-off sentences, and score_sent, its encoding's dot product with the query's; rows without query go. Each different query is encoded once."""
+def trim_rescored(pages: DataFrame, encoder: Encoder | runtime.Loaded, column: str = "text_thresh_window", budget: int = 1 << 14, ordered: bool = False) -> DataFrame:
+    """pages with text_thresh_window_sent, without cut-off sentences, and score_sent, its encoding's dot product with the query's; rows without query go.
+
+    Each different query is encoded once. ordered: rows come query by query, in the order of queries, and within one by answer_id where there is one.
+    """
     text = T.trim_sentences(T.sentences(F.col(column)))["text"]
     out = add_if_absent(pages, "text_thresh_window_sent", text).filter("search_query is not null")
     out = runtime.with_query_vectors(out, encoder, budget=budget)
-    return out.withColumn("score_sent", T.dot(runtime.encode(F.col("text_thresh_window_sent"), encoder, budget), F.col("query_vector"))).drop("query_vector")
+    out = out.withColumn("score_sent", T.dot(runtime.encode(F.col("text_thresh_window_sent"), encoder, budget), F.col("query_vector"))).drop("query_vector")
+    return out.orderBy(*(c for c in ("search_query", "answer_id") if c in out.columns)) if ordered else out
 
 
 class SpaceTokenizer:

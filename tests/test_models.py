@@ -159,3 +159,28 @@ def test_subword_windows(spark):
         subwords.tokenizer_of(vocabulary, 2)
     best = models.best_windows(spark.createDataFrame([("ab abb. x", "b")], "text string, search_query string"), tokenizer, models.CountEncoder("b"), length=6, step=1).first()
     assert (best["text_thresh_window"], best["text_thresh_window_score"]) == ("ab ab", 2.0)
+
+
+def test_rescored_in_order(spark):
+    pages = spark.createDataFrame([(k, f"q{k % 5}", "It is a. It is b.") for k in (7, 3, 9, 1, 4, 6)], "answer_id long, search_query string, text_thresh_window string").repartition(3)
+    got = models.trim_rescored(pages, models.CountEncoder(), ordered=True).collect()
+    assert [(r["search_query"], r["answer_id"]) for r in got] == sorted((f"q{k % 5}", k) for k in (7, 3, 9, 1, 4, 6))
+
+
+def test_stand_in_similarity_against_dot_products(spark):
+    """The stand-in encoder's score is the dot product of the texts' slot shares."""
+    import xxhash
+
+    from stancemill.operators import features
+
+    rows = [("the cat sat on the mat", "cat mat"), ("a b c " * 50, "c d"), ("", "x"), ("x y", ""), (None, "x"), ("x", None), ("Red WINE!", "wine, red")]
+    got = spark.createDataFrame(rows, "t string, q string").select(features.similarity(F.col("t"), F.col("q"), F.lit(None)).alias("s")).collect()
+
+    def vector(text):
+        words = "".join(c if c.isalnum() and c.isascii() else " " for c in text.lower()).split()
+        out = np.zeros(features.DIMENSIONS)
+        for w in words:
+            out[xxhash.xxh64_intdigest(w.encode(), 42) % features.DIMENSIONS] += 1
+        return out / max(1, len(words))
+
+    assert [r["s"] for r in got] == [None if t is None or q is None else pytest.approx(float(vector(t) @ vector(q))) for t, q in rows]
