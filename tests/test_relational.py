@@ -140,9 +140,11 @@ def test_query(spark, sf_dir, name):
 
 
 def test_scans(spark, sf_dir):
-    """The nested evidence filters read each table once or twice, whatever reads their result."""
-    plan = registry.QUERIES["dedup_filter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 0
+    """Nested evidence filters read the tables no more often than one: documents once and labels for each labeller and the pages; what decides is read from settled columns."""
+    for name in ("ensemble_filter", "dedup_filter"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("/documents.parquet]"), plan.count("/labels.parquet]")) == (1, 3), name
+        assert all("text" not in line for line in plan.split("\n") if "/settled-" in line)
 
 
 def test_entry(spark):
