@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stancemill.functions.text import bound
+
 #: The paper's thresholds for abbreviations, collocations and sentence starters.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: What a word's ends are freed of before it is counted.
@@ -81,7 +83,11 @@ def split_sentences(docs: DataFrame, known: DataFrame, pairs: DataFrame | None =
     parts = F.split(F.regexp_replace("_text", r"([.!?])\s+", "$1\u0001"), "\u0001", -1)
     ends = F.transform(parts, lambda p: F.struct(F.lower(F.regexp_replace(F.regexp_replace(F.element_at(F.split(p, r"\s"), -1), EDGES, ""), r"\.$", "")).alias("last"), F.lower(F.regexp_replace(F.regexp_replace(F.split(p, r"\s")[0], EDGES, ""), r"[.!?]+$", "")).alias("head"), p.endswith(".").alias("dot")))
     # The place after part number at, with the words on both sides.
-    nexts = d.select("_id", F.posexplode(F.transform(F.arrays_zip(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))).alias("a"), F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))).alias("b")), lambda z: F.struct(z["a"]["last"].alias("last"), z["b"]["head"].alias("head"), z["a"]["dot"].alias("dot")))).alias("at", "j")).filter("j.dot").select("_id", "at", "j.last", "j.head")
+    def joints(e: Column) -> Column:
+        rest = F.greatest(F.size(e) - 1, F.lit(0))
+        return F.transform(F.arrays_zip(F.slice(e, 1, rest).alias("a"), F.slice(e, 2, rest).alias("b")), lambda z: F.struct(z["a"]["last"].alias("last"), z["b"]["head"].alias("head"), z["a"]["dot"].alias("dot")))
+
+    nexts = d.select("_id", F.posexplode(bound(ends, joints)).alias("at", "j")).filter("j.dot").select("_id", "at", "j.last", "j.head")
     closed = nexts.join(known.select(F.col("type").alias("last")).distinct().withColumn("abbreviated", F.lit(True)), "last", "left")
     closed = closed.withColumn("go_on", F.coalesce("abbreviated", F.lit(False)) | F.col("last").rlike(r"^\p{L}$"))
     if pairs is not None:
@@ -89,6 +95,9 @@ def split_sentences(docs: DataFrame, known: DataFrame, pairs: DataFrame | None =
         closed = closed.join(p, ["last", "head"], "left").withColumn("go_on", F.col("go_on") | F.coalesce("paired", F.lit(False)))
     held = closed.filter("go_on").groupBy("_id").agg(F.collect_set("at").alias("held")).select(F.col("_id").alias("_i"), "held")
     out = d.join(held, F.col("_id").eqNullSafe(F.col("_i")), "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
-    last = F.size(parts) - 1
-    marked = F.transform(parts, lambda p, i: F.when(i == last, p).when(F.array_contains("held", i), F.concat(p, F.lit(" "))).otherwise(F.concat(p, F.lit("\u0001"))))
-    return out.select(F.col("_id").alias(id_col), F.split(F.array_join(marked, ""), "\u0001", -1).alias("sentences"))
+
+    def marked(v: Column) -> Column:
+        return F.array_join(F.transform(v["parts"], lambda p, i: F.when(i == v["last"], p).when(F.array_contains(v["held"], i), F.concat(p, F.lit(" "))).otherwise(F.concat(p, F.lit("\u0001")))), "")
+
+    whole = bound(bound(F.struct(parts.alias("parts"), F.col("held").alias("held")), lambda v: F.struct(v["parts"].alias("parts"), v["held"].alias("held"), (F.size(v["parts"]) - 1).alias("last"))), marked)
+    return out.select(F.col("_id").alias(id_col), F.split(whole, "\u0001", -1).alias("sentences"))
