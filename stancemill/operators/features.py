@@ -120,12 +120,35 @@ def unique_lemmas(df: DataFrame, lemmas: DataFrame, id_col: str, text_col: str)
     return tokens.join(lemmas, "token", "left").groupBy(id_col).agg(F.nullif(F.count_distinct(F.coalesce("lemma", "token")), F.lit(0)).alias("n"))
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles of 0 or more, added up as whole numbers and rounded once: the same in whatever order the rows come. What lies below 2^-52 in a value is left out."""
+    whole = F.floor(x)
+    upper = (x - whole) * (1 << 26)
+    lower = F.floor((upper - F.floor(upper)) * (1 << 26))
+    whole, upper, lower = F.sum(whole), F.sum(F.floor(upper)), F.sum(lower)
+    upper = upper + F.shiftright(lower, 26)
+    low = lambda c: c.bitwiseAND(F.lit((1 << 26) - 1).cast("long"))
+    rest = F.shiftleft(low(upper), 26) + low(lower)
+    return whole + F.shiftright(upper, 26) + rest / float(1 << 52)
+
+
+def by_libm(f: Callable[[float], float], x: Column) -> Column:
+    """A function of the C library, as SQL engines have it: Java's own may differ in the last bit."""
+
+    @F.pandas_udf("double")
+    def work(values: pd.Series) -> pd.Series:
+        return values.map(f, na_action="ignore").astype(float)
+
+    return work(x)
+
+
 def token_perplexity(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, perplexity) under a corpus unigram model with add-one smoothing: exp of the mean negative log-likelihood of each text's words; null without words."""
     words = df.select(id_col, F.explode_outer(T.normal_words(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
     model = words.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
     # One row, as a scalar subquery: no join.
     total = model.agg((F.sum("c") + F.count("*")).alias("t")).scalar()
-    scored = words.join(model, "word", "left").withColumn("t", total)
-    nll = -F.sum(F.col("n") * F.ln((F.col("c") + 1) / F.col("t"))) / F.sum(F.when(F.col("word").isNotNull(), F.col("n")))
-    return scored.groupBy(id_col).agg(F.exp(nll).alias("perplexity"))
+    rated = model.withColumn("t", total).select("word", (-by_libm(math.log, (F.col("c") + 1) / F.col("t"))).alias("loss"))
+    scored = words.join(rated, "word", "left")
+    nll = exact_sum(F.col("n") * F.col("loss")) / F.sum(F.when(F.col("word").isNotNull(), F.col("n")))
+    return scored.groupBy(id_col).agg(nll.alias("nll")).select(id_col, by_libm(math.exp, F.col("nll")).alias("perplexity"))

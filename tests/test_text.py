@@ -1,5 +1,6 @@
 """Golden cases of the text functions."""
 
+import collections
 import math
 import random
 import re
@@ -224,3 +225,15 @@ def test_hostile_texts_are_counted_in_time(spark):
     _counts(spark, texts, T.email_count)
     _counts(spark, texts, lambda c: T.count_pattern(c, T.url_pattern()))
     assert time.time() - began < 120
+
+
+def test_token_perplexity_does_not_hang_on_the_order_of_rows(spark):
+    """Sums of logarithms are rounded once, so that values equal the exact ones to the last bit."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{int(rng.random() ** 3 * 400)}" for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    counts = collections.Counter(w for t in texts for w in t.split())
+    total = sum(counts.values()) + len(counts)
+    mean = lambda c: math.fsum(n * -math.log((counts[w] + 1) / total) for w, n in c.items()) / sum(c.values())
+    expected = {k: math.exp(mean(collections.Counter(t.split()))) for k, t in enumerate(texts)}
+    df = spark.createDataFrame([*enumerate(texts), (300, None), (301, " .")], "id long, text string").repartition(7)
+    assert {r["id"]: r["perplexity"] for r in features.token_perplexity(df, "id", "text").collect()} == expected | {300: None, 301: None}
