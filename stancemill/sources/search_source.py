@@ -2,7 +2,8 @@
 
 A partition is a stretch of the inputs and a range of result pages, and has its share of the request rate. Options:
 inputs (path of a Parquet table with search_query and search_engine_input), num_results, endpoint and key of the
-service, or responses (path of a stored table with search_engine_input, start, status and response) in its place;
+service, or responses (path of a stored table with search_engine_input, start, status and response, best sorted by input, as
+each partition reads the row groups that may hold its own inputs) in its place;
 rate (requests a second of all tasks together), at_once (tasks that run at once), inputs_each and pages_each (inputs
 and result pages of a partition), tries and delay.
 """
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -29,6 +31,11 @@ from stancemill.sources.ranges import located
 SCHEMA = "search_query string, search_engine_input string, start int, position int, url string, title string, snippet string, request_dump string"
 ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in SCHEMA.split(", ")])
 PAGE_SIZE, MOST_RESULTS = 10, 100
+COLUMNS = ["search_query", "search_engine_input"]
+#: Rows read at once.
+AT_ONCE = 1024
+#: Tables are read in pieces, none ahead of its use, so that a task's memory does not grow with them.
+PIECEWISE = ds.ParquetFileFormat(default_fragment_scan_options=ds.ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False))
 
 
 class Refused(Exception):
@@ -109,6 +116,25 @@ class Stretch(InputPartition):
     starts: list[int]
 
 
+def rows_between(store, file: str, first: int, last: int) -> pa.Table:
+    """Rows [first, last) of a file of inputs; row groups without any of them are not read."""
+    out, at = [], 0
+    with pq.ParquetFile(file, filesystem=store, buffer_size=1 << 20) as f:
+        for g in range(f.num_row_groups):
+            n = f.metadata.row_group(g).num_rows
+            if at < last and at + n > first:
+                here = at
+                for b in f.iter_batches(AT_ONCE, row_groups=[g], columns=COLUMNS, use_threads=False):
+                    low, high = max(first - here, 0), min(last - here, b.num_rows)
+                    if low < high:
+                        out.append(b.slice(low, high - low).select(COLUMNS))
+                    here += b.num_rows
+                    if here >= last:
+                        break
+            at += n
+    return pa.Table.from_batches(out)
+
+
 class SearchReader(DataSourceReader):
     def __init__(self, options: dict):
         get = {k.lower(): v for k, v in options.items()}
@@ -136,7 +162,7 @@ class SearchReader(DataSourceReader):
         if part is None:  # no inputs
             return
         store, _ = located(self.inputs)
-        rows = ds.dataset(part.file, filesystem=store, format="parquet").to_table(columns=["search_query", "search_engine_input"]).slice(part.first, part.last - part.first)
+        rows = rows_between(store, part.file, part.first, part.last)
         # Tasks that run at once share the rate; stored responses need none.
         bucket = None if self.responses else TokenBucket(self.rate / self.at_once)
         ask = self.stored(rows["search_engine_input"], part.starts) if self.responses else Service(self.endpoint, self.key, self.timeout).ask
@@ -151,12 +177,17 @@ class SearchReader(DataSourceReader):
     def stored(self, inputs: pa.ChunkedArray, starts: list[int]):
         """ask() over the stored responses of these inputs, of several for a page the smallest; a page that is not stored has no items."""
         store, path = located(self.responses)
-        mine = (pc.field("search_engine_input").isin(inputs.drop_null().unique())) & pc.field("start").isin(starts)
+        wanted = inputs.drop_null().unique()
         known: dict[tuple[str, int], tuple[int, str]] = {}
-        for b in ds.dataset(path, filesystem=store, format="parquet").to_batches(columns=["search_engine_input", "start", "status", "response"], filter=mine):
-            for r in b.to_pylist():
-                at, got = (r["search_engine_input"], r["start"]), (r["status"], r["response"] or "")
-                known[at] = min(known.get(at, got), got)
+        if len(wanted):
+            ends, name = pc.min_max(wanted), pc.field("search_engine_input")
+            # The range spares row groups of tables that are sorted by input.
+            mine = (name >= ends["min"]) & (name <= ends["max"]) & name.isin(wanted) & pc.field("start").isin(starts)
+            stored = ds.dataset(path, filesystem=store, format=PIECEWISE)
+            for b in stored.to_batches(columns=["search_engine_input", "start", "status", "response"], filter=mine, batch_size=AT_ONCE, batch_readahead=0, fragment_readahead=0, use_threads=False):
+                for r in b.to_pylist():
+                    at, got = (r["search_engine_input"], r["start"]), (r["status"], r["response"] or "")
+                    known[at] = min(known.get(at, got), got)
         return lambda query, start: known.get((query, start), (200, "{}"))
 
 

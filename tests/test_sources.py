@@ -1,6 +1,7 @@
 """Committed ranges, polite fetching and the search data source, against local servers and failures."""
 
 import glob
+import hashlib
 import json
 import os
 import sys
@@ -11,6 +12,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -215,3 +217,23 @@ def test_token_bucket():
     for _ in range(3):
         bucket.take()
     assert len(slept) == 4
+
+
+def test_search_source_reads_rows_group_by_group(tmp_path):
+    """A task's memory does not grow with the files of inputs and responses: of 40 MB each it holds little."""
+    n = 40_000
+    names = [f"{k:08d}" + hashlib.sha256(str(k).encode()).hexdigest() * 16 for k in range(n)]
+    pq.write_table(pa.table({"search_query": ["q"] * n, "search_engine_input": names}), f"{tmp_path}/in.parquet", row_group_size=1000)
+    pq.write_table(pa.table({"search_engine_input": names, "start": pa.array([1] * n, pa.int32()), "status": [200] * n, "response": [json.dumps({"items": [{"link": f"l{k}"}]}) for k in range(n)]}), f"{tmp_path}/out.parquet", row_group_size=1000)
+    reader = search_source.SearchReader({"inputs": f"{tmp_path}/in.parquet", "responses": f"{tmp_path}/out.parquet", "num_results": "10", "inputs_each": "700"})
+    parts = reader.partitions()
+    assert sum(p.last - p.first for p in parts) == n
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        found = [(r["search_engine_input"], r["url"]) for p in parts[3:5] for b in reader.read(p) for r in b.to_pylist()]
+    finally:
+        pa.set_memory_pool(before)
+    assert found == [(names[k], f"l{k}") for k in range(parts[3].first, parts[4].last)]
+    assert pool.max_memory() < 12 << 20
