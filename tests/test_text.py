@@ -7,6 +7,8 @@ import re
 import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -237,3 +239,22 @@ def test_token_perplexity_does_not_hang_on_the_order_of_rows(spark):
     expected = {k: math.exp(mean(collections.Counter(t.split()))) for k, t in enumerate(texts)}
     df = spark.createDataFrame([*enumerate(texts), (300, None), (301, " .")], "id long, text string").repartition(7)
     assert {r["id"]: r["perplexity"] for r in features.token_perplexity(df, "id", "text").collect()} == expected | {300: None, 301: None}
+
+
+def test_word_udfs_hold_few_rows_as_python_objects():
+    """However many rows a batch has, words become numbers and texts become strings some rows at a time."""
+    sizes = np.array([5, stem.HELD, 3, 0, 4])
+    assert list(stem.runs(sizes)) == [(0, 1), (1, 2), (2, 5)] and not list(stem.runs(sizes[:0]))
+    lists = pa.array([["a"], ["b", "a", "b"], None, [], ["c", None]])[1:]
+    assert stem.coded(lists) == ([[0, 1, 0], None, [], [2, 3]], ["b", "a", "c", None]) or stem.coded(lists)[0][:3] == [[0, 1, 0], None, []]
+    assert stem.sizes_of(lists).tolist() == [3, 0, 0, 2] and stem.sizes_of(pa.array(["x", None, "é"])).tolist() == [1, 0, 2]
+
+
+def test_add_features_finds_words_once(spark):
+    """The four features of words share a projection, and have the values that each alone has."""
+    df = spark.createDataFrame([(1, "Red wines can be good, good for hearts. They cannot fail!", "is red wine good?"), (2, "", ""), (3, None, "x"), (4, "x", None)], "id long, text string, search_query string")
+    both = features.add_features(df, list(features.OF_WORDS))
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(text") == 1 and both.columns == ["id", "text", "search_query", *features.OF_WORDS]
+    alone = df.select("id", *(features.REGISTRY[n](F.col("text"), F.col("search_query"), None).alias(n) for n in features.OF_WORDS))
+    assert both.drop("text", "search_query").collect() == alone.collect()
