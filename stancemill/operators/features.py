@@ -8,11 +8,12 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancemill.functions import text as T
-from stancemill.functions.stem import longest_common_ngram
+from stancemill.functions.stem import coded, longest_common_ngram, runs, sizes_of
 
 Feature = Callable[[Column, Column, Column], Column]
 REGISTRY: dict[str, Feature] = {}
@@ -40,34 +41,47 @@ feature("_num_unique_tokens")(lambda text, query, url: T.num_unique_tokens(text)
 feature("_href_count")(lambda text, query, url: T.count_pattern(text, T.HREF))
 feature("_url_count")(lambda text, query, url: T.count_pattern(text, T.url_pattern()))
 feature("_email_count")(lambda text, query, url: T.email_count(text))
-feature("_max_ngram_overlap")(lambda text, query, url: F.size(longest_common_ngram(T.normal_words(text), T.normal_words(query))).cast("long"))
+feature("_max_ngram_overlap")(lambda text, query, url: ngram_overlap(T.normal_words(text), T.normal_words(query)))
 feature("_tld")(lambda text, query, url: T.suffix(url))
 feature("_domain")(lambda text, query, url: T.domain(url))
 feature("_flesch_kincaid_readibility")(lambda text, query, url: T.readability(text))
 
 
+def ngram_overlap(words: Column, asked: Column) -> Column:
+    return F.size(longest_common_ngram(words, asked)).cast("long")
+
+
 @feature("_st_similarity")
 def similarity(text: Column, query: Column, url: Column) -> Column:
     """Dot product of the stand-in encodings: sums over the query's words of how often the text has a word of their slot."""
+    return word_similarity(T.normal_words(text), T.normal_words(query))
+
+
+def word_similarity(words: Column, asked_words: Column) -> Column:
     slot = lambda words: F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(DIMENSIONS)))
-    both = F.array(F.struct(slot(T.normal_words(text)).alias("held"), slot(T.normal_words(query)).alias("asked")))
+    both = F.struct(slot(words).alias("held"), slot(asked_words).alias("asked"))
 
     def score(v: Column) -> Column:
         held, asked = v["held"], v["asked"]
-        shared = F.aggregate(F.array_distinct(asked), F.lit(0.0), lambda s, q: s + F.size(F.filter(held, lambda x: x == q)) * F.size(F.filter(asked, lambda x: x == q)))
+        # Only words whose slots are asked for are counted slot by slot.
+        hits = F.filter(held, lambda x: F.array_contains(asked, x))
+        shared = T.bound(hits, lambda hits: F.aggregate(F.array_distinct(asked), F.lit(0.0), lambda s, q: s + F.size(F.filter(hits, lambda x: x == q)) * F.size(F.filter(asked, lambda x: x == q))))
         return shared / (F.greatest(F.size(held), F.lit(1)) * F.greatest(F.size(asked), F.lit(1)))
 
-    return F.when(text.isNotNull() & query.isNotNull(), F.transform(both, score)[0])
+    return F.when(words.isNotNull() & asked_words.isNotNull(), T.bound(both, score))
 
 
 @feature("_sentiment_flan")
 def sentiment(text: Column, query: Column, url: Column) -> Column:
     """A stand-in model: log-probabilities of Positive and Negative from lexicon counts, with a third of the mass left to other answers."""
-    words = T.normal_words(text)
+    return word_sentiment(T.normal_words(text))
+
+
+def word_sentiment(words: Column) -> Column:
     hits = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(lexicon))).cast("double")
     good, bad = hits(POSITIVE) + 1, hits(NEGATIVE) + 1
     share = lambda x: F.ln(x / (good + bad)) + math.log(2 / 3)
-    return F.when(text.isNotNull(), F.map_from_arrays(F.array(F.lit("Positive"), F.lit("Negative")), F.array(share(good), share(bad))))
+    return F.when(words.isNotNull(), F.map_from_arrays(F.array(F.lit("Positive"), F.lit("Negative")), F.array(share(good), share(bad))))
 
 
 def own_perplexity(words) -> float | None:
@@ -80,12 +94,27 @@ def own_perplexity(words) -> float | None:
 @feature("_perplexity_gpt2")
 def perplexity(text: Column, query: Column, url: Column) -> Column:
     """A stand-in language model: exp of the mean negative log-likelihood of the text's words under their own counts with add-one smoothing."""
+    return word_perplexity(T.normal_words(text))
+
+
+def word_perplexity(words: Column) -> Column:
+    @F.arrow_udf("double")
+    def work(lists: pa.Array) -> pa.Array:
+        # Numbers of words in place of words, some rows at a time, so that no batch of texts becomes Python strings.
+        return pa.array([own_perplexity(r) for i, j in runs(sizes_of(lists)) for r in coded(lists[i:j])[0]], pa.float64())
+
+    return work(words)
 
-    @F.pandas_udf("double")
-    def work(words: pd.Series) -> pd.Series:
-        return words.map(own_perplexity, na_action="ignore").astype(float)
 
-    return work(T.normal_words(text))
+#: Features that are functions of the normal words of text and query alone.
+OF_WORDS: dict[str, Callable[[Column, Column], Column]] = {
+    "_max_ngram_overlap": ngram_overlap,
+    "_st_similarity": word_similarity,
+    "_sentiment_flan": lambda words, asked: word_sentiment(words),
+    "_perplexity_gpt2": lambda words, asked: word_perplexity(words),
+}
+#: Each of them as it is registered here; one registered in its place is built from text and query.
+OWN = {n: REGISTRY[n] for n in OF_WORDS}
 
 
 #: What the feature driver computes, in this order.
@@ -96,22 +125,29 @@ def add_features(df: DataFrame, names: list[str] | None = None, text_col: str =
     """df with the named features (default: all whose inputs df has); present columns are kept if skip. One projection adds them all.
 
     models gives features in place of those registered, such as those of operators.models. A feature that can't be built for df
-    is left out with a warning, and the others are added.
+    is left out with a warning, and the others are added. Words are found once for all features that need them.
     """
     has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     needs = {"_tld": "url", "_domain": "url", "_max_ngram_overlap": "search_query", "_st_similarity": "search_query"}
     names = names or [n for n in REGISTRY if needs.get(n, text_col) in df.columns]
-    made = {}
+    known, made, kinds = REGISTRY | (models or {}), {}, dict(df.dtypes)
+    ours = {n for n in names if n in OF_WORDS and known[n] is OWN[n] and not (skip and n in kinds)}
+    if kinds.get(text_col) == kinds.get("search_query") == "string" and not {"_words", "_asked"} & set(kinds) and ours:
+        # A projection of its own, as what is used more than once is not merged into the next.
+        df = df.withColumns({"_words": T.normal_words(F.col(text_col)), "_asked": T.normal_words(F.col("search_query"))})
+    else:
+        ours = set()
     for n in names:
         if skip and n in df.columns:
             continue
         try:
-            made[n] = (REGISTRY | (models or {}))[n](has(text_col), has("search_query"), has("url"))
+            made[n] = OF_WORDS[n](F.col("_words"), F.col("_asked")) if n in ours else known[n](has(text_col), has("search_query"), has("url"))
             df.select(made[n])
         except Exception as error:  # noqa: BLE001 - one feature's failure leaves the others
             made.pop(n, None)
             warnings.warn(f"feature {n} left out: {error}", stacklevel=2)
-    return df.withColumns(made)
+    out = df.withColumns(made)
+    return out.drop("_words", "_asked") if ours else out
 
 
 def unique_lemmas(df: DataFrame, lemmas: DataFrame, id_col: str, text_col: str) -> DataFrame:
